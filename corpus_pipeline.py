@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from imgq.llm import lang_id, line_dedup, packing, simhash
+from imgq.llm import decontam, lang_id, line_dedup, packing, simhash
 from imgq.llm.common import materialize, table
 
 
@@ -26,6 +26,11 @@ def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return simhash.dedup(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a copy of a benchmark item."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, each with its sequence and place there."""
     return packing.pack(docs)
@@ -35,6 +40,7 @@ STAGES = [
     ("language ID", identify_language),
     ("line dedup", dedup_lines),
     ("SimHash near-dedup", dedup_near_copies),
+    ("benchmark decontamination", decontaminate),
     ("best-fit packing", pack_sequences),
 ]
 
