@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import audio, chat, decontam, lang_id, licenses, line_dedup, packing, simhash, toxicity
+from . import audio, chat, decontam, katz, lang_id, licenses, line_dedup, packing, simhash, toxicity
 from .common import crc32_mod, materialize, table
 
 
@@ -66,6 +66,10 @@ FROM e GROUP BY conv_id
 """
 
 
+def op5_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.train_and_score(table(spark, sf_dir, "documents"), lambda doc_id: crc32_mod(doc_id, 7) == 2)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(documents, table(spark, sf_dir, "labels"))
@@ -118,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_katz_scoring": op5_katz_scoring,
     "op6_toxicity": op6_toxicity,
     "op7_chroma_fingerprints": op7_chroma_fingerprints,
     "op8_license_scan": op8_license_scan,
