@@ -19,12 +19,12 @@ def shared_dir(spark: SparkSession) -> str:
     Only where the session names none (tests on one machine) is a temporary
     folder of this machine taken.
     """
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
         import tempfile
 
         where = f"file://{tempfile.mkdtemp(prefix='imgq-')}"
-        spark.conf.set("spark.checkpoint.dir", where)
+        spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
