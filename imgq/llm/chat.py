@@ -51,13 +51,15 @@ def ranked_branches(messages: DataFrame) -> DataFrame:
     # up: the ancestor reached; depth and total count what lies between, this message included.
     now = base.select("tree_id", "id", F.when(F.col("_known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
     now = materialize(now, "paths")
+    # Only what hasn't come to its root yet goes on; a round passes the rest over.
     for _ in range(MAX_DOUBLINGS):
-        if now.where("up IS NOT NULL").limit(1).count() == 0:
+        going = now.where("up IS NOT NULL")
+        if going.limit(1).count() == 0:
             break
         far = now.select("tree_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
-        step = now.join(far, ["tree_id", "up"], "left")
-        now = step.select("tree_id", "id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("total") + F.coalesce("_total", F.lit(0.0))).alias("total"))
-        now = materialize(now, "paths")
+        step = going.join(far, ["tree_id", "up"])
+        step = step.select("tree_id", "id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total"))
+        now = materialize(now.where("up IS NULL").unionByName(step), "paths")
     parents = base.where("_known").select("tree_id", F.col("parent").alias("id")).distinct()
     leaves = now.where("up IS NULL").join(parents, ["tree_id", "id"], "left_anti")
     mean = F.col("total") / F.col("depth")
