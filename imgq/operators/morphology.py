@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..storage import materialize
 from .regions import label
@@ -50,7 +51,7 @@ def isotropic(mask: DataFrame, radius: float, kind: str) -> DataFrame:
     return distance_transform_edt(inverse).withColumn("v", (F.col("v") <= radius).cast("double"))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def _sweep(lines: pd.Series, bounds: pd.Series) -> pd.Series:
     """Each line spread forwards and backwards under its bound."""
 
