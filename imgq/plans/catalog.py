@@ -293,7 +293,7 @@ register("rank_order", lambda s, d: features.rank_order(raster.embedding_bytes(s
 # -- neighbourhoods ------------------------------------------------------------------
 
 
-def _shift_sql(table: str, steps: list[tuple], aggregate: str, mode: str = "reflect") -> str:
+def _shift_sql(table: str, steps: list[tuple], aggregate: str, mode: str = "reflect", digits: int = 6) -> str:
     """Gather by a self-join; n is the neighbour and k its weight."""
     values = ", ".join(f"({dy}, {dx}, {float(w[0]) if w else 1.0!r})" for dy, dx, *w in steps)
     f = {
@@ -304,7 +304,7 @@ def _shift_sql(table: str, steps: list[tuple], aggregate: str, mode: str = "refl
     }[mode]
     return f"""WITH p AS MATERIALIZED ({table}), z AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM p), o(dy, dx, k) AS (VALUES {values}),
 g AS (SELECT p.y, p.x, {f('p.y + dy', 'h')} AS sy, {f('p.x + dx', 'w')} AS sx, k FROM p, z, o)
-SELECT g.y, g.x, round({aggregate}, 6) + 0.0 AS v FROM g JOIN (SELECT y AS sy, x AS sx, v AS n FROM p) USING (sy, sx) GROUP BY g.y, g.x"""
+SELECT g.y, g.x, round({aggregate}, {digits}) + 0.0 AS v FROM g JOIN (SELECT y AS sy, x AS sx, v AS n FROM p) USING (sy, sx) GROUP BY g.y, g.x"""
 
 
 def _outer(a: list[float], b: list[float]) -> list[tuple]:
@@ -357,9 +357,19 @@ _stencil("binary_erosion", lambda p: stencil.erosion(p, _D1, "ignore"), _shift_s
 _stencil("binary_dilation", lambda p: stencil.dilation(p, _D1, "ignore"), _shift_sql(_BINARY, _D1, "max(n)", "ignore"), _binary)
 register("peak_local_max", lambda s, d: stencil.peak_local_max(raster.embedding_image(s, d), 2, 0.2).select("y", "x", "v"), f"""WITH m AS ({_shift_sql(EMBEDDING, stencil.rectangle(5, 5), 'max(n)', 'ignore')}), p AS ({EMBEDDING})
 SELECT p.y, p.x, round(p.v, 6) + 0.0 AS v FROM p JOIN m USING (y, x), (SELECT max(y) AS h, max(x) AS w FROM p) z WHERE round(p.v, 6) = m.v AND p.v > 0.2 AND p.y BETWEEN 2 AND h - 2 AND p.x BETWEEN 2 AND w - 2""")
-register("corner_harris", lambda s, d: stencil.corner_harris(raster.embedding_image(s, d)).select("y", "x", "v"))
-register("corner_shi_tomasi", lambda s, d: stencil.corner_shi_tomasi(raster.embedding_image(s, d)).select("y", "x", "v"))
-register("corner_foerstner", lambda s, d: stencil.corner_foerstner(raster.embedding_image(s, d)).select("y", "x", "w", "q"))
+
+
+def _sums(table: str, steps: list[tuple], mode: str = "ignore") -> str:
+    """A weighted sum without rounding, as a step of a longer oracle; "ignore" is zero outside."""
+    return f"SELECT y, x, v FROM ({_shift_sql(table, steps, 'sum(n * k)', mode, 16)})"
+
+
+_TENSOR = f"""WITH dy AS MATERIALIZED ({_sums(EMBEDDING, _outer([-1, 0, 1], [1, 2, 1]))}), dx AS MATERIALIZED ({_sums(EMBEDDING, _outer([1, 2, 1], [-1, 0, 1]))}),
+t AS (SELECT y, x, a.v AS a, b.v AS b, c.v AS c FROM ({_sums('SELECT y, x, v * v AS v FROM dy', _outer(_G1, _G1))}) a
+JOIN ({_sums('SELECT y, x, dy.v * dx.v AS v FROM dy JOIN dx USING (y, x)', _outer(_G1, _G1))}) b USING (y, x) JOIN ({_sums('SELECT y, x, v * v AS v FROM dx', _outer(_G1, _G1))}) c USING (y, x))"""
+register("corner_harris", lambda s, d: stencil.corner_harris(raster.embedding_image(s, d)).select("y", "x", "v"), f"{_TENSOR} SELECT y, x, {_r('a * c - b * b - 0.05 * (a + c) * (a + c)', 'v')} FROM t")
+register("corner_shi_tomasi", lambda s, d: stencil.corner_shi_tomasi(raster.embedding_image(s, d)).select("y", "x", "v"), f"{_TENSOR} SELECT y, x, {_r('(a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b)', 'v')} FROM t")
+register("corner_foerstner", lambda s, d: stencil.corner_foerstner(raster.embedding_image(s, d)).select("y", "x", "w", "q"), f"{_TENSOR} SELECT y, x, {_r('coalesce((a * c - b * b) / nullif(a + c, 0), 0)', 'w')}, {_r('coalesce(4 * (a * c - b * b) / nullif(pow(a + c, 2), 0), 0)', 'q')} FROM t")
 
 # -- regions ------------------------------------------------------------------------
 
@@ -458,7 +468,6 @@ register("mean_pyramid", lambda s, d: transform.mean_pyramid(raster.embedding_by
 register("resize", lambda s, d: transform.resize(raster.full_part_grid(s, d), (64, 64), 32, 48).select("y", "x", "v"), f"""WITH p AS ({FULL}), g AS (SELECT y, x, (y + 0.5) * 2 - 0.5 AS sy, (x + 0.5) * 64 / 48 - 0.5 AS sx FROM range(32) a(y), range(48) b(x)), c AS (SELECT *, floor(sy) AS y0, floor(sx) AS x0 FROM g),
 e AS (SELECT y, x, y0 + dy AS py, x0 + dx AS px, (CASE dy WHEN 0 THEN 1 - (sy - y0) ELSE sy - y0 END) * (CASE dx WHEN 0 THEN 1 - (sx - x0) ELSE sx - x0 END) AS w FROM c, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx))
 SELECT e.y::INT AS y, e.x::INT AS x, round(sum(e.w * p.v), 6) + 0.0 AS v FROM e JOIN p ON p.y = least(63, greatest(0, py)) AND p.x = least(63, greatest(0, px)) GROUP BY ALL""")
-register("rotate", lambda s, d: transform.rotate(raster.full_part_grid(s, d), (64, 64), 30.0).select("y", "x", "v"))
 register("profile_line", lambda s, d: transform.profile_line(raster.full_part_grid(s, d), 2, 3, 50, 3).select("step", "v"), f"SELECT y - 2 AS step, v FROM ({FULL}) WHERE x = 3 AND y BETWEEN 2 AND 50")
 
 # -- descriptors, regions of tiles ---------------------------------------------------------

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import raster
 from ..operators import filters, morphology, overlay, stencil, transform
-from .catalog import _BINARY, _D1, BYTES, COLOURS, EMBEDDING, FULL, LABELS, _binary, _r, _shift_sql, register
+from .catalog import _BINARY, _CC, _D1, _G1, BYTES, COLOURS, EMBEDDING, FULL, LABELS, _binary, _outer, _r, _shift_sql, _sums, register
 
 _MASK = f"SELECT image_id, y, x, (label > 1)::INT::DOUBLE AS v FROM ({FULL})"
 _EDT = f"SELECT a.y, a.x, CASE WHEN any_value(a.v) = 0 THEN 0 ELSE sqrt(min(pow(a.y - b.y, 2) + pow(a.x - b.x, 2))) END AS d FROM ({_MASK}) a, ({_MASK}) b WHERE b.v = 0 GROUP BY a.y, a.x"
@@ -31,18 +31,33 @@ register("rolling_ball", lambda s, d: morphology.rolling_ball(raster.embedding_b
 register("gradient", lambda s, d: filters.gradient(raster.embedding_image(s, d), "x").select("y", "x", "v"), f"SELECT y, x, round(CASE WHEN a IS NULL THEN b - v WHEN b IS NULL THEN v - a ELSE (b - a) / 2 END, 6) + 0.0 AS v FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM ({EMBEDDING}) WINDOW w AS (PARTITION BY y ORDER BY x))")
 _GABOR = filters.gabor_kernel(0.2, 0.5, 1.0)
 register("gabor", lambda s, d: filters.gabor(raster.embedding_image(s, d), 0.2, 0.5, 1.0).select("y", "x", "re", "im"), f"SELECT y, x, a.v AS re, b.v AS im FROM ({_shift_sql(EMBEDDING, [(-i, -j, w.real) for i, j, w in _GABOR], 'sum(n * k)')}) a JOIN ({_shift_sql(EMBEDDING, [(-i, -j, w.imag) for i, j, w in _GABOR], 'sum(n * k)')}) b USING (y, x)")
-register("hessian_matrix", lambda s, d: filters.hessian_matrix(raster.embedding_image(s, d)).select("y", "x", "hrr", "hrc", "hcc"))
-register("hessian_matrix_eigvals", lambda s, d: filters.hessian_eigenvalues(raster.embedding_image(s, d)).select("y", "x", "l1", "l2"))
-register("hessian_matrix_det", lambda s, d: filters.hessian_determinant(raster.embedding_image(s, d)).select("y", "x", "v"))
-register("shape_index", lambda s, d: filters.shape_index(raster.embedding_image(s, d)).select("y", "x", "v"))
+
+
+def _slope(table: str, axis: str) -> str:
+    """Central differences, one-sided at the ends, by windows."""
+    other = "x" if axis == "y" else "y"
+    return f"SELECT y, x, CASE WHEN a IS NULL THEN b - v WHEN b IS NULL THEN v - a ELSE (b - a) / 2 END AS v FROM (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM {table} WINDOW w AS (PARTITION BY {other} ORDER BY {axis}))"
+
+
+_HESSIAN = f"""WITH s AS MATERIALIZED ({_sums(EMBEDDING, _outer(_G1, _G1))}), gy AS MATERIALIZED ({_slope('s', 'y')}), gx AS MATERIALIZED ({_slope('s', 'x')}),
+h AS (SELECT y, x, p.v AS a, q.v AS b, r.v AS c FROM ({_slope('gy', 'y')}) p JOIN ({_slope('gy', 'x')}) q USING (y, x) JOIN ({_slope('gx', 'x')}) r USING (y, x)),
+e AS (SELECT *, (a + c) / 2 + sqrt(pow((a - c) / 2, 2) + b * b) AS l1, (a + c) / 2 - sqrt(pow((a - c) / 2, 2) + b * b) AS l2 FROM h)"""
+register("hessian_matrix", lambda s, d: filters.hessian_matrix(raster.embedding_image(s, d)).select("y", "x", "hrr", "hrc", "hcc"), f"{_HESSIAN} SELECT y, x, {_r('a', 'hrr')}, {_r('b', 'hrc')}, {_r('c', 'hcc')} FROM e")
+register("hessian_matrix_eigvals", lambda s, d: filters.hessian_eigenvalues(raster.embedding_image(s, d)).select("y", "x", "l1", "l2"), f"{_HESSIAN} SELECT y, x, {_r('l1', 'l1')}, {_r('l2', 'l2')} FROM e")
+register("hessian_matrix_det", lambda s, d: filters.hessian_determinant(raster.embedding_image(s, d)).select("y", "x", "v"), f"{_HESSIAN} SELECT y, x, {_r('a * c - b * b', 'v')} FROM e")
+register("shape_index", lambda s, d: filters.shape_index(raster.embedding_image(s, d)).select("y", "x", "v"), f"{_HESSIAN} SELECT y, x, {_r('CASE WHEN l1 <> l2 THEN 2 / pi() * atan((l2 + l1) / (l2 - l1)) END', 'v')} FROM e")
 register("sato", lambda s, d: filters.sato(raster.embedding_image(s, d)).select("y", "x", "v"))
 register("frangi", lambda s, d: filters.frangi(raster.embedding_image(s, d)).select("y", "x", "v"))
 register("blob_log", lambda s, d: filters.blob_log(raster.embedding_image(s, d)).select("y", "x", "sigma", "v"))
 register("richardson_lucy", lambda s, d: filters.richardson_lucy(raster.embedding_bytes(s, d).withColumn("v", F.col("v") / 255), [(dy, dx, 1 / 9) for dy, dx in stencil.rectangle(3, 3)], 3).select("y", "x", "v"))
 register("reconstruction", lambda s, d: morphology.reconstruction(raster.full_part_grid(s, d).withColumn("v", F.when(F.col("x") == 0, F.col("v")).otherwise(0.0)), raster.full_part_grid(s, d)).select("y", "x", "v"))
 register("h_maxima", lambda s, d: morphology.h_maxima(raster.full_part_grid(s, d), 300.0).select("y", "x", "v"))
-register("local_maxima", lambda s, d: morphology.local_maxima(raster.full_part_grid(s, d)).select("y", "x", "v"))
-register("remove_small_holes", lambda s, d: morphology.remove_small_holes(_mask(s, d), 2).select("y", "x", "v"))
+_LEVELS = f"SELECT y, x, (v + 1)::BIGINT AS v FROM ({FULL})"
+register("local_maxima", lambda s, d: morphology.local_maxima(raster.full_part_grid(s, d)).select("y", "x", "v"), f"""WITH p AS MATERIALIZED ({_LEVELS}), l AS MATERIALIZED ({_CC.format(table='SELECT * FROM p')}),
+n AS (SELECT l.label, bool_or(q.v > p.v) AS lost FROM l JOIN p USING (y, x), (VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) o(dy, dx), p q WHERE q.y = l.y + dy AND q.x = l.x + dx GROUP BY l.label)
+SELECT y, x, (NOT lost)::INT::DOUBLE AS v FROM l JOIN n USING (label)""")
+register("remove_small_holes", lambda s, d: morphology.remove_small_holes(_mask(s, d), 2).select("y", "x", "v"), f"""WITH l AS MATERIALIZED ({_CC.format(table=f'SELECT y, x, (1 - v)::INT AS v FROM ({_MASK})')}), n AS (SELECT label FROM l WHERE label <> 0 GROUP BY label HAVING count(*) <= 2)
+SELECT l.y, l.x, (label = 0 OR label IN (SELECT label FROM n))::INT::DOUBLE AS v FROM l""")
 
 
 def _painted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +81,7 @@ def _stains(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("stain_extraction_pca", _stains)
+_ROT = ("31.5 + (b.x - 31.5) * sin(radians(30)) + (a.y - 31.5) * cos(radians(30))", "31.5 + (b.x - 31.5) * cos(radians(30)) - (a.y - 31.5) * sin(radians(30))")
 register("random_noise", lambda s, d: overlay.random_noise(raster.embedding_bytes(s, d).withColumn("v", F.col("v") / 255), "s&p", 0.1, seed=3).select("y", "x", "v"))
 
 
@@ -80,7 +96,18 @@ def _swirl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform.warp(raster.full_part_grid(spark, sf_dir), 64, 64, inverse).select("y", "x", "v")
 
 
-register("swirl", _swirl)
+
+
+def _warp_sql(table: str, height: int, width: int, sy: str, sx: str) -> str:
+    """Bilinear look-ups at (sy, sx), zero outside."""
+    return f"""WITH p AS MATERIALIZED ({table}), g AS (SELECT a.y, b.x, ({sy})::DOUBLE AS sy, ({sx})::DOUBLE AS sx FROM range({height}) a(y), range({width}) b(x)),
+e AS (SELECT y, x, floor(sy) + dy AS py, floor(sx) + dx AS px, (CASE dy WHEN 0 THEN 1 - (sy - floor(sy)) ELSE sy - floor(sy) END) * (CASE dx WHEN 0 THEN 1 - (sx - floor(sx)) ELSE sx - floor(sx) END) AS w FROM g, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(dy, dx))
+SELECT e.y::INT AS y, e.x::INT AS x, {_r('sum(e.w * coalesce(p.v, 0))', 'v')} FROM e LEFT JOIN p ON p.y = py AND p.x = px GROUP BY e.y, e.x"""
+
+
+_RHO, _PHI = "sqrt(pow(b.x - 31.5, 2) + pow(a.y - 31.5, 2))", "atan2(a.y - 31.5, b.x - 31.5)"
+_TURNED = f"(exp(-({_RHO}) / (40 * ln(2))) + {_PHI})"
+register("swirl", _swirl, _warp_sql(FULL, 64, 64, f"31.5 + {_RHO} * sin({_TURNED})", f"31.5 + {_RHO} * cos({_TURNED})"))
 
 
 def _polar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,12 +115,14 @@ def _polar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transform.warp(raster.full_part_grid(spark, sf_dir), 90, 32, lambda y, x: (31.5 + x * F.sin(y * step), 31.5 + x * F.cos(y * step))).select("y", "x", "v")
 
 
-register("warp_polar", _polar)
+register("warp_polar", _polar, _warp_sql(FULL, 90, 32, "31.5 + b.x * sin(a.y * pi() / 45)", "31.5 + b.x * cos(a.y * pi() / 45)"))
 register("affine_nearest", lambda s, d: transform.warp(raster.full_part_grid(s, d), 64, 64, transform.affine([[1, 0, 3], [0, 1, -2], [0, 0, 1]]), 0).select("y", "x", "v"), f"SELECT o.y, o.x, coalesce(p.v, 0) AS v FROM ({FULL}) o LEFT JOIN ({FULL}) p ON p.y = o.y + 2 AND p.x = o.x - 3")
-register("pyramid_reduce", lambda s, d: transform.pyramid_reduce(raster.full_part_grid(s, d), (64, 64)).select("y", "x", "v"))
+_G2 = stencil.gaussian_weights(4 / 6.0)
+register("pyramid_reduce", lambda s, d: transform.pyramid_reduce(raster.full_part_grid(s, d), (64, 64)).select("y", "x", "v"), f"SELECT (y // 2)::INT AS y, (x // 2)::INT AS x, {_r('avg(v)', 'v')} FROM ({_sums(f'SELECT y, x, v FROM ({FULL})', _outer(_G2, _G2), 'reflect')}) GROUP BY ALL")
 register("flip_rotate_batch", lambda s, d: transform.rotate90(transform.flip(raster.embedding_image(s, d), "y"), 3).select("y", "x", "v"), f"SELECT x AS y, y AS x, round(v, 6) + 0.0 AS v FROM ({EMBEDDING})")
 register("montage", lambda s, d: transform.montage(raster.embedding_image(s, d).select((F.col("y") % 6).cast("long").alias("image_id"), (F.col("y") / 6).cast("int").alias("y"), "x", "v").where("y < 80"), 3, 80, 64).select("y", "x", "v"), f"SELECT ((y % 6) // 3 * 80 + y // 6)::INT AS y, (y % 3 * 64 + x)::INT AS x, round(v, 6) + 0.0 AS v FROM ({EMBEDDING}) WHERE y // 6 < 80")
 register("view_as_blocks", lambda s, d: raster.embedding_bytes(s, d).select((F.col("y") / 4).cast("int").alias("by"), (F.col("x") / 8).cast("int").alias("bx"), (F.col("y") % 4).alias("y"), (F.col("x") % 8).alias("x"), "v"), f"SELECT (y // 4)::INT AS by, (x // 8)::INT AS bx, y % 4 AS y, x % 8 AS x, v FROM ({BYTES})")
 register("window_means", lambda s, d: stencil.gather(raster.full_part_grid(s, d), [(dy, dx) for dy in range(3) for dx in range(3)], [F.avg("n").alias("v"), F.count(F.lit(1)).alias("k")], "constant", None).where("k = 9").select("y", "x", "v"), f"SELECT a.y, a.x, round(avg(b.v), 6) + 0.0 AS v FROM ({FULL}) a JOIN ({FULL}) b ON b.y BETWEEN a.y AND a.y + 2 AND b.x BETWEEN a.x AND a.x + 2 GROUP BY a.y, a.x HAVING count(*) = 9")
 register("binary_opening", lambda s, d: stencil.opening(_mask(s, d), _D1, "ignore").select("y", "x", "v"), f"WITH a AS MATERIALIZED ({_shift_sql(_MASK, _D1, 'min(n)', 'ignore')}) SELECT y, x, v FROM ({_shift_sql('SELECT * FROM a', _D1, 'max(n)', 'ignore')})")
 register("binary_closing", lambda s, d: stencil.closing(_mask(s, d), _D1, "ignore").select("y", "x", "v"), f"WITH a AS MATERIALIZED ({_shift_sql(_MASK, _D1, 'max(n)', 'ignore')}) SELECT y, x, v FROM ({_shift_sql('SELECT * FROM a', _D1, 'min(n)', 'ignore')})")
+register("rotate", lambda s, d: transform.rotate(raster.full_part_grid(s, d), (64, 64), 30.0).select("y", "x", "v"), _warp_sql(FULL, 64, 64, *_ROT))
