@@ -116,9 +116,9 @@ def expand_labels(labels: DataFrame, distance: int = 1) -> DataFrame:
     return out.select("image_id", "y", "x", F.when(F.col("label") != 0, F.col("label")).otherwise(F.coalesce(F.col("b.n").cast("long"), F.lit(0))).alias("label"))
 
 
-def apply_hysteresis_threshold(pixels: DataFrame, low: float, high: float) -> DataFrame:
+def apply_hysteresis_threshold(pixels: DataFrame, low: float, high: float, connectivity: int = 1) -> DataFrame:
     """Components above ``low`` that hold a place above ``high``."""
-    parts = label(pixels.withColumn("v", (F.col("v") > low).cast("double")))
+    parts = label(pixels.withColumn("v", (F.col("v") > low).cast("double")), connectivity)
     strong = parts.join(pixels, ["image_id", "y", "x"]).where(F.col("v") > high).where("label <> 0").select(*KEY).distinct().withColumn("_on", F.lit(True))
     return parts.join(strong, KEY, "left").select("image_id", "y", "x", F.coalesce("_on", F.lit(False)).alias("mask"))
 

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import raster
-from ..operators import filters, morphology, overlay, stencil, transform
-from .catalog import _BINARY, _CC, _D1, _G1, BYTES, COLOURS, EMBEDDING, FULL, LABELS, _binary, _outer, _r, _shift_sql, _sums, register
+from ..operators import edges, filters, histogram, morphology, overlay, registration, stencil, transform
+from .catalog import SQL, _BINARY, _CC, _D1, _G1, BYTES, COLOURS, EMBEDDING, FULL, LABELS, _binary, _outer, _r, _shift_sql, _sums, register
 
 _MASK = f"SELECT image_id, y, x, (label > 1)::INT::DOUBLE AS v FROM ({FULL})"
 _EDT = f"SELECT a.y, a.x, CASE WHEN any_value(a.v) = 0 THEN 0 ELSE sqrt(min(pow(a.y - b.y, 2) + pow(a.x - b.x, 2))) END AS d FROM ({_MASK}) a, ({_MASK}) b WHERE b.v = 0 GROUP BY a.y, a.x"
@@ -126,3 +126,38 @@ register("window_means", lambda s, d: stencil.gather(raster.full_part_grid(s, d)
 register("binary_opening", lambda s, d: stencil.opening(_mask(s, d), _D1, "ignore").select("y", "x", "v"), f"WITH a AS MATERIALIZED ({_shift_sql(_MASK, _D1, 'min(n)', 'ignore')}) SELECT y, x, v FROM ({_shift_sql('SELECT * FROM a', _D1, 'max(n)', 'ignore')})")
 register("binary_closing", lambda s, d: stencil.closing(_mask(s, d), _D1, "ignore").select("y", "x", "v"), f"WITH a AS MATERIALIZED ({_shift_sql(_MASK, _D1, 'max(n)', 'ignore')}) SELECT y, x, v FROM ({_shift_sql('SELECT * FROM a', _D1, 'min(n)', 'ignore')})")
 register("rotate", lambda s, d: transform.rotate(raster.full_part_grid(s, d), (64, 64), 30.0).select("y", "x", "v"), _warp_sql(FULL, 64, 64, *_ROT))
+register("canny", lambda s, d: edges.canny(raster.embedding_image(s, d), 1.0, 0.02, 0.05).select("y", "x", F.col("mask").cast("int").alias("mask")))
+_BANDS = "((y % 7 = 0 AND y > 0) OR (y % 7 = 6 AND y < max(y) OVER ()))"
+register("mark_boundaries", lambda s, d: edges.mark_boundaries(raster.embedding_colours(s, d).withColumn("label", F.floor(F.col("y") / 7))).select("y", "x", "r", "g", "b"), f"SELECT y, x, {', '.join(_r(f'CASE WHEN {_BANDS} THEN {v} ELSE {c} END', c) for c, v in zip('rgb', ('1', '1', '0'), strict=True))} FROM ({COLOURS})")
+register("denoise_tv_chambolle", lambda s, d: edges.denoise_tv(raster.embedding_bytes(s, d).withColumn("v", F.col("v") / 255), 0.1, 10).select("y", "x", "v"))
+register("multiscale_basic_features", lambda s, d: edges.multiscale_basic_features(raster.full_part_grid(s, d)).drop("image_id"))
+
+
+def _try_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = histogram.histogram(raster.embedding_image(spark, sf_dir))
+    out = None
+    for name in ("otsu", "yen", "isodata", "triangle"):
+        t = getattr(histogram, f"threshold_{name}")(h).select(F.lit(name).alias("method"), "threshold")
+        out = t if out is None else out.unionByName(t)
+    return out
+
+
+register("try_all_threshold", _try_all, " UNION ALL ".join(f"SELECT '{n}' AS method, threshold FROM ({SQL[f'threshold_{n}']})" for n in ("otsu", "yen", "isodata", "triangle")))
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part sizes against prices, as if they were matched points."""
+    p = raster.read(spark, sf_dir, "part")
+    return p.select(F.col("p_size").alias("sx"), (F.col("p_partkey") % 100).alias("sy"), F.col("p_retailprice").alias("dx"), (F.col("p_partkey") % 37).alias("dy"))
+
+
+def _affine_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = registration.estimate_affine(_points(spark, sf_dir))
+    return spark.createDataFrame([(r, c, float(m[r, c])) for r in range(2) for c in range(3)], "r int, c int, v double")
+
+
+_FIT = """WITH p AS (SELECT p_size::DOUBLE AS x, (p_partkey % 100)::DOUBLE AS y, {t}::DOUBLE AS t FROM part), s AS (SELECT covar_pop(x, x) AS xx, covar_pop(x, y) AS xy, covar_pop(y, y) AS yy, covar_pop(x, t) AS xt, covar_pop(y, t) AS yt, avg(x) AS mx, avg(y) AS my, avg(t) AS mt FROM p),
+k AS (SELECT (xt * yy - yt * xy) / (xx * yy - xy * xy) AS a, (yt * xx - xt * xy) / (xx * yy - xy * xy) AS b, mx, my, mt FROM s)
+SELECT {r} AS r, c, round(v, 6) + 0.0 AS v FROM (SELECT 0 AS c, a AS v FROM k UNION ALL SELECT 1, b FROM k UNION ALL SELECT 2, mt - a * mx - b * my FROM k)"""
+register("estimate_affine", _affine_fit, f"SELECT * FROM ({_FIT.format(t='p_retailprice', r=0)}) UNION ALL SELECT * FROM ({_FIT.format(t='(p_partkey % 37)', r=1)})")
+register("matrix_transform", lambda s, d: registration.matrix_transform(_points(s, d), transform.euclidean_matrix(0.3, (2.0, -1.0), 1.5)).select("sx", "sy", "tx", "ty"), "SELECT p_size AS sx, p_partkey % 100 AS sy, round(1.5 * (cos(0.3) * p_size - sin(0.3) * (p_partkey % 100)) + 2, 6) + 0.0 AS tx, round(1.5 * (sin(0.3) * p_size + cos(0.3) * (p_partkey % 100)) - 1, 6) + 0.0 AS ty FROM part")

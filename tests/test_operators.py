@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from imgq.functions import color
-from imgq.operators import filters, histogram, metrics, morphology, overlay, regions, stencil, transform
+from imgq.operators import edges, filters, histogram, metrics, morphology, overlay, regions, registration, stencil, transform
 from imgq.sources import images
 from imgq.streaming import events
 from pyspark.sql import functions as F
@@ -295,3 +295,38 @@ def test_event_stream(spark, tmp_path):
     finally:
         q.stop()
     assert got and {r["v"] for r in got} == {3.0} and len(got) == len({(r["start"], r["x"]) for r in got})
+
+
+def test_estimated_transforms(spark):
+    rng = np.random.default_rng(9)
+    src = rng.random((30, 2)) * 50
+    similar = transform.euclidean_matrix(0.4, (3.0, -2.0), 1.7)
+    general = np.array([[1.2, 0.1, 3.0], [-0.2, 0.9, 1.0], [0.001, -0.002, 1.0]])
+    affine = np.array([[1.2, 0.3, 3.0], [-0.2, 0.9, 1.0], [0, 0, 1.0]])
+
+    def points(m):
+        h = np.c_[src, np.ones(30)] @ m.T
+        dst = h[:, :2] / h[:, 2:]
+        return spark.createDataFrame(np.c_[src, dst].tolist(), "sx double, sy double, dx double, dy double")
+
+    assert np.allclose(registration.estimate_similarity(points(similar)), similar)
+    assert np.allclose(registration.estimate_affine(points(affine)), affine)
+    assert np.allclose(registration.estimate_projective(points(general)), general, atol=1e-6)
+    got = registration.matrix_transform(points(general), general).select("dx", "dy", "tx", "ty").toPandas().to_numpy()
+    assert np.allclose(got[:, :2], got[:, 2:])
+    k = registration.estimate_polynomial(points(affine), 1)
+    assert np.allclose(k, [[3.0, 1.2, 0.3], [1.0, -0.2, 0.9]])
+    assert np.isnan(registration.estimate_similarity(points(affine).limit(0))).all()
+
+
+def test_canny_finds_a_thin_step(spark):
+    a = np.zeros((16, 16))
+    a[:, 8:] = 1
+    found = grid(edges.canny(frame(spark, a), 1.0, 0.05, 0.1), "mask")
+    assert found[5:11].sum(axis=1).max() <= 2 and found[5:11, 7:9].any(axis=1).all() and not found[:, :6].any()
+
+
+def test_denoising_lowers_variation(spark, image):
+    got = grid(edges.denoise_tv(frame(spark, image), 0.2, 10))
+    variation = lambda x: np.abs(np.diff(x, axis=0)).sum() + np.abs(np.diff(x, axis=1)).sum()
+    assert variation(got) < 0.7 * variation(image) and np.isclose(got.mean(), image.mean(), atol=1e-6)
