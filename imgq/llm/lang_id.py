@@ -196,8 +196,15 @@ def learn(documents: DataFrame, train: Column | None = None, sample_docs: int =
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     if train is not None:
         rows = rows.where(train)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", "lang").withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample_docs)
+    hashed = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("_h"))
+    # One row for each language, as the parser has an automaton for each.
+    sizes = hashed.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.min("_h").alias("_least"))
+    # The part of the hashes' range that holds twice the sample and more, so
+    # that no task ranks a language's rows; the smallest hash is always in it.
+    part = F.greatest((2 * sample_docs + 200) / F.col("_n"), F.col("_least") / 2.0**64 + 0.5)
+    near = hashed.join(F.broadcast(sizes), "lang").where(F.col("_h") / 2.0**64 + 0.5 <= part)
+    order = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    ids = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample_docs)
     # At most sample_docs ids for each language: small enough to send along.
     taken = rows.select("doc_id", "lang", F.substring("text", 1, max_symbols).alias("text")).join(F.broadcast(ids.select("doc_id", "lang", "_rank")), ["doc_id", "lang"])
     share = -(-4 * max_symbols // sample_docs)
