@@ -44,7 +44,10 @@ def distance_transform_edt(mask: DataFrame, sampling: tuple[float, float] = (1.0
 
 
 def isotropic(mask: DataFrame, radius: float, kind: str) -> DataFrame:
-    """Erosion or dilation by a ball, from the distance transform."""
+    """Erosion, dilation, opening or closing by a ball, from the distance transform."""
+    if kind in ("opening", "closing"):
+        first, then = ("erosion", "dilation") if kind == "opening" else ("dilation", "erosion")
+        return isotropic(materialize(isotropic(mask, radius, first), first), radius, then)
     if kind == "erosion":
         return distance_transform_edt(mask).withColumn("v", (F.col("v") > radius).cast("double"))
     inverse = mask.withColumn("v", (F.col("v") == 0).cast("double"))
@@ -115,6 +118,20 @@ def local_maxima(pixels: DataFrame, connectivity: int = 1, allow_borders: bool =
     return p.join(bad, ["image_id", "label"]).select(*PLACE, (~F.col("lost")).cast("double").alias("v"))
 
 
+def _negative(pixels: DataFrame) -> DataFrame:
+    return pixels.withColumn("v", -F.col("v"))
+
+
+def h_minima(pixels: DataFrame, h: float) -> DataFrame:
+    """1 where the image lies at least ``h`` below its reconstruction from h above."""
+    return h_maxima(_negative(pixels), h)
+
+
+def local_minima(pixels: DataFrame, connectivity: int = 1, allow_borders: bool = True) -> DataFrame:
+    """1 on plateaus of equal values with no lower neighbour."""
+    return local_maxima(_negative(pixels), connectivity, allow_borders)
+
+
 def remove_small_holes(mask: DataFrame, max_size: int = 64, connectivity: int = 1) -> DataFrame:
     """Background components of at most ``max_size`` places are filled."""
     holes = label(mask.withColumn("v", (F.col("v") == 0).cast("double")), connectivity)
@@ -139,6 +156,32 @@ def perimeter(mask: DataFrame) -> DataFrame:
     return code.groupBy("image_id").agg(F.sum(weight).alias("perimeter"))
 
 
+# Weights of the sixteen 2 x 2 neighbourhoods by code, for 2 and 4 directions.
+_S = math.sqrt(2)
+CROFTON = {
+    2: [0, math.pi / 2, 0, 0, 0, math.pi / 2, 0, 0, math.pi / 2, math.pi, 0, 0, math.pi / 2, math.pi, 0, 0],
+    4: [
+        0, math.pi / 4 * (1 + 1 / _S), math.pi / (4 * _S), math.pi / (2 * _S), 0, math.pi / 4 * (1 + 1 / _S), 0, math.pi / (4 * _S),
+        math.pi / 4, math.pi / 2, math.pi / (4 * _S), math.pi / (4 * _S), math.pi / 4, math.pi / 2, 0, 0,
+    ],
+}
+#: The neighbourhoods that a place belongs to, with its part of their codes.
+CORNERS = [(0, 0, 1), (1, 0, 2), (0, 1, 4), (1, 1, 8)]
+
+
+def perimeter_crofton(mask: DataFrame, directions: int = 4) -> DataFrame:
+    """Crofton's estimate of the outline's length: image_id, perimeter.
+
+    Only places with v <> 0 are sent on, as empty neighbourhoods weigh nothing;
+    an image without any has length 0.
+    """
+    corner = F.explode(F.array(*[F.struct((F.col("y") + dy).alias("y"), (F.col("x") + dx).alias("x"), F.lit(k).alias("k")) for dy, dx, k in CORNERS])).alias("c")
+    codes = mask.where("v <> 0").select("image_id", corner).groupBy("image_id", "c.y", "c.x").agg(F.sum("c.k").cast("int").alias("code"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in CROFTON[directions]]), F.col("code") + 1)
+    lengths = codes.groupBy("image_id").agg(F.sum(weight).alias("perimeter"))
+    return mask.select("image_id").distinct().join(lengths, "image_id", "left").select("image_id", F.coalesce("perimeter", F.lit(0.0)).alias("perimeter"))
+
+
 def rolling_ball(pixels: DataFrame, radius: int) -> DataFrame:
     """The background that a ball rolled below the surface traces."""
     ball = [(dy, dx, math.sqrt(radius**2 - dy * dy - dx * dx)) for dy, dx in rectangle(2 * radius + 1, 2 * radius + 1) if dy * dy + dx * dx <= radius**2]

@@ -260,6 +260,20 @@ def eigenvalues(a: Column, b: Column, c: Column) -> tuple[Column, Column]:
     return (a + c) / 2 + root, (a + c) / 2 - root
 
 
+def corner_kitchen_rosenfeld(pixels: DataFrame) -> DataFrame:
+    """Curvature of the level line times the gradient, from plain Sobel derivatives; zero where there is no gradient."""
+    derive = lambda p, axis, other: correlate1d(correlate1d(p, [-1.0, 0.0, 1.0], axis, "constant"), [1.0, 2.0, 1.0], other, "constant")
+    dy, dx = derive(pixels, "y", "x"), derive(pixels, "x", "y")
+    parts = {"dy": dy, "dx": dx, "dxy": derive(dx, "y", "x"), "dxx": derive(dx, "x", "y"), "dyy": derive(dy, "y", "x")}
+    out = None
+    for name, part in parts.items():
+        part = part.withColumnRenamed("v", name)
+        out = part if out is None else out.join(part, ["image_id", "y", "x"])
+    dy, dx = F.col("dy"), F.col("dx")
+    bend = F.col("dxx") * dy * dy + F.col("dyy") * dx * dx - 2 * F.col("dxy") * dx * dy
+    return out.select("image_id", "y", "x", F.coalesce(F.try_divide(bend, dx * dx + dy * dy), F.lit(0.0)).alias("v"))
+
+
 def corner_harris(pixels: DataFrame, k: float = 0.05, sigma: float = 1.0) -> DataFrame:
     t = structure_tensor(pixels, sigma)
     det, trace = F.col("arr") * F.col("acc") - F.col("arc") * F.col("arc"), F.col("arr") + F.col("acc")

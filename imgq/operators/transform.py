@@ -125,6 +125,19 @@ def pyramid_reduce(pixels: DataFrame, shape: tuple[int, int], downscale: int = 2
     return resize(soft, shape, math.ceil(shape[0] / downscale), math.ceil(shape[1] / downscale))
 
 
+def pyramid_laplacian(pixels: DataFrame, shape: tuple[int, int], levels: int, factor: int = 2) -> DataFrame:
+    """What smoothing takes away at each level: level, image_id, y, x, v."""
+    out, now, (h, w) = None, pixels, shape
+    for level in range(levels):
+        smooth = gaussian(now, 2 * factor / 6.0, "reflect").withColumnRenamed("v", "_s")
+        left = now.join(smooth, ["image_id", "y", "x"]).select(F.lit(level).alias("level"), "image_id", "y", "x", (F.col("v") - F.col("_s")).alias("v"))
+        out = left if out is None else out.unionByName(left)
+        if level + 1 < levels:
+            now = pyramid_reduce(now, (h, w), factor)
+            h, w = -(-h // factor), -(-w // factor)
+    return out
+
+
 def mean_pyramid(pixels: DataFrame, levels: int) -> DataFrame:
     """Levels 0 to ``levels`` - 1, each the 2 x 2 means of the one before, with a column ``level``."""
     out, now = pixels.select(F.lit(0).alias("level"), *PLACE, "v"), pixels

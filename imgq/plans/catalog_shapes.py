@@ -161,3 +161,21 @@ k AS (SELECT (xt * yy - yt * xy) / (xx * yy - xy * xy) AS a, (yt * xx - xt * xy)
 SELECT {r} AS r, c, round(v, 6) + 0.0 AS v FROM (SELECT 0 AS c, a AS v FROM k UNION ALL SELECT 1, b FROM k UNION ALL SELECT 2, mt - a * mx - b * my FROM k)"""
 register("estimate_affine", _affine_fit, f"SELECT * FROM ({_FIT.format(t='p_retailprice', r=0)}) UNION ALL SELECT * FROM ({_FIT.format(t='(p_partkey % 37)', r=1)})")
 register("matrix_transform", lambda s, d: registration.matrix_transform(_points(s, d), transform.euclidean_matrix(0.3, (2.0, -1.0), 1.5)).select("sx", "sy", "tx", "ty"), "SELECT p_size AS sx, p_partkey % 100 AS sy, round(1.5 * (cos(0.3) * p_size - sin(0.3) * (p_partkey % 100)) + 2, 6) + 0.0 AS tx, round(1.5 * (sin(0.3) * p_size + cos(0.3) * (p_partkey % 100)) - 1, 6) + 0.0 AS ty FROM part")
+
+_ERODED = f"SELECT y, x, (d > 1.5)::INT::DOUBLE AS v FROM ({_EDT})"
+_AROUND = stencil.rectangle(3, 3)
+register("isotropic_opening", lambda s, d: morphology.isotropic(_mask(s, d), 1.5, "opening").select("y", "x", "v"), f"WITH a AS MATERIALIZED ({_ERODED}) SELECT y, x, v FROM ({_shift_sql('SELECT * FROM a', _AROUND, 'max(n)', 'ignore')})")
+register("isotropic_closing", lambda s, d: morphology.isotropic(_mask(s, d), 1.5, "closing").select("y", "x", "v"), f"WITH a AS MATERIALIZED ({_shift_sql(_MASK, _AROUND, 'max(n)', 'ignore')}) SELECT y, x, v FROM ({_shift_sql('SELECT * FROM a', _AROUND, 'min(n)', 'ignore')})")
+register("local_minima", lambda s, d: morphology.local_minima(raster.full_part_grid(s, d)).select("y", "x", "v"), SQL["local_maxima"].replace("q.v > p.v", "q.v < p.v"))
+register("h_minima", lambda s, d: morphology.h_minima(raster.full_part_grid(s, d), 300.0).select("y", "x", "v"))
+_CODES = f"SELECT p.y + dy AS y, p.x + dx AS x, sum(k) AS code FROM ({_BINARY}) p, (VALUES {', '.join(map(str, morphology.CORNERS))}) o(dy, dx, k) WHERE p.v = 1 GROUP BY ALL"
+for _n in (2, 4):
+    register(f"perimeter_crofton_{_n}", lambda s, d, n=_n: morphology.perimeter_crofton(_binary(s, d), n).select("perimeter"), f"SELECT {_r('sum(CASE code ' + ' '.join(f'WHEN {i} THEN {float(w)!r}::DOUBLE' for i, w in enumerate(morphology.CROFTON[_n])) + ' END)', 'perimeter')} FROM ({_CODES})")
+_DOWN, _RIGHT = _outer([-1, 0, 1], [1, 2, 1]), _outer([1, 2, 1], [-1, 0, 1])
+register("corner_kitchen_rosenfeld", lambda s, d: stencil.corner_kitchen_rosenfeld(raster.embedding_bytes(s, d)).select("y", "x", "v"), f"""WITH gy AS MATERIALIZED ({_sums(BYTES, _DOWN)}), gx AS MATERIALIZED ({_sums(BYTES, _RIGHT)}),
+d AS (SELECT y, x, gy.v AS dy, gx.v AS dx, a.v AS dxy, b.v AS dxx, c.v AS dyy FROM gy JOIN gx USING (y, x) JOIN ({_sums('SELECT * FROM gx', _DOWN)}) a USING (y, x) JOIN ({_sums('SELECT * FROM gx', _RIGHT)}) b USING (y, x) JOIN ({_sums('SELECT * FROM gy', _DOWN)}) c USING (y, x))
+SELECT y, x, {_r('coalesce((dxx * dy * dy + dyy * dx * dx - 2 * dxy * dx * dy) / nullif(dx * dx + dy * dy, 0), 0)', 'v')} FROM d""")
+_SMOOTH = _outer(_G2, _G2)
+register("pyramid_laplacian", lambda s, d: transform.pyramid_laplacian(raster.full_part_grid(s, d).select("image_id", "y", "x", "v"), (64, 64), 2).select("level", "y", "x", "v"), f"""WITH a AS MATERIALIZED (SELECT y, x, v FROM ({FULL})), b AS MATERIALIZED ({_sums('SELECT * FROM a', _SMOOTH, 'reflect')}),
+c AS MATERIALIZED (SELECT (y // 2)::INT AS y, (x // 2)::INT AS x, avg(v) AS v FROM b GROUP BY ALL)
+SELECT 0 AS level, y, x, {_r('a.v - b.v', 'v')} FROM a JOIN b USING (y, x) UNION ALL SELECT 1, y, x, {_r('c.v - e.v', 'v')} FROM c JOIN ({_sums('SELECT * FROM c', _SMOOTH, 'reflect')}) e USING (y, x)""")

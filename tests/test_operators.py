@@ -330,3 +330,36 @@ def test_denoising_lowers_variation(spark, image):
     got = grid(edges.denoise_tv(frame(spark, image), 0.2, 10))
     variation = lambda x: np.abs(np.diff(x, axis=0)).sum() + np.abs(np.diff(x, axis=1)).sum()
     assert variation(got) < 0.7 * variation(image) and np.isclose(got.mean(), image.mean(), atol=1e-6)
+
+
+def test_minima_mirror_maxima(spark):
+    rng = np.random.default_rng(5)
+    image = rng.integers(0, 6, (9, 7)).astype(float)
+    rows = [(0, y, x, float(v)) for (y, x), v in np.ndenumerate(image)]
+    pixels = spark.createDataFrame(rows, "image_id long, y int, x int, v double")
+    low = {(r.y, r.x): r.v for r in morphology.local_minima(pixels, 2).collect()}
+    deep = {(r.y, r.x): r.v for r in morphology.h_minima(pixels, 2.0).collect()}
+
+    def basin(y, x, level):
+        """Places reached from here without rising above ``level``."""
+        seen, todo = {(y, x)}, [(y, x)]
+        while todo:
+            a, b = todo.pop()
+            for p in ((a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                if p not in seen and 0 <= p[0] < 9 and 0 <= p[1] < 7 and image[p] <= level:
+                    seen.add(p)
+                    todo.append(p)
+        return seen
+
+    for (y, x), v in np.ndenumerate(image):
+        assert low[y, x] == float(min(image[p] for p in basin(y, x, v)) == v)
+        # Nothing lower is reached by climbing less than h.
+        assert deep[y, x] == float(min(image[p] for p in basin(y, x, v + 1.0)) == v)
+
+
+def test_crofton_of_nothing_and_of_one_place(spark):
+    rows = [(i, y, x, float(i == 1 and (y, x) == (1, 1))) for i in (0, 1) for y in range(3) for x in range(3)]
+    mask = spark.createDataFrame(rows, "image_id long, y int, x int, v double")
+    got = {r.image_id: r.perimeter for r in morphology.perimeter_crofton(mask).collect()}
+    assert got[0] == 0
+    assert got[1] == pytest.approx(np.pi / 4 * (2 + np.sqrt(2)))
