@@ -28,7 +28,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from .common import crc32_mod
 
 #: The sample: this many documents of a language at most, with the smallest
-#: hashes of their ids, and this many symbols of their texts at most.
+#: hashes of their ids, and this many symbols of their whole texts at most.
 SAMPLE_DOCS = 400
 SAMPLE_SYMBOLS = 60_000
 WINDOW = 2048
@@ -188,10 +188,11 @@ class CrossParser:
 
 
 def learn(documents: DataFrame, train: Column | None = None, sample_docs: int = SAMPLE_DOCS, max_symbols: int = SAMPLE_SYMBOLS) -> CrossParser:
-    """Fit on ``sample_docs`` documents of each language.
+    """Fit on whole texts of each language, in the order of their ids' hashes.
 
-    The sample is bounded by the two parameters; which documents are in it
-    depends on a hash of their ids only.
+    Texts are taken until ``max_symbols`` symbols or ``sample_docs`` documents
+    are met, so that each language with enough text teaches the same number of
+    symbols. Only the text at which the symbols are met is cut there.
     """
     rows = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     if train is not None:
@@ -206,12 +207,25 @@ def learn(documents: DataFrame, train: Column | None = None, sample_docs: int =
     order = Window.partitionBy("lang").orderBy("_h", "doc_id")
     ids = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample_docs)
     # At most sample_docs ids for each language: small enough to send along.
-    taken = rows.select("doc_id", "lang", F.substring("text", 1, max_symbols).alias("text")).join(F.broadcast(ids.select("doc_id", "lang", "_rank")), ["doc_id", "lang"])
-    share = -(-4 * max_symbols // sample_docs)
-    samples: dict[str, list[tuple[int, int, str]]] = {}
-    for r in taken.select("doc_id", "lang", "_rank", F.substring("text", 1, share).alias("text")).collect():
-        samples.setdefault(r["lang"], []).append((r["_rank"], r["doc_id"], r["text"]))
-    return CrossParser({lang: [t for _, _, t in sorted(v, key=lambda x: x[:2])] for lang, v in samples.items()}, max_symbols)
+    ids = ids.groupBy("doc_id", "lang").agg(F.min("_rank").alias("_rank"))
+    taken = rows.select("doc_id", "lang", "text").join(F.broadcast(ids), ["doc_id", "lang"])
+
+    def symbols(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            points = [_lower_letters(t)[:max_symbols] for t in batch.column(2).to_pylist()]
+            sizes = pa.array([len(x) for x in points], pa.int64())
+            blobs = pa.array([x.tobytes() for x in points], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sizes, blobs], names=["lang", "_rank", "_size", "_symbols"])
+
+    cut = taken.select("lang", "_rank", "text").mapInArrow(symbols, "lang string, _rank int, _size long, _symbols binary")
+    order = Window.partitionBy("lang").orderBy("_rank", "_symbols")
+    before = F.coalesce(F.sum("_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = cut.select("lang", "_symbols", before.alias("_before"), F.row_number().over(order).alias("_rank"))
+    samples: dict[str, list[tuple[int, str]]] = {}
+    # Less than twice max_symbols for each language.
+    for r in cut.where((F.col("_before") < max_symbols) & (F.col("_rank") <= sample_docs)).collect():
+        samples.setdefault(r["lang"], []).append((r["_rank"], bytes(r["_symbols"]).decode("utf-32-le", "surrogatepass")))
+    return CrossParser({lang: [t for _, t in sorted(v)] for lang, v in samples.items()}, max_symbols)
 
 
 #: Texts that are parsed together, in code points at most.

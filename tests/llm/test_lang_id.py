@@ -57,3 +57,33 @@ def test_held_out_accuracy_and_edges(documents, rows, no_documents):
     assert {r["lang_pred"] for r in lang_id.identify(documents.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     kept = lang_id.keep_identified(documents)
     assert kept.columns == documents.columns and kept.count() == len(rows) - 3
+
+
+def test_whole_texts_are_learnt(spark):
+    """Few long texts with a common beginning teach as many symbols as there may be."""
+    rng = np.random.default_rng(3)
+    letters = {"aa": "abcdefgh", "bb": "hijklmno"}
+    head = "12 34 " * 200  # no letters in over 600 code points
+    rows = [(d, head + "".join(rng.choice(list(letters[lang]), 5000)), lang) for d, lang in enumerate(["aa", "bb"] * 3)]
+    rows += [(d + 10, "".join(rng.choice(list(letters["aa"]), 40)), "aa") for d in range(5)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen = {}
+    init = lang_id.CrossParser.__init__
+
+    def spy(self, samples, max_symbols):
+        seen.update(samples)
+        init(self, samples, max_symbols)
+
+    lang_id.CrossParser.__init__ = spy
+    try:
+        parser = lang_id.learn(documents)
+        assert {lang: sum(map(len, x)) for lang, x in seen.items()} == {"aa": 3 * 5001 + 5 * 40, "bb": 3 * 5001}
+        wanted = [(t, lang) for _, t, lang in rows if len(t) > 1000]
+        phrases, _ = parser.phrases([t[-2000:] for t, _ in wanted])
+        assert all(row[parser.langs.index(lang)] <= 2 for row, (_, lang) in zip(phrases, wanted, strict=True))
+        lang_id.learn(documents, max_symbols=6000)
+        assert all(6000 <= sum(map(len, x)) < 6000 + 5001 for x in seen.values())
+        lang_id.learn(documents, sample_docs=2)
+        assert all(len(x) == 2 for x in seen.values())
+    finally:
+        lang_id.CrossParser.__init__ = init
