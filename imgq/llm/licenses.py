@@ -1,9 +1,11 @@
 """Licence scans as an exact set-similarity join, in DataFrame functions only.
 
-Text blocks (lines, long ones in overlapping windows of words) are joined with
-licence templates on containment: a block matches if it has at least
-``CONTAINMENT`` of the template's distinct words. Words of templates are put in
-one global order, rarest in the corpus first, and three filters follow from it:
+Text blocks are joined with licence templates on containment: a block matches
+if it has at least ``CONTAINMENT`` of the template's distinct words. Blocks are
+lines (long ones in overlapping windows of words) and, as notices are wrapped,
+every run of words of the whole text, over line ends too, that has as many words
+as the template's text. Words of templates are put in one global order, rarest
+in the corpus first, and three filters follow from it (for runs the first):
 
 * prefix: a match must share one of the template's rarest words, as many as may
   be missing plus one; only these are indexed,
@@ -66,8 +68,12 @@ def words(lowered: Column) -> Column:
     return F.filter(F.split(lowered, SEPARATORS, -1), lambda w: w != "")
 
 
+def words_of(template: str) -> list[str]:
+    return [w for w in re.split(SEPARATORS, template.lower()) if w]
+
+
 def template_sets(templates: list[tuple[str, str]]) -> list[tuple[str, list[str]]]:
-    return [(label, sorted({w for w in re.split(SEPARATORS, text.lower()) if w})) for label, text in templates]
+    return [(label, sorted(set(words_of(text)))) for label, text in templates]
 
 
 def word_order(documents: DataFrame, vocabulary: list[str]) -> list[str]:
@@ -81,7 +87,8 @@ def word_order(documents: DataFrame, vocabulary: list[str]) -> list[str]:
 def matches(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """``(doc_id, block, template, label, containment)`` for every block that meets a template.
 
-    ``block`` numbers the document's blocks, ``template`` the templates.
+    ``block`` numbers the document's blocks, ``template`` the templates. A run of
+    words of the whole text has the line -1 and the place of a word in it.
     """
     sets = template_sets(templates)
     if any(len(s) > STRIDE for _, s in sets):
@@ -93,14 +100,15 @@ def matches(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     for k, (label, s) in enumerate(sets):
         need = math.ceil(containment * len(s) - 1e-9)
         ranked = sorted(at[w] for w in s)
-        index += [(k, label, ranked, need, i, r) for i, r in enumerate(ranked[: len(ranked) - need + 1])]
+        span = len(words_of(templates[k][1]))
+        index += [(k, label, ranked, need, span, i, r) for i, r in enumerate(ranked[: len(ranked) - need + 1])]
     # As many rows as the templates have prefix words: a fixed, small number.
-    index_table = documents.sparkSession.createDataFrame(index, "template int, label string, words array<int>, need int, i int, rank int")
+    index_table = documents.sparkSession.createDataFrame(index, "template int, label string, words array<int>, need int, span int, i int, rank int")
     prefix = sorted({order[r] for *_, r in index})
     ranks = F.create_map(*[F.lit(x) for w in order for x in (w, at[w])])
 
-    lines = documents.where(F.arrays_overlap(F.split(F.lower("text"), SEPARATORS, -1), F.array(*[F.lit(w) for w in prefix])))
-    lines = lines.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("_line", "_text"))
+    rows = documents.where(F.arrays_overlap(F.split(F.lower("text"), SEPARATORS, -1), F.array(*[F.lit(w) for w in prefix])))
+    lines = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("_line", "_text"))
     lines = lines.select("doc_id", "_line", words(ascii_lower(F.col("_text"))).alias("_words"))
     starts = F.sequence(F.lit(0), F.greatest(F.size("_words") - (WINDOW - STRIDE) - 1, F.lit(0)), F.lit(STRIDE))
     blocks = lines.select("doc_id", "_line", "_words", F.explode(starts).alias("_from"))
@@ -114,7 +122,26 @@ def matches(documents: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     met = met.where(most >= F.col("need"))
     shared = F.size(F.array_intersect("words", "have"))
     met = met.where(shared >= F.col("need")).select("doc_id", "block", "template", "label", (shared / F.size("words")).alias("containment"))
-    return met.distinct()
+    return met.unionByName(_runs_of_words(rows, index_table, vocabulary, ranks, sorted({at[w] for w in prefix}), max(x[4] for x in index))).distinct()
+
+
+def _runs_of_words(rows: DataFrame, index_table: DataFrame, vocabulary: list[str], ranks: Column, prefix: list[int], longest: int) -> DataFrame:
+    """Matches in runs of ``span`` words of the whole text, those around each prefix word."""
+    placed = F.transform(words(ascii_lower(F.col("text"))), lambda w, i: F.struct(w.alias("w"), i.alias("at")))
+    placed = F.filter(placed, lambda x: x["w"].isin(vocabulary))
+    every = rows.select("doc_id", F.transform(placed, lambda x: F.struct(ranks[x["w"]].alias("rank"), x["at"].alias("at"))).alias("_all"))
+    numbered = F.transform("_all", lambda x, j: F.struct(x["rank"].alias("rank"), x["at"].alias("at"), j.alias("j")))
+    hits = F.filter(numbered, lambda x: x["rank"].isin(prefix))
+    # No more than the longest span to either side goes along with a hit.
+    around = lambda x: F.slice("_all", F.greatest(x["j"] + 2 - longest, F.lit(1)), F.lit(2 * longest))
+    hits = every.select("doc_id", F.explode(F.transform(hits, lambda x: F.struct(x["rank"].alias("rank"), x["at"].alias("at"), around(x).alias("near")))).alias("_hit"))
+    met = hits.select("doc_id", "_hit.*").join(F.broadcast(index_table), "rank")
+    own = F.filter("near", lambda x: (F.abs(x["at"] - F.col("at")) < F.col("span")) & F.array_contains("words", x["rank"]))
+    met = met.select("doc_id", "at", "template", "label", "words", "need", "span", own.alias("own")).where(F.size("own") >= F.col("need"))
+    run = lambda x: F.filter("own", lambda y: (y["at"] >= x["at"]) & (y["at"] < x["at"] + F.col("span")))
+    shared = F.array_max(F.transform("own", lambda x: F.size(F.array_distinct(F.transform(run(x), lambda y: y["rank"])))))
+    met = met.withColumn("_shared", shared).where(F.col("_shared") >= F.col("need"))
+    return met.select("doc_id", F.struct(F.lit(-1).alias("_line"), F.col("at").alias("_from")).alias("block"), "template", "label", (F.col("_shared") / F.size("words")).alias("containment"))
 
 
 def _starts(phrase: list[str]) -> Column:

@@ -62,3 +62,18 @@ def test_repeated_null_and_no_rows(spark):
     got = sorted((str(r["doc_id"]), r["n_words"], r["labels"]) for r in licenses.scan(df).collect())
     assert got == [("1", 2, "mit"), ("1", 5, "mit"), ("None", 2, "cc-by")]
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_wrapped_notices(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\")"
+    bsd = "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:"
+    gpl = "This program is free software: you can redistribute it and/or modify\n  it under the terms of the GNU General\n\tPublic License"
+    narrow = "\n".join(mit.split()[:20])
+    filler = " ".join(f"f{i}" for i in range(301))
+    half = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof nothing"
+    far = f"Permission is hereby granted, free of charge, to any person obtaining a copy\n{filler}\nof this software and associated documentation files"
+    texts = [mit, bsd, gpl, narrow, f"{filler}\n{mit}\n{filler}\n{bsd}", half, far, (filler + "\n") * 3]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in got} == {
+        0: ("mit", 1.0), 1: ("bsd", 1.0), 2: ("gpl", 1.0), 3: ("mit", 1.0), 4: ("bsd,mit", 1.0), 5: ("", 0.0), 6: ("", 0.0), 7: ("", 0.0),
+    }
