@@ -45,21 +45,41 @@ def mark_boundaries(pixels: DataFrame, colour: tuple[float, float, float] = (1.0
     return p.select(*PLACE, *[F.when(F.col("boundary"), F.lit(c)).otherwise(F.col(k)).alias(k) for k, c in zip("rgb", colour, strict=True)])
 
 
-def denoise_tv(pixels: DataFrame, weight: float = 0.1, rounds: int = 20) -> DataFrame:
-    """Chambolle's total-variation denoising by a fixed number of rounds."""
+def denoise_tv(pixels: DataFrame, weight: float = 0.1, rounds: int = 200, eps: float = 2e-4) -> DataFrame:
+    """Chambolle's total-variation denoising.
+
+    Each image stops by itself at the round whose energy differs from that of
+    the round before by less than ``eps`` times the first, or after ``rounds``.
+    """
     down, right = Window.partitionBy("image_id", "x").orderBy("y"), Window.partitionBy("image_id", "y").orderBy("x")
     image = pixels.select(*PLACE, F.col("v").alias("i"))
     now = image.withColumns({"py": F.lit(0.0), "px": F.lit(0.0)})
     zero = F.lit(0.0)
-    for k in range(rounds):
-        d = -F.col("py") - F.col("px") + F.coalesce(F.lag("py").over(down), zero) + F.coalesce(F.lag("px").over(right), zero)
-        now = now.withColumn("o", F.col("i") + d)
-        now = now.withColumns({"gy": F.coalesce(F.lead("o").over(down) - F.col("o"), zero), "gx": F.coalesce(F.lead("o").over(right) - F.col("o"), zero)})
-        norm = 1 + 0.25 / weight * F.sqrt(F.col("gy") * F.col("gy") + F.col("gx") * F.col("gx"))
-        now = now.select(*PLACE, "i", "o", ((F.col("py") - 0.25 * F.col("gy")) / norm).alias("py"), ((F.col("px") - 0.25 * F.col("gx")) / norm).alias("px"))
-        if k % 5 == 4 or k == rounds - 1:
-            now = materialize(now, "denoised")
-    return now.select(*PLACE, F.col("o").alias("v"))
+    state, done = None, None
+    for first in range(0, rounds, 5):
+        block = range(first, min(first + 5, rounds))
+        for k in block:
+            d = -F.col("py") - F.col("px") + F.coalesce(F.lag("py").over(down), zero) + F.coalesce(F.lag("px").over(right), zero)
+            now = now.withColumn("d", d).withColumn(f"o{k}", F.col("i") + F.col("d"))
+            now = now.withColumns({"gy": F.coalesce(F.lead(f"o{k}").over(down) - F.col(f"o{k}"), zero), "gx": F.coalesce(F.lead(f"o{k}").over(right) - F.col(f"o{k}"), zero)})
+            now = now.withColumn("g", F.sqrt(F.col("gy") * F.col("gy") + F.col("gx") * F.col("gx")))
+            norm = 1 + 0.25 / weight * F.col("g")
+            now = now.withColumns({f"e{k}": F.col("d") * F.col("d") + weight * F.col("g"), "py": (F.col("py") - 0.25 * F.col("gy")) / norm, "px": (F.col("px") - 0.25 * F.col("gx")) / norm})
+        now = materialize(now.drop("d", "gy", "gx", "g"), "denoised")
+        energy = now.groupBy("image_id").agg(*[F.avg(f"e{k}").alias(f"e{k}") for k in block])
+        energy = energy.withColumns({"start": F.col("e0"), "before": F.col("e0")}) if state is None else energy.join(state, "image_id")
+        settled = lambda k: (F.abs(F.col("before" if k == first else f"e{k - 1}") - F.col(f"e{k}")) < eps * F.col("start")) | (F.col("start") == 0)  # noqa: E731, B023
+        stops = [F.when(settled(k), F.lit(k)) for k in block if k > 0]
+        stop = F.coalesce(*stops, F.lit(rounds - 1 if block[-1] == rounds - 1 else None).cast("int"))
+        energy = materialize(energy.select("image_id", "start", F.col(f"e{block[-1]}").alias("before"), stop.alias("stop")), "energy")
+        v = F.coalesce(*[F.when(F.col("stop") == k, F.col(f"o{k}")) for k in block])
+        ended = now.join(energy.where(F.col("stop").isNotNull()).select("image_id", "stop"), "image_id").select(*PLACE, v.alias("v"))
+        done = ended if done is None else done.unionByName(ended)
+        state = energy.where(F.col("stop").isNull()).drop("stop")
+        if state.isEmpty():
+            break
+        now = now.join(state.select("image_id"), "image_id").select(*PLACE, "i", "py", "px")
+    return done
 
 
 def multiscale_basic_features(pixels: DataFrame, sigmas: tuple[float, ...] = (1.0, 2.0)) -> DataFrame:

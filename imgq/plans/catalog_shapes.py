@@ -129,7 +129,7 @@ register("rotate", lambda s, d: transform.rotate(raster.full_part_grid(s, d), (6
 register("canny", lambda s, d: edges.canny(raster.embedding_image(s, d), 1.0, 0.02, 0.05).select("y", "x", F.col("mask").cast("int").alias("mask")))
 _BANDS = "((y % 7 = 0 AND y > 0) OR (y % 7 = 6 AND y < max(y) OVER ()))"
 register("mark_boundaries", lambda s, d: edges.mark_boundaries(raster.embedding_colours(s, d).withColumn("label", F.floor(F.col("y") / 7))).select("y", "x", "r", "g", "b"), f"SELECT y, x, {', '.join(_r(f'CASE WHEN {_BANDS} THEN {v} ELSE {c} END', c) for c, v in zip('rgb', ('1', '1', '0'), strict=True))} FROM ({COLOURS})")
-register("denoise_tv_chambolle", lambda s, d: edges.denoise_tv(raster.embedding_bytes(s, d).withColumn("v", F.col("v") / 255), 0.1, 10).select("y", "x", "v"))
+register("denoise_tv_chambolle", lambda s, d: edges.denoise_tv(raster.embedding_bytes(s, d).withColumn("v", F.col("v") / 255), 0.1).select("y", "x", "v"))
 register("multiscale_basic_features", lambda s, d: edges.multiscale_basic_features(raster.full_part_grid(s, d)).drop("image_id"))
 
 

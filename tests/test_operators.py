@@ -332,6 +332,39 @@ def test_denoising_lowers_variation(spark, image):
     assert variation(got) < 0.7 * variation(image) and np.isclose(got.mean(), image.mean(), atol=1e-6)
 
 
+def chambolle(image, weight, eps=2e-4, most=200):
+    """The image, and the round at which it stopped."""
+    py, px = np.zeros_like(image), np.zeros_like(image)
+    for k in range(most):
+        d = -py - px
+        d[1:] += py[:-1]
+        d[:, 1:] += px[:, :-1]
+        out = image + d
+        gy, gx = np.zeros_like(image), np.zeros_like(image)
+        gy[:-1], gx[:, :-1] = np.diff(out, axis=0), np.diff(out, axis=1)
+        norm = np.sqrt(gy * gy + gx * gx)
+        e = ((d * d).sum() + weight * norm.sum()) / image.size
+        if k and abs(before - e) < eps * start:
+            break
+        start = start if k else e
+        before = e
+        py, px = (py - 0.25 * gy) / (1 + 0.25 / weight * norm), (px - 0.25 * gx) / (1 + 0.25 / weight * norm)
+    return out, k
+
+
+def test_denoising_stops_by_its_energy(spark, image):
+    """Each image by itself, at a round that is not the other's."""
+    step = np.where(np.arange(9) < 4, 0.2, 0.9) + 0.05 * image
+    images = [image, step, np.full((4, 3), 0.5)]
+    want = [chambolle(a, 0.2, 5e-3) for a in images]
+    assert len({k for _, k in want}) == 3 and want[0][1] > 5
+    pixels = frame(spark, images[0]).union(frame(spark, images[1], 1)).union(frame(spark, images[2], 2))
+    got = edges.denoise_tv(pixels, 0.2, eps=5e-3).cache()
+    for k, (a, _) in enumerate(want):
+        assert np.allclose(grid(got.where(F.col("image_id") == k)), a, atol=1e-12)
+    assert np.allclose(grid(edges.denoise_tv(frame(spark, image), 0.2, 3)), chambolle(image, 0.2, most=3)[0], atol=1e-12)
+
+
 def test_minima_mirror_maxima(spark):
     rng = np.random.default_rng(5)
     image = rng.integers(0, 6, (9, 7)).astype(float)
