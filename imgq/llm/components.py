@@ -27,15 +27,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = large.where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
+        small = large.join(low.hint("merge"), "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b")))
-        new = materialize(small.where("a <> b").distinct(), "edges")
+        new = materialize(small.where("a <> b").distinct(), "edges", instead_of=now)
         # Done when every node hangs on one root and no root hangs on another.
         roots = new.select(F.col("b").alias("a")).distinct()
-        settled = new.groupBy("a").count().where("count > 1").limit(1).count() == 0 and new.join(roots, "a", "left_semi").limit(1).count() == 0
+        settled = new.groupBy("a").count().where("count > 1").limit(1).count() == 0 and new.join(roots.hint("merge"), "a", "left_semi").limit(1).count() == 0
         now = new
         if settled:
             break

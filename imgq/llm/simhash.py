@@ -22,14 +22,13 @@ share one component if these link. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Names, columns, materialize
 from .components import connected_components
 
 SHINGLE = 4
@@ -71,31 +70,39 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(compute, "doc_id long, fp long")
 
 
-def _masks(bits: int, radius: int) -> list[int]:
-    out = [0]
-    for r in range(1, radius + 1):
-        out += [sum(1 << b for b in c) for c in combinations(range(bits), r)]
-    return [m - (1 << 64) if m >> 63 else m for m in out]
+def _flips(rows: DataFrame, column: str, bits: int, radius: int) -> DataFrame:
+    """Each row with every variant of ``column`` that differs in ``radius`` of its lowest ``bits`` bits at most.
+
+    Bits are flipped one after the other in rising order; the place ``bits``
+    flips nothing and can only be followed by itself, so no variant comes twice.
+    """
+    others = [c for c in rows.columns if c != column]
+    rows = rows.withColumn("_bit", F.lit(-1))
+    for _ in range(radius):
+        steps = rows.select(*others, column, F.explode(F.expr(f"sequence(least(_bit + 1, {bits}), {bits})")).alias("_bit"))
+        rows = steps.select(*others, F.expr(f"CASE WHEN _bit < {bits} THEN {column} ^ shiftleft(1L, _bit) ELSE {column} END").alias(column), "_bit")
+    return rows.drop("_bit")
 
 
-def _half_keys(fp: Column, radius: int) -> Column:
-    """The variants of both halves, told apart by bit 32."""
-    masks = [F.lit(m).cast("long") for m in _masks(32, (radius // 2 + 1) // 2)]
-    left, right = F.shiftrightunsigned(fp, 32), fp.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    return F.array(*[left.bitwiseXOR(m) for m in masks], *[right.bitwiseXOR(m) + F.lit(1 << 32) for m in masks])
+def _half_keys(nodes: DataFrame, radius: int) -> DataFrame:
+    """``(key, fp, rep)``: the variants of both halves, told apart by bit 32."""
+    low = F.lit(0xFFFFFFFF).cast("long")
+    halves = F.array(F.struct(F.shiftrightunsigned("fp", 32).alias("key"), F.lit(1 << 32).alias("side")), F.struct(F.col("fp").bitwiseAND(low).alias("key"), F.lit(0).cast("long").alias("side")))
+    both = nodes.select("fp", "rep", F.inline(halves))
+    return _flips(both, "key", 32, (radius // 2 + 1) // 2).select((F.col("key") + F.col("side")).alias("key"), "fp", "rep")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFrame:
     """Edges ``(a, b)`` between nodes ``(fp, rep)`` that connect all within the radius.
 
     Pairs further apart are never linked; of a crowd only as many links are
-    returned as connect it.
+    returned as connect it. Joins shuffle: neither side has a bound.
     """
     if radius % 2:
         raise ValueError("the radius must be even")
-    keys = nodes.select(F.explode(_half_keys(F.col("fp"), radius)).alias("key"), "fp", "rep")
+    keys = _half_keys(nodes, radius)
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = keys.join(met, "key")
+    members = keys.join(met.hint("merge"), "key")
 
     lists = members.where(F.col("n") <= small).groupBy("key").agg(F.collect_list(F.struct("fp", "rep")).alias("m"))
     near = lambda x, y: F.bit_count(x["fp"].bitwiseXOR(y["fp"])) <= radius
@@ -105,34 +112,39 @@ def links(nodes: DataFrame, radius: int = RADIUS, small: int = SMALL) -> DataFra
     few = lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b")
 
     crowd = materialize(members.where(F.col("n") > small).select("fp", "rep").distinct(), "crowd")
-    if crowd.limit(1).count() == 0:
+    if crowd.isEmpty():
         return few.distinct()
-    ball = F.array(*[F.lit(m).cast("long") for m in _masks(64, (radius + 1) // 2)])
-    points = crowd.select("rep", F.explode(F.transform(ball, lambda m: m.bitwiseXOR(F.col("fp")))).alias("z"))
-    heads = points.groupBy("z").agg(F.min("rep").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    star = points.join(heads, "z").where("rep <> head").select(F.col("rep").alias("a"), F.col("head").alias("b"))
+    points = _flips(crowd.withColumn("z", F.col("fp")).drop("fp"), "z", 64, radius // 2)
+    # Fingerprints differ, so a point has no more of them than a ball has points.
+    head = F.min("rep").over(Window.partitionBy("z"))
+    star = points.select(F.col("rep").alias("a"), head.alias("b")).where("a <> b")
     return few.unionByName(star).distinct()
 
 
 def components(documents: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``(doc_id, fp, component_id)`` for each row: the smallest ``doc_id`` that it reaches by links."""
+    """``(doc_id, fp, component_id)`` for each row: the smallest ``doc_id`` that it reaches by links.
+
+    Rows without a ``doc_id`` have one too, if they reach a row with an id.
+    """
     marks = materialize(fingerprints(documents, shingle), "fingerprints")
     nodes = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     # Where rows repeat a doc_id, one id may stand for two fingerprints: their links add up.
     roots = connected_components(links(nodes.where("rep IS NOT NULL"), radius))
-    named = nodes.join(roots, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = nodes.join(roots.hint("merge"), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    return marks.join(named.hint("merge"), "fp").select("doc_id", "fp", "component_id")
 
 
 def dedup(documents: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest ``doc_id``; columns as given.
 
-    Rows that repeat a kept id all stay, and so do rows without an id.
+    Rows that repeat a kept id all stay, and so do rows without an id. Columns
+    may have any names besides ``doc_id`` and ``text``.
     """
+    kept = Names(documents).kept
     found = components(documents.select("doc_id", "text"))
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept")).distinct()
-    named = documents.where(F.col("doc_id").isNotNull()).join(keep, F.col("doc_id") == F.col("_kept"), "left_semi")
-    return named.unionByName(documents.where(F.col("doc_id").isNull()))
+    ids = found.groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = ids.where(~F.col("stays")).select(F.col("doc_id").alias(kept))
+    return documents.join(gone.hint("merge"), F.col("doc_id") == F.col(kept), "left_anti").select(*columns(documents))
 
 
 def as_hex(fp: Column) -> Column:
