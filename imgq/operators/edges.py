@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..storage import materialize
 from .filters import hessian_eigenvalues
 from .regions import apply_hysteresis_threshold, find_boundaries
-from .stencil import edge, edge_magnitude, gaussian, shapes
+from .stencil import edge, edge_magnitude, gaussian, gaussian_weights, shapes
 
 PLACE = ["image_id", "y", "x"]
 
@@ -20,11 +20,27 @@ def _neighbours(pixels: DataFrame, column: str) -> DataFrame:
     return p.withColumns({f"{c}_{k}": f(c).over(right) for c in ("n_m", "n_z", "n_p") for k, f in (("m", F.lag), ("p", F.lead))} | {f"{c}_z": F.col(c) for c in ("n_m", "n_p")})
 
 
+def _inside(i: Column, n: Column, sigma: float) -> Column:
+    """The share of a Gaussian's weights at place ``i`` that falls on places 0 to n - 1."""
+    w = gaussian_weights(sigma) if sigma else [1.0]
+    r = len(w) // 2
+    sums = F.array(*[F.lit(float(sum(w[:k]))) for k in range(len(w) + 1)])
+    return sums[F.least(n - 1 - i, F.lit(r)) + r + 1] - sums[F.greatest(r - i, F.lit(0))]
+
+
 def canny(pixels: DataFrame, sigma: float = 1.0, low: float = 0.1, high: float = 0.2) -> DataFrame:
-    """Thin edges: local maxima of the gradient across it, interpolated, kept by hysteresis: image_id, y, x, mask."""
-    soft = gaussian(pixels, sigma, "constant")
-    both = edge(soft, "sobel", "y").withColumnRenamed("v", "gy").join(edge(soft, "sobel", "x").withColumnRenamed("v", "gx"), PLACE)
-    p = _neighbours(both.withColumn("g", F.hypot("gy", "gx")), "g").join(shapes(pixels), "image_id")
+    """Thin edges: local maxima of the gradient across it, interpolated, kept by hysteresis: image_id, y, x, mask.
+
+    Smoothing leaves out what lies outside the image. Gradients are Sobel sums
+    (not means); components of places of at least ``low`` stay that hold one of
+    at least ``high``. The outermost places are never edges.
+    """
+    size = shapes(pixels)
+    soft = gaussian(pixels, sigma, "constant").join(size, "image_id")
+    share = _inside(F.col("y"), F.col("_h"), sigma) * _inside(F.col("x"), F.col("_w"), sigma)
+    soft = materialize(soft.select(*PLACE, (F.col("v") / share).alias("v")), "smooth")
+    both = edge(soft, "sobel", "y").select(*PLACE, (4 * F.col("v")).alias("gy")).join(edge(soft, "sobel", "x").select(*PLACE, (4 * F.col("v")).alias("gx")), PLACE)
+    p = _neighbours(both.withColumn("g", F.hypot("gy", "gx")), "g").join(size, "image_id")
     gy, gx = F.col("gy"), F.col("gx")
     steep = F.abs(gy) >= F.abs(gx)
     w = F.coalesce(F.try_divide(F.least(F.abs(gy), F.abs(gx)), F.greatest(F.abs(gy), F.abs(gx))), F.lit(0.0))
@@ -34,8 +50,9 @@ def canny(pixels: DataFrame, sigma: float = 1.0, low: float = 0.1, high: float =
     one = F.when(steep, (1 - w) * c("n_p") + w * F.when(same, c("n_p_p")).otherwise(c("n_p_m"))).otherwise((1 - w) * c("n_z_p") + w * F.when(same, c("n_p_p")).otherwise(c("n_m_p")))
     two = F.when(steep, (1 - w) * c("n_m") + w * F.when(same, c("n_m_m")).otherwise(c("n_m_p"))).otherwise((1 - w) * c("n_z_m") + w * F.when(same, c("n_m_m")).otherwise(c("n_p_m")))
     inside = (c("y") > 0) & (c("x") > 0) & (c("y") < c("_h") - 1) & (c("x") < c("_w") - 1)
-    thin = p.select(*PLACE, F.when(inside & (c("g") >= one) & (c("g") >= two), c("g")).otherwise(0.0).alias("v"))
-    return apply_hysteresis_threshold(materialize(thin, "thin"), low, high, 2)
+    thin = p.select(*PLACE, F.when(inside & (c("g") >= low) & (c("g") >= one) & (c("g") >= two), c("g")).otherwise(0.0).alias("v"))
+    thin = materialize(thin.select(*PLACE, F.when(c("v") > 0, F.when(c("v") >= high, 2.0).otherwise(1.0)).otherwise(0.0).alias("v")), "thin")
+    return apply_hysteresis_threshold(thin, 0.5, 1.5, 2)
 
 
 def mark_boundaries(pixels: DataFrame, colour: tuple[float, float, float] = (1.0, 1.0, 0.0)) -> DataFrame:

@@ -15,15 +15,22 @@ def distance(a: Column, b: Column, p: float = 2) -> Column:
     return F.pow(F.aggregate(parts, F.lit(0.0), lambda s, x: s + F.pow(x, F.lit(float(p)))), F.lit(1 / p))
 
 
-def match_descriptors(queries: DataFrame, other: DataFrame, p: float = 2, max_distance: float | None = None, max_ratio: float = 1.0, blocks: int = 16) -> DataFrame:
+def match_descriptors(
+    queries: DataFrame, other: DataFrame, p: float = 2, max_distance: float | None = None, max_ratio: float = 1.0, block_rows: int = 4096, one_table: bool = False
+) -> DataFrame:
     """The nearest of ``other`` (id, descriptor) for each of ``queries`` (q, wanted).
 
-    The query set stands against all rows: it is dealt over ``blocks`` of
-    ``other``, each giving its two nearest, which are then merged.
+    The stated query set stands against all rows of ``other``, in blocks of
+    about ``block_rows`` of them; the two nearest of each task's blocks are
+    merged. ``one_table``: both have ids of one table, so that a row is not its
+    own match.
     """
+    blocks = -(-max(1, other.count()) // block_rows) + 15
     asked = queries.select("q", "wanted", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_b"))
     held = other.select("id", "descriptor", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("_b"))
     pairs = asked.join(held, "_b").select("q", "id", distance(F.col("wanted"), F.col("descriptor"), p).alias("d"))
+    if one_table:
+        pairs = pairs.where("q <> id")
     order = Window.partitionBy("q").orderBy("d", "id")
     two = pairs.withColumn("_r", F.row_number().over(order)).where("_r <= 2")
     best = two.groupBy("q").agg(F.min_by("id", "_r").alias("id"), F.min("d").alias("d"), F.max(F.when(F.col("_r") == 2, F.col("d"))).alias("d2"))

@@ -148,11 +148,23 @@ def mean_pyramid(pixels: DataFrame, levels: int) -> DataFrame:
     return out
 
 
-def montage(pixels: DataFrame, columns: int, height: int, width: int) -> DataFrame:
-    """Images side by side, in the order of their ids, in rows of ``columns``."""
-    order = pixels.select("image_id").distinct().withColumn("_i", F.row_number().over(Window.orderBy("image_id")) - 1)  # one row for each image
-    p = pixels.join(order, "image_id")
-    return p.select(F.lit(0).cast("long").alias("image_id"), (F.floor(F.col("_i") / columns).cast("int") * height + F.col("y")).alias("y"), (F.col("_i") % columns * width + F.col("x")).alias("x"), "v")
+def montage(pixels: DataFrame, columns: int, height: int, width: int, fill: float | None = None) -> DataFrame:
+    """Images side by side, in the order of their ids, in rows of ``columns``.
+
+    Places that no image has get ``fill``, or the mean of all places.
+    """
+    # One row for each image, in one task.
+    order = pixels.select("image_id").distinct().withColumn("_i", F.row_number().over(Window.orderBy("image_id")) - 1)
+    mean = pixels.agg(F.avg("v").alias("_fill")) if fill is None else pixels.sparkSession.createDataFrame([(float(fill),)], "_fill double")
+    last = order.agg(F.max("_i").alias("_last")).join(mean)  # one row
+    every = last.select("_fill", F.explode(F.sequence(F.lit(0), F.floor(F.col("_last") / columns).cast("int") * columns + columns - 1)).alias("_i"))
+    every = every.join(order, "_i", "left").select("_fill", "_i", "image_id", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y"))
+    every = every.select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
+    p = every.join(pixels.select("image_id", "y", "x", "v"), ["image_id", "y", "x"], "left")
+    return p.select(
+        F.lit(0).cast("long").alias("image_id"), (F.floor(F.col("_i") / columns).cast("int") * height + F.col("y")).alias("y"),
+        (F.col("_i") % columns * width + F.col("x")).alias("x"), F.coalesce("v", "_fill").alias("v"),
+    )
 
 
 def profile_line(pixels: DataFrame, y0: float, x0: float, y1: float, x1: float) -> DataFrame:

@@ -120,13 +120,22 @@ register("affine_nearest", lambda s, d: transform.warp(raster.full_part_grid(s,
 _G2 = stencil.gaussian_weights(4 / 6.0)
 register("pyramid_reduce", lambda s, d: transform.pyramid_reduce(raster.full_part_grid(s, d), (64, 64)).select("y", "x", "v"), f"SELECT (y // 2)::INT AS y, (x // 2)::INT AS x, {_r('avg(v)', 'v')} FROM ({_sums(f'SELECT y, x, v FROM ({FULL})', _outer(_G2, _G2), 'reflect')}) GROUP BY ALL")
 register("flip_rotate_batch", lambda s, d: transform.rotate90(transform.flip(raster.embedding_image(s, d), "y"), 3).select("y", "x", "v"), f"SELECT x AS y, y AS x, round(v, 6) + 0.0 AS v FROM ({EMBEDDING})")
-register("montage", lambda s, d: transform.montage(raster.embedding_image(s, d).select((F.col("y") % 6).cast("long").alias("image_id"), (F.col("y") / 6).cast("int").alias("y"), "x", "v").where("y < 80"), 3, 80, 64).select("y", "x", "v"), f"SELECT ((y % 6) // 3 * 80 + y // 6)::INT AS y, (y % 3 * 64 + x)::INT AS x, round(v, 6) + 0.0 AS v FROM ({EMBEDDING}) WHERE y // 6 < 80")
+def _montage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six images from the rows of the embeddings, dealt out in turn."""
+    p = raster.embedding_image(spark, sf_dir)
+    height = (p.agg(F.max("y")).first()[0] or 0) // 6 + 1
+    pieces = p.select((F.col("y") % 6).cast("long").alias("image_id"), (F.col("y") / 6).cast("int").alias("y"), "x", "v")
+    return transform.montage(pieces, 3, height, 64).select("y", "x", "v")
+
+
+register("montage", _montage, f"""WITH p AS MATERIALIZED ({EMBEDDING}), h AS (SELECT max(y) // 6 + 1 AS h FROM p), g AS (SELECT i, y, x FROM range(6) a(i), (SELECT unnest(range(h)) AS y FROM h), range(64) b(x))
+SELECT (g.i // 3 * h.h + g.y)::INT AS y, (g.i % 3 * 64 + g.x)::INT AS x, round(coalesce(p.v, (SELECT avg(v) FROM p)), 6) + 0.0 AS v FROM g CROSS JOIN h LEFT JOIN p ON p.y = g.y * 6 + g.i AND p.x = g.x""")
 register("view_as_blocks", lambda s, d: raster.embedding_bytes(s, d).select((F.col("y") / 4).cast("int").alias("by"), (F.col("x") / 8).cast("int").alias("bx"), (F.col("y") % 4).alias("y"), (F.col("x") % 8).alias("x"), "v"), f"SELECT (y // 4)::INT AS by, (x // 8)::INT AS bx, y % 4 AS y, x % 8 AS x, v FROM ({BYTES})")
 register("window_means", lambda s, d: stencil.gather(raster.full_part_grid(s, d), [(dy, dx) for dy in range(3) for dx in range(3)], [F.avg("n").alias("v"), F.count(F.lit(1)).alias("k")], "constant", None).where("k = 9").select("y", "x", "v"), f"SELECT a.y, a.x, round(avg(b.v), 6) + 0.0 AS v FROM ({FULL}) a JOIN ({FULL}) b ON b.y BETWEEN a.y AND a.y + 2 AND b.x BETWEEN a.x AND a.x + 2 GROUP BY a.y, a.x HAVING count(*) = 9")
 register("binary_opening", lambda s, d: stencil.opening(_mask(s, d), _D1, "ignore").select("y", "x", "v"), f"WITH a AS MATERIALIZED ({_shift_sql(_MASK, _D1, 'min(n)', 'ignore')}) SELECT y, x, v FROM ({_shift_sql('SELECT * FROM a', _D1, 'max(n)', 'ignore')})")
 register("binary_closing", lambda s, d: stencil.closing(_mask(s, d), _D1, "ignore").select("y", "x", "v"), f"WITH a AS MATERIALIZED ({_shift_sql(_MASK, _D1, 'max(n)', 'ignore')}) SELECT y, x, v FROM ({_shift_sql('SELECT * FROM a', _D1, 'min(n)', 'ignore')})")
 register("rotate", lambda s, d: transform.rotate(raster.full_part_grid(s, d), (64, 64), 30.0).select("y", "x", "v"), _warp_sql(FULL, 64, 64, *_ROT))
-register("canny", lambda s, d: edges.canny(raster.embedding_image(s, d), 1.0, 0.02, 0.05).select("y", "x", F.col("mask").cast("int").alias("mask")))
+register("canny", lambda s, d: edges.canny(raster.embedding_image(s, d), 1.0, 0.08, 0.2).select("y", "x", F.col("mask").cast("int").alias("mask")))
 _BANDS = "((y % 7 = 0 AND y > 0) OR (y % 7 = 6 AND y < max(y) OVER ()))"
 register("mark_boundaries", lambda s, d: edges.mark_boundaries(raster.embedding_colours(s, d).withColumn("label", F.floor(F.col("y") / 7))).select("y", "x", "r", "g", "b"), f"SELECT y, x, {', '.join(_r(f'CASE WHEN {_BANDS} THEN {v} ELSE {c} END', c) for c, v in zip('rgb', ('1', '1', '0'), strict=True))} FROM ({COLOURS})")
 register("denoise_tv_chambolle", lambda s, d: edges.denoise_tv(raster.embedding_bytes(s, d).withColumn("v", F.col("v") / 255), 0.1).select("y", "x", "v"))

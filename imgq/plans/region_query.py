@@ -15,9 +15,11 @@ def to_tiles(pixels: DataFrame, side: int, level: int = 0, background: float = 0
     """Square tiles; border tiles are filled up with the background."""
     at = (F.col("y") % side) * side + F.col("x") % side
     key = ["image_id", F.lit(level).alias("level"), (F.col("y") / side).cast("int").alias("ty"), (F.col("x") / side).cast("int").alias("tx")]
-    rows = pixels.groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct(at, "v"))).alias("m"))
-    fill = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(background)))
-    return rows.select("image_id", "level", "ty", "tx", fill.alias("data"))
+    rows = pixels.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(at.alias("at"), "v"))).alias("m"))
+    gap = lambda n: F.array_repeat(F.lit(float(background)), n.cast("int"))
+    before = lambda k: F.when(k > 0, F.get("m", k - 1)["at"]).otherwise(F.lit(-1))
+    held = F.flatten(F.transform("m", lambda p, k: F.concat(gap(p["at"] - before(k) - 1), F.array(p["v"]))))
+    return rows.select("image_id", "level", "ty", "tx", F.concat(held, gap(side * side - 1 - F.element_at("m", -1)["at"])).alias("data"))
 
 
 def read_region(tiles: DataFrame, regions: DataFrame, side: int, downsample: Column | float = 1.0, background: float = 0.0) -> DataFrame:

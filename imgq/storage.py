@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, or of the context; only where
-    neither is set (tests on one machine) a temporary folder of this machine."""
+    """The folder of ``spark.checkpoint.dir``, or of the context.
+
+    Only a session of one process (master ``local``) that names none gets a
+    temporary folder of its machine; on a cluster that is an error.
+    """
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        import tempfile
-
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='imgq-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
