@@ -3,9 +3,9 @@
 For each language one suffix automaton is built from a bounded sample of
 labelled text. A document is cut greedily into the longest pieces that occur in
 the sample of a language (Ziv-Merhav cross-parsing); the language that needs
-the fewest phrases per letter wins. Parsing is linear in the text and whole
-texts are parsed: they are laid out in windows of ``WINDOW`` symbols, which are
-walked side by side with numpy, so that a long text is only more windows.
+the fewest phrases per letter wins. Whole texts are parsed: they are laid out in
+windows of ``WINDOW`` symbols, which are walked side by side with numpy and then
+stitched, so that the phrases are those of one walk from end to end.
 
 Edge cases: a null text, an empty one or one without any letter gets ``und``
 and score 0. With no labelled row at all every document gets ``und``. Ties go
@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from .common import crc32_mod
+from .common import crc32_mod, quoted
 
 #: The sample: this many documents of a language at most, with the smallest
 #: hashes of their ids, and this many symbols of their whole texts at most.
 SAMPLE_DOCS = 400
 SAMPLE_SYMBOLS = 60_000
 WINDOW = 2048
+#: Breaks between phrases for each letter from which on a text is in no learned language.
+MAX_BREAKS = 0.5
 UNKNOWN = "und"
 
 
@@ -146,36 +148,86 @@ class CrossParser:
         keep = np.ones(len(sym), dtype=bool)
         keep[1:] = letter[1:] | letter[:-1] | (owner[1:] != owner[:-1])
         sym, owner = sym[keep], owner[keep]
-        counts = np.bincount(owner, minlength=n)
+        return self._parse(sym, np.bincount(owner, minlength=n)), letters
+
+    def _parse(self, sym: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Phrases by text and language; ``sym`` holds the texts' symbols one after the other.
+
+        All windows are walked side by side, each as if a phrase began with it.
+        A window is then walked again with the state that the one before ends
+        in, until both walks break at one symbol: from there on they are the
+        same. That is repeated while ends change, so windows leave no trace.
+        """
+        n, k = len(counts), len(self.langs)
         windows = -(-counts // WINDOW)
         m = int(windows.sum())
         out = np.zeros((n, k), dtype=np.int64)
         if not m or not k:
-            return out, letters
+            return out
         w_owner = np.repeat(np.arange(n), windows)
         first = np.concatenate([[0], np.cumsum(counts)[:-1]])
         w_index = np.arange(m) - np.repeat(np.concatenate([[0], np.cumsum(windows)[:-1]]), windows)
         start = first[w_owner] + w_index * WINDOW
         size = np.minimum(WINDOW, counts[w_owner] - w_index * WINDOW)
         order = np.argsort(-size, kind="stable")  # those still running stay in front
-        start, size, w_owner = start[order], size[order], w_owner[order]
-        state = np.repeat(np.array(self.roots, dtype=np.int64)[:, None], m, axis=1)
-        breaks = np.ones((k, m), dtype=np.int64)  # the first phrase
+        lane = np.empty(m, dtype=np.int64)  # where a window runs
+        lane[order] = np.arange(m)
+        start, size = start[order], size[order]
+        state = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], m, axis=1)
+        later = w_index[order] > 0
+        breaks = np.zeros((k, m), dtype=np.int64)
+        breaks[:, ~later] = 1  # a text's first phrase
         live = np.searchsorted(-size, -np.arange(1, int(size[0]) + 1), side="right")
+        broken = []  # by step, of windows that aren't their texts' only ones
+        kept = np.flatnonzero(np.isin(w_owner[order], np.flatnonzero(windows > 1)))
         for step in range(int(size[0])):
             a = int(live[step])
             nxt = self.table[state[:, :a] * self.width + sym[start[:a] + step]]
             broke = nxt < 0
-            breaks[:, :a] += broke
             state[:, :a] = np.where(broke, -nxt - 1, nxt)
-        for j in range(k):
-            out[:, j] = np.bincount(w_owner, weights=breaks[j], minlength=n)
-        return out, letters
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+            if not step:
+                broke |= later
+            breaks[:, :a] += broke
+            if len(kept):
+                broken.append(broke[:, kept[: np.searchsorted(kept, a)]])
+        # Pairs of windows that follow each other in a text, as lanes.
+        after = np.flatnonzero(w_index > 0)
+        this, before = lane[after], lane[after - 1]
+        row = np.full(m, -1, dtype=np.int64)
+        row[kept] = np.arange(len(kept))
+        entered = np.repeat(np.array(self.roots, dtype=np.int32)[:, None], m, axis=1)
+        fresh = np.ones((k, m), dtype=bool)  # whether a phrase was taken to begin with the window
+        while True:
+            j, i = np.nonzero(fresh[:, this] | (entered[:, this] != state[:, before]))
+            if not len(j):
+                break
+            at, s = this[i], state[j, before[i]].copy()
+            fresh[j, at], entered[j, at] = False, s
+            gained = np.zeros(len(j), dtype=np.int64)
+            for step in range(WINDOW):
+                nxt = self.table[s * self.width + sym[start[at] + step]]
+                broke = nxt < 0
+                s = np.where(broke, -nxt - 1, nxt)
+                old = broken[step][j, row[at]]
+                broken[step][j, row[at]] = broke
+                gained += broke.astype(np.int64) - old
+                ends = size[at] == step + 1
+                done = (broke & old) | ends
+                if done.any():
+                    breaks[j[done], at[done]] += gained[done]
+                    state[j[ends], at[ends]] = s[ends]
+                    j, at, s, gained = j[~done], at[~done], s[~done], gained[~done]
+                    if not len(j):
+                        break
+        for x in range(k):
+            out[:, x] = np.bincount(w_owner[order], weights=breaks[x], minlength=n)
+        return out
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score, and how many breaks between phrases the language needs for a letter."""
         phrases, letters = self.phrases(texts)
         if not self.langs:
-            return [UNKNOWN] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.full(len(texts), np.inf)
         per_letter = phrases / np.maximum(letters, 1)[:, None]
         best = per_letter.argmin(axis=1)
         # Posterior under codes of equal cost for each phrase: 2^-(extra bits),
@@ -184,7 +236,8 @@ class CrossParser:
         share = np.exp2(-gap * np.minimum(letters, 400)[:, None])
         score = 1 / share.sum(axis=1)
         ok = letters > 0
-        return [self.langs[b] if y else UNKNOWN for b, y in zip(best.tolist(), ok.tolist(), strict=True)], np.where(ok, score, 0.0)
+        breaks = (phrases.min(axis=1) - 1) / np.maximum(letters, 1)
+        return [self.langs[b] if y else UNKNOWN for b, y in zip(best.tolist(), ok.tolist(), strict=True)], np.where(ok, score, 0.0), np.where(ok, breaks, np.inf)
 
 
 def learn(documents: DataFrame, train: Column | None = None, sample_docs: int = SAMPLE_DOCS, max_symbols: int = SAMPLE_SYMBOLS) -> CrossParser:
@@ -228,38 +281,41 @@ def learn(documents: DataFrame, train: Column | None = None, sample_docs: int =
     return CrossParser({lang: [t for _, t in sorted(v)] for lang, v in samples.items()}, max_symbols)
 
 
-#: Texts that are parsed together, in code points at most.
-BATCH_POINTS = 1_500_000
+#: Texts that are parsed together, in code points times languages at most.
+BATCH_POINTS = 6_000_000
 
 
 def predict(documents: DataFrame, parser: CrossParser) -> DataFrame:
-    """``documents`` with ``lang_pred`` and ``score``; every row stays."""
+    """``documents`` with ``lang_pred``, ``score`` and ``breaks``; every row stays, and so do columns of any names besides these."""
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast(parser)
     names = documents.columns
+    added = ["lang_pred", "score", "breaks"]
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = sent.value
+        most = BATCH_POINTS // max(len(p.langs), 1)
         for batch in it:
             texts = batch.column(names.index("text")).to_pylist()
             langs: list[str] = []
-            scores: list[np.ndarray] = []
+            numbers: list[np.ndarray] = [np.zeros((2, 0))]
             at = 0
             while at < len(texts):
                 to, n = at, 0
-                while to < len(texts) and (to == at or n + len(texts[to] or "") <= BATCH_POINTS):
+                while to < len(texts) and (to == at or n + len(texts[to] or "") <= most):
                     n += len(texts[to] or "")
                     to += 1
-                got, s = p.predict(texts[at:to])
+                got, s, rate = p.predict(texts[at:to])
                 langs += got
-                scores.append(s)
+                numbers.append(np.stack([s, rate]))
                 at = to
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*names, "lang_pred", "score"])
+            s, rate = np.concatenate(numbers, axis=1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(s), pa.array(rate)], names=[*names, *added])
 
-    clash = [c for c in ("lang_pred", "score") if c in names]
+    clash = [c for c in added if c in names]
     if clash:
         raise ValueError(f"the input already has {clash}")
-    schema = StructType([*documents.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*documents.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("breaks", DoubleType())])
     return documents.mapInArrow(batches, schema)
 
 
@@ -270,12 +326,17 @@ def identify(documents: DataFrame, fold: int = 4, held_out: int = 2) -> DataFram
     return predict(rows, parser).select("doc_id", (crc32_mod(F.col("doc_id"), fold) == held_out).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(documents: DataFrame) -> DataFrame:
-    """The documents whose language could be told, with their own columns."""
+def keep_identified(documents: DataFrame, max_breaks: float = MAX_BREAKS) -> DataFrame:
+    """The documents that are in one of the learned languages, with their own columns.
+
+    Rejected are texts without a letter and texts that even the language that
+    fits best cannot parse: over ``max_breaks`` breaks between phrases for each
+    letter, as of random letters or of scripts that no language has.
+    """
     parser = learn(documents, crc32_mod(F.col("doc_id"), 4) != 2)
     names = documents.columns
-    inner = documents.select([F.col(f"`{c}`").alias(f"c{i}" if c != "text" else "text") for i, c in enumerate(names)])
-    out = predict(inner, parser).where(F.col("lang_pred") != UNKNOWN)
+    inner = documents.select([quoted(c).alias(f"c{i}" if c != "text" else "text") for i, c in enumerate(names)])
+    out = predict(inner, parser).where((F.col("lang_pred") != UNKNOWN) & (F.col("breaks") <= max_breaks))
     return out.select([F.col("text" if c == "text" else f"c{i}").alias(c) for i, c in enumerate(names)])
 
 

@@ -45,6 +45,34 @@ def test_phrases_against_brute_force():
             assert row[j] == want, (t, lang)
 
 
+def test_windows_leave_no_trace(monkeypatch):
+    p = lang_id.CrossParser(TEXT)
+    whole = {lang: "".join("".join(map(chr, lang_id._lower_letters(x))) for x in TEXT[lang]) for lang in p.langs}
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(list("abcxyzwé ñ"), rng.integers(1, 300))) for _ in range(60)] + ["abcabcabd xyz" * 20, "abc" * 50, "", "ñ" * 64]
+    monkeypatch.setattr(lang_id, "WINDOW", 16)
+    counts, _ = p.phrases(texts)
+    for t, row in zip(texts, counts, strict=True):
+        clean = "".join(map(chr, lang_id._lower_letters(t)))
+        assert row.tolist() == [brute_phrases(whole[lang], clean) if t else 0 for lang in p.langs]
+
+
+def test_a_long_piece_of_the_sample_is_one_phrase():
+    rng = np.random.default_rng(6)
+    sample = "".join(rng.choice(list("abcdefgh"), 9000))
+    p = lang_id.CrossParser({"aa": [sample], "bb": [sample[::-1]]})
+    counts, _ = p.phrases([sample[1000:7000], sample])
+    assert counts[:, 0].tolist() == [1, 1] and (counts[:, 1] > 500).all()
+
+
+def test_what_no_language_can_parse_is_rejected(spark):
+    rows = [(i, "the water of the green house and the little window in the morning " * 3, "en") for i in range(20)]
+    odd = [(100, "жщцы фыва йцук", "ru"), (101, "the house", None), (102, "12 34", "en"), (103, None, "en")]
+    docs = spark.createDataFrame([*rows, *[(i, t, None) for i, t, _ in odd]], "doc_id long, text string, `lang` string")
+    kept = {r["doc_id"] for r in lang_id.keep_identified(docs.withColumn("a.b", F.lit(1))).collect()}
+    assert kept == {*range(20), 101}
+
+
 def test_held_out_accuracy_and_edges(documents, rows, no_documents):
     got = lang_id.identify(documents).collect()
     assert len(got) == len(rows)
