@@ -1,37 +1,39 @@
 """A Katz backoff bigram model with Good-Turing discounts, trained and evaluated on Spark.
 
-Tokens are words and one end for each text. Words with at least one token in
-``2**BITS`` have codes of their own (so there are ``2**BITS`` of them at most);
-all rarer training words share the code RARE in bigrams, and within it each has
-its own Good-Turing probability. Words never seen in training are one class of
-their own, with the mass that Good-Turing leaves for it. With ``c`` the counts
-and ``d`` the discounts of one order,
-
-    P(w | v) = d c(v, w) / (c(v) + 1)          if c(v, w) > 0
+Tokens are words and one end for each text. With ``c`` the counts and ``d`` the
+discounts of one order, and z(v) = c(v),
+
+    P(w | v) = d c(v, w) / z(v)                if c(v, w) > 0
              = alpha(v) P(w)                   otherwise
     P(w)     = d c(w) / N,  P(unseen) = what is left
 
-alpha(v) is exactly what makes P(. | v) add up to one. The one count more for
-each history keeps alpha above zero where no follower is rare. For a rare word
-P(w | v) is P(RARE | v) P(w) / P(RARE); an unseen word always backs off.
-
-The counts live in tables of parts: a bigram's part follows from its history,
-or from both words where the history is one of the ``TOP`` commonest, so no part
-is hot. Pairs of TOP words are in one table of at most ``TOP**2`` entries that is
-sent along. Training shuffles the distinct bigrams of chunks of documents with
-their counts; scoring shuffles those of all documents to the parts of the model
-and their counts back to the chunks. Both are packed as sorted, compressed
-arrays, one for each chunk and part.
+alpha(v) is exactly what makes P(. | v) add up to one; words never seen in
+training are one class of their own, and after a word never seen alpha is one.
+Only where no follower of v has a discounted count, so that nothing would be
+left to back off with, z(v) = c(v) + 1. Every training word has bigrams of its
+own, however rare it is.
+
+How it runs. Words that make up at least one token in ``share`` have short codes,
+which are sent along (there are ``share`` of them at most); others go by 63-bit
+hashes. Chunks of documents send their distinct bigrams with counts to parts. A
+bigram's part follows from its history, and also from the follower where the
+history is so frequent that one part could not hold it. Rare followers' counts are
+then fetched from the parts of the unigram table, and alpha follows. Scoring sends
+the chunks' bigrams to the parts of the model, and sums by document back. Bigrams
+that make up one in ``share`` or more are sent along with the codes. Codes and
+hashes only say where a number is kept; no score depends on ``share``.
 
 Edge cases: null and empty texts are the end token alone. With no training row
 every token is of the unseen class, whose probability is then one. Rows that
-repeat a ``doc_id`` are scored each. An empty table gives no rows.
+repeat a ``doc_id`` are scored each, and those without one too. Columns besides
+doc_id and text do not matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -44,16 +46,22 @@ from xxhash import xxh64_intdigest
 
 from .common import materialize
 
-#: Words with a share of at least 2**-BITS of the training tokens have own codes.
-BITS = 18
-TOP = 1024
-BEGIN, END, RARE, FIRST = 0, 1, 2, 3
-SHIFT = BITS + 1  # codes fit in so many bits
+BEGIN, END, FIRST = 0, 1, 2
+SHIFT = 21  # codes fit in so many bits
+RARE = np.uint64(1 << 63)  # set in the number of a word without a code
 #: Good-Turing holds for counts up to K.
 K = 5
-CHUNK_TOKENS, CHUNK_DOCS = 1_000_000, 60_000
-#: Distinct bigrams and rare words of a part, about.
-PART_KEYS = 2_000_000
+
+
+@dataclass(frozen=True)
+class Settings:
+    """How the work is cut; results do not depend on it."""
+
+    share: int = 1 << (SHIFT - 1)
+    part_tokens: int = 2_000_000
+    chunk_tokens: int = 1_000_000
+    chunk_docs: int = 60_000
+
 
 _END_WORD = b""  # no word is empty
 
@@ -140,45 +148,51 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Codes of the common words, and the unigram probabilities of all codes."""
+    """Codes of the common words, and what is known of unigrams without asking."""
 
-    def __init__(self, common: list[tuple[bytes, int]], total: int, kinds: int, n_r: list[int], kept: float):
-        """``kept``: the sum of d c over all words, those without a code included."""
-        self.total, self.kinds, self.discounts = total, kinds, Discounts(n_r)
+    def __init__(self, common: list[tuple[bytes, int]], total: int, kinds: int, n_r: list[int], settings: Settings):
+        self.total, self.kinds, self.discounts, self.settings = total, kinds, Discounts(n_r), settings
         common = sorted(common, key=lambda x: (-x[1], x[0]))
-        self.ends = dict(common).get(_END_WORD, 0)
+        ends = dict(common).get(_END_WORD, 0)
         named = [(w, c) for w, c in common if w != _END_WORD]
         self.code = {w: FIRST + i for i, (w, _) in enumerate(named)}
-        self.count = np.array([self.ends, self.ends, 0, *(c for _, c in named)], dtype=np.int64)
-        self.count[RARE] = total - self.count[END:].sum()  # tokens of words without a code
-        n = max(total, 1)
-        p = np.zeros(len(self.count))
-        own = self.count > 0
-        own[[BEGIN, RARE]] = False
-        p[own] = self.discounts.discounted(self.count[own]) / n
-        self.p_unseen = 1 - kept / n
-        p[RARE] = max(0.0, 1 - p.sum() - self.p_unseen)
-        self.p = p
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.code.get, words, repeat(RARE)), dtype=np.int64, count=len(words))
-
-
-def build_vocabulary(counts: DataFrame) -> Vocabulary:
+        self.count = np.array([ends, ends, *(c for _, c in named)], dtype=np.int64)
+        d = self.discounts.d
+        kept = total - (0.5 * kinds if d is None else sum((1 - x) * r * n for r, (x, n) in enumerate(zip(d, n_r, strict=False), 1)))
+        self.p_unseen = 1 - kept / max(total, 1)
+        self.p = np.where(self.count > 0, self.probability(np.maximum(self.count, 1)), 0.0)
+        self.p[BEGIN] = 0.0
+        self.parts = max(1, -(-total // settings.part_tokens))
+        #: Over how many parts a history's followers are dealt.
+        self.splits = 1 + 4 * self.count // settings.part_tokens
+
+    def probability(self, count: np.ndarray) -> np.ndarray:
+        """P of words with these counts, of at least one."""
+        return self.discounts.discounted(count) / max(self.total, 1)
+
+    def log_p(self, count: np.ndarray) -> np.ndarray:
+        """log10 P, where a count of zero is the unseen class."""
+        p = np.where(count > 0, self.probability(np.maximum(count, 1)), self.p_unseen)
+        return np.log10(np.where(p > 0, p, 1.0))
+
+    def base(self, count: np.ndarray) -> np.ndarray:
+        return np.log10((count + 1.0) / (self.total + self.kinds + 1))
+
+    def part_of(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """The part of bigrams, by the numbers of both words."""
+        splits = np.where(v < RARE, self.splits[np.where(v < RARE, v, 0).astype(np.int64)], 1).astype(np.uint64)
+        return (_mix(v ^ ((_mix(w) % splits) << np.uint64(40))) % np.uint64(self.parts)).astype(np.int64)
+
+
+def build_vocabulary(counts: DataFrame, settings: Settings) -> Vocabulary:
     """From a written table of word counts."""
     small = [F.count_if(F.col("c") == r).alias(f"n{r}") for r in range(1, K + 2)]
     s = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("kinds"), *small).first()
-    n_r = [s[f"n{r}"] for r in range(1, K + 2)]
-    total, kinds = int(s["total"]), int(s["kinds"])
-    d = Discounts(n_r)
-    if d.d is None:
-        kept = total - 0.5 * kinds
-    else:
-        kept = total - sum((1 - x) * r * n for r, (x, n) in enumerate(zip(d.d, n_r, strict=False), 1))
-    # At most 2**BITS rows have so large a share; the end has a code in any case.
-    rows = counts.where((F.col("c") >= total / 2**BITS) | (F.col("word") == _END_WORD)).toPandas()
+    total = int(s["total"])
+    # At most ``share`` rows have so large a share; the end has a code in any case.
+    rows = counts.where((F.col("c") >= total / settings.share) | (F.col("word") == _END_WORD)).toPandas()
     common = list(zip(map(bytes, rows["word"]), map(int, rows["c"]), strict=True))
-    return Vocabulary(common, total, kinds, n_r, float(kept))
+    return Vocabulary(common, total, int(s["kinds"]), [s[f"n{r}"] for r in range(1, K + 2)], settings)
 
 
 # -- parts -------------------------------------------------------------------------
@@ -186,12 +200,14 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
 
 
-def bigram_part(key: np.ndarray, parts: int) -> np.ndarray:
-    v = key >> SHIFT
-    return (_mix(np.where(v < TOP, key, v << SHIFT)) % np.uint64(parts)).astype(np.int64)
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """One 64-bit number for a bigram."""
+    return _mix(_mix(v) ^ w)
 
 
 def word_part(h: np.ndarray, parts: int) -> np.ndarray:
@@ -199,27 +215,36 @@ def word_part(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 class Chunk:
-    """Some documents with their tokens, one after the other."""
+    """Some documents with their tokens, one after the other, as numbers."""
 
     def __init__(self, ids: list, texts: list[list[bytes]], vocabulary: Vocabulary):
         self.ids, self.sizes = ids, np.array([len(t) + 1 for t in texts], dtype=np.int64)
-        self.words = [w for t in texts for w in (*t, _END_WORD)]
-        self.w = vocabulary.encode(self.words)
+        words = [w for t in texts for w in (*t, _END_WORD)]
+        code = np.fromiter(map(vocabulary.code.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         last = np.cumsum(self.sizes) - 1
-        self.w[last] = END
+        code[last] = END
+        self.w = code.astype(np.uint64)
+        rare = np.flatnonzero(code < 0)
+        self.w[rare] = np.fromiter((xxh64_intdigest(words[i]) for i in rare.tolist()), dtype=np.uint64, count=len(rare)) | RARE
         self.v = np.empty_like(self.w)
         self.v[1:] = self.w[:-1]
         self.v[np.concatenate([[0], last[:-1] + 1])] = BEGIN
-        self.doc = np.repeat(np.arange(len(ids)), self.sizes)
+        self.doc = np.repeat(np.arange(len(ids)), self.sizes).astype(np.uint16)
+        self.coded = (self.v < RARE) & (self.w < RARE)
+
+    def keys(self) -> np.ndarray:
+        """Numbers of the bigrams of two common words."""
+        return ((self.v[self.coded] << np.uint64(SHIFT)) | self.w[self.coded]).astype(np.int64)
 
 
 def chunks(it: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[Chunk]:
-    """The rows (doc_id, text) of a task in chunks of bounded size."""
+    """The rows (doc_id, text) of a task in chunks of bounded size (but for single long texts)."""
+    most = vocabulary.settings
     ids, texts, n = [], [], 0
     for batch in it:
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = tokens(text)
-            if ids and (n + len(words) >= CHUNK_TOKENS or len(ids) >= CHUNK_DOCS):
+            if ids and (n + len(words) >= most.chunk_tokens or len(ids) >= most.chunk_docs):
                 yield Chunk(ids, texts, vocabulary)
                 ids, texts, n = [], [], 0
             ids.append(doc_id)
@@ -229,261 +254,371 @@ def chunks(it: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[Chu
         yield Chunk(ids, texts, vocabulary)
 
 
+def _split(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of bigrams of two common words."""
+    k = key.astype(np.uint64)
+    return k >> np.uint64(SHIFT), k & np.uint64((1 << SHIFT) - 1)
+
+
 def _runs(sorted_values: np.ndarray) -> np.ndarray:
     """Where runs of equal values begin, and the end."""
-    return np.concatenate([[0], np.flatnonzero(np.diff(sorted_values)) + 1, [len(sorted_values)]])
+    return np.concatenate([[0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [len(sorted_values)]]) if len(sorted_values) else np.zeros(1, np.int64)
+
+
+def _spans(part: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(part, from, to) of sorted parts."""
+    at = _runs(part).tolist()
+    for a, b in zip(at[:-1], at[1:], strict=True):
+        yield int(part[a]), a, b
+
+
+def _summed(v: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, sorted, with the sums of ``n``."""
+    order = np.lexsort((w, v))
+    v, w, n = v[order], w[order], n[order]
+    if not len(v):
+        return v, w, n
+    new = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
+    return v[new], w[new], np.add.reduceat(n, new)
 
 
 # -- training -----------------------------------------------------------------------
 
-_MODEL = "kind int, part int, blob binary, v int, n1 long, n2 long, n3 long, n4 long, n5 long, n6 long, more long, p double, rare long"
-BIGRAMS, HISTORY, TOP_PAIRS, RARE_WORDS = 0, 1, 2, 3
+#: Kinds of rows: bigrams of coded words; other bigrams; sums of a coded history;
+#: frequent bigrams; counts of counts; counts of rare words; rare histories.
+BIGRAMS, PAIRS, HISTORY, FREQUENT, SIZES, RARE_WORDS, RARE_HISTORIES = range(7)
+_SUMS = [*[f"n{r}" for r in range(1, K + 1)], "kinds_more", "more", "six"]
+_COUNTED = "kind int, part int, blob binary, v long, " + ", ".join(f"{x} long" for x in _SUMS) + ", p double"
+
+
+def count_bigrams(it: Iterator[pa.RecordBatch], voc: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Rows (part, kind, blob) of the chunks' distinct bigrams."""
+    for c in chunks(it, voc):
+        rows = []
+        keys, n = np.unique(c.keys(), return_counts=True)
+        part = voc.part_of(*_split(keys))
+        order = np.argsort(part, kind="stable")
+        keys, n, part = keys[order], n[order].astype(np.uint32), part[order]
+        rows += [(p, BIGRAMS, pack(steps(keys[a:b]), n[a:b])) for p, a, b in _spans(part)]
+        v, w = c.v[~c.coded], c.w[~c.coded]
+        v, w, n = _summed(v, w, np.ones(len(v), np.int64))
+        part = voc.part_of(v, w)
+        order = np.argsort(part, kind="stable")
+        v, w, n, part = v[order], w[order], n[order].astype(np.uint32), part[order]
+        rows += [(p, PAIRS, pack(steps(v[a:b]), w[a:b], n[a:b])) for p, a, b in _spans(part)]
+        yield _batch(rows, (pa.int32(), pa.int32(), pa.binary()), ("part", "kind", "blob"))
+
+
+def _batch(rows: list[tuple], kinds: tuple, names: tuple) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=list(names))
+
+
+def _sums_by(v: np.ndarray, c: np.ndarray, p: np.ndarray) -> dict[str, np.ndarray]:
+    """Counts of small counts, and what larger ones add up to, by history."""
+    own, at = np.unique(v, return_inverse=True)
+    add = lambda x: np.bincount(at, weights=x, minlength=len(own))
+    out = {f"n{r}": add(c == r) for r in range(1, K + 1)}
+    out |= {"kinds_more": add(c > K), "more": add(np.where(c > K, c, 0)), "six": add(c == K + 1)}
+    return {"v": own} | {k: x.astype(np.int64) for k, x in out.items()} | {"p": add(p)}
+
+
+def merge_counts(part: int, kinds: list[int], blobs: list[bytes], voc: Vocabulary) -> pa.Table:
+    """The chunks' bigrams of one part, added up."""
+    coded = [unpack(b, "<i8", "<u4") for k, b in zip(kinds, blobs, strict=True) if k == BIGRAMS]
+    if coded:
+        keys, at = np.unique(np.concatenate([np.cumsum(k) for k, _ in coded]), return_inverse=True)
+        c = np.bincount(at, weights=np.concatenate([n for _, n in coded])).astype(np.int64)
+    else:
+        keys, c = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    other = [unpack(b, "<u8", "<u8", "<u4") for k, b in zip(kinds, blobs, strict=True) if k == PAIRS]
+    join = lambda i, kind: np.concatenate([x[i] for x in other]) if other else np.zeros(0, kind)
+    v2 = np.concatenate([np.cumsum(x[0], dtype=np.uint64) for x in other]) if other else np.zeros(0, np.uint64)
+    v2, w2, c2 = _summed(v2, join(1, np.uint64), join(2, np.int64).astype(np.int64))
+    v1, w1 = _split(keys)
+    own = v2 < RARE  # rare followers of coded histories; their probabilities come later
+    sums = _sums_by(np.concatenate([v1, v2[own]]).astype(np.int64), np.concatenate([c, c2[own]]), np.concatenate([voc.p[w1.astype(np.int64)], np.zeros(int(own.sum()))]))
+    rest = _sums_by(np.zeros(int((~own).sum()), np.int64), c2[~own], np.zeros(int((~own).sum())))
+    often = c >= voc.total / voc.settings.share
+    n, m = len(sums["v"]), len(rest["v"])
+    cols = {
+        "kind": pa.array([BIGRAMS, PAIRS, FREQUENT, *[HISTORY] * n, *[SIZES] * m], pa.int32()),
+        "part": pa.array([part] * (3 + n + m), pa.int32()),
+        "blob": pa.array([pack(steps(keys), c), pack(steps(v2), w2, c2), pack(keys[often], c[often]), *[None] * (n + m)], pa.binary()),
+        "v": pa.array(np.concatenate([[-1] * 3, sums["v"], [-1] * m]).astype(np.int64)),
+    }
+    for x in (*_SUMS, "p"):
+        values = np.concatenate([np.zeros(3), sums[x], rest[x]])
+        cols[x] = pa.array(values if x == "p" else values.astype(np.int64))
+    return pa.table(cols)
+
+
+def ask_counts(it: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """The rare followers of each part, for the parts of the unigram table."""
+    for batch in it:
+        for part, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            w = np.unique(unpack(blob, "<u8", "<u8", "<i8")[1])
+            w = w[w >= RARE]
+            to = word_part(w, parts)
+            order = np.argsort(to, kind="stable")
+            w, to = w[order], to[order]
+            yield _batch([(p, part, pack(steps(w[a:b]))) for p, a, b in _spans(to)], (pa.int32(), pa.int32(), pa.binary()), ("at", "part", "blob"))
+
+
+def _unigrams(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    got = [unpack(b, "<u8", "<i8") for b in blobs]
+    h = np.concatenate([np.cumsum(x, dtype=np.uint64) for x, _ in got]) if got else np.zeros(0, np.uint64)
+    c = np.concatenate([x for _, x in got]) if got else np.zeros(0, np.int64)
+    order = np.argsort(h)
+    return h[order], c[order]
+
+
+def normalise(pairs: list[bytes], answers: list[bytes], voc: Vocabulary, d: Discounts) -> list[tuple[int, bytes | None, int, float]]:
+    """Rows (kind, blob, v, p) of a part: its other bigrams, its rare histories, and sums for coded ones."""
+    got = [unpack(b, "<u8", "<u8", "<i8") for b in pairs]
+    if not got:
+        return []
+    v, w, c = (np.concatenate([x[i] if i else np.cumsum(x[0], dtype=np.uint64) for x in got]) for i in range(3))
+    h, n = _unigrams(answers)
+    rare = w >= RARE
+    cw = np.zeros(len(w), dtype=np.int64)
+    cw[rare] = _look_up(h, n, w[rare])
+    p = np.empty(len(w))
+    p[rare] = voc.probability(cw[rare])
+    p[~rare] = voc.p[w[~rare].astype(np.int64)]
+    coded = v < RARE
+    at, where = np.unique(v[coded], return_inverse=True)
+    added = np.bincount(where, weights=p[coded], minlength=len(at))
+    out: list[tuple[int, bytes | None, int, float]] = [(HISTORY, None, int(x), float(y)) for x, y in zip(at, added, strict=True)]
+    at, where = np.unique(v[~coded], return_inverse=True)
+    add = lambda x: np.bincount(where, weights=x, minlength=len(at))
+    log_z, log_alpha = weights(add(c[~coded]), add(d.discounted(c[~coded])), add(p[~coded]))
+    out.append((RARE_HISTORIES, pack(steps(at), log_z, log_alpha), -1, 0.0))
+    key = pair_key(v, w)
+    order = np.argsort(key)
+    out.append((PAIRS, pack(steps(key[order]), c[order], cw[order]), -1, 0.0))
+    return out
+
+
+def weights(c: np.ndarray, kept: np.ndarray, seen_p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of z and alpha of histories, from their counts, kept counts and their followers' probabilities."""
+    z = c + (kept > c - 1e-9)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        alpha = np.where(c > 0, (1 - kept / z) / np.maximum(1 - seen_p, 1e-300), 1.0)
+        return np.log10(np.maximum(z, 1)), np.log10(alpha)
 
 
 class Model:
-    """The trained model: bounded arrays by code, and the tables of parts."""
+    """The trained model: bounded arrays by code, and tables of parts."""
 
-    def __init__(self, vocabulary: Vocabulary, discounts: Discounts, tables: DataFrame, parts: int, histories, top: tuple[np.ndarray, np.ndarray]):
-        self.vocabulary, self.discounts, self.tables, self.parts = vocabulary, discounts, tables, parts
+    def __init__(self, vocabulary: Vocabulary, discounts: Discounts, tables: DataFrame | None, sums: dict[str, np.ndarray], frequent: tuple[np.ndarray, np.ndarray]):
+        self.vocabulary, self.discounts, self.tables = vocabulary, discounts, tables
         size = len(vocabulary.count)
-        z = vocabulary.count.astype(np.float64) + 1
-        kept, seen_p, rare = np.zeros(size), np.zeros(size), np.zeros(size, dtype=np.int64)
+        c, kept, seen_p = np.zeros(size), np.zeros(size), np.zeros(size)
+        v = sums["v"]
         for r in range(1, K + 1):
-            kept[histories["v"]] += discounts.discounted(np.array([r]))[0] * histories[f"n{r}"]
-        more, kinds_more = histories["more"], histories["n6"]
-        kept[histories["v"]] += more if discounts.d is not None else more - 0.5 * kinds_more
-        seen_p[histories["v"]] = histories["p"]
-        rare[histories["v"]] = histories["rare"]
-        self.log_z = np.log10(z)
-        self.log_alpha = np.log10((1 - kept / z) / (1 - seen_p))
-        with np.errstate(divide="ignore"):
-            self.log_p = np.log10(vocabulary.p)
-            self.log_unseen = float(np.log10(vocabulary.p_unseen)) if vocabulary.total else 0.0
-        if vocabulary.p[RARE] < 1e-15:  # no rare words: what a rare word adds is taken back for unseen ones
-            self.log_p[RARE] = 0.0
-        # z P(RARE | v), in logarithms
-        back = self.log_z + self.log_alpha + self.log_p[RARE]
-        self.log_rare = np.where(rare > 0, np.log10(np.maximum(discounts.discounted(np.maximum(rare, 1)), 1e-300)), back)
-        self.top_keys, self.top_counts = top
+            c[v] += r * sums[f"n{r}"]
+            kept[v] += discounts.discounted(np.array([r]))[0] * sums[f"n{r}"]
+        c[v] += sums["more"]
+        kept[v] += sums["more"] if discounts.d is not None else sums["more"] - 0.5 * sums["kinds_more"]
+        seen_p[v] = sums["p"]
+        self.log_z, self.log_alpha = weights(c, kept, seen_p)
+        self.frequent = frequent
 
-    def seen(self, c: np.ndarray) -> np.ndarray:
-        """log10 of d c."""
-        return np.log10(self.discounts.discounted(c))
 
-
-def train(training: DataFrame) -> Model:
-    """Count, discount and normalise over ``training`` (column text)."""
+def train(training: DataFrame, settings: Settings = Settings()) -> Model:  # noqa: B008
+    """Count, discount and normalise over ``training`` (doc_id, text)."""
     spark = training.sparkSession
     counts = materialize(word_counts(training), "katz-words")
-    vocabulary = build_vocabulary(counts)
-    parts = max(1, -(-vocabulary.total // PART_KEYS))
-    sent = spark.sparkContext.broadcast(vocabulary)
-
-    def bigrams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(it, sent.value):
-            keys, n = np.unique((c.v << SHIFT) | c.w, return_counts=True)
-            part = bigram_part(keys, parts)
-            order = np.argsort(part, kind="stable")
-            keys, n, part = keys[order], n[order].astype(np.uint32), part[order]
-            at = _runs(part)
-            blobs = [pack(steps(keys[a:b]), n[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(part[at[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["part", "blob"])
+    voc = build_vocabulary(counts, settings)
+    sent = spark.sparkContext.broadcast(voc)
 
     def merge(key: tuple, rows: pa.Table) -> pa.Table:
-        voc = sent.value
-        part = key[0].as_py()
-        got = [unpack(b, "<i8", "<u4") for b in rows["blob"].to_pylist()]
-        keys, inverse = np.unique(np.concatenate([np.cumsum(k) for k, _ in got]), return_inverse=True)
-        c = np.bincount(inverse, weights=np.concatenate([n for _, n in got])).astype(np.int64)
-        v, w = keys >> SHIFT, keys & ((1 << SHIFT) - 1)
-        at = _runs(v)
-        starts = at[:-1]
-        cols = {f"n{r}": np.add.reduceat((c == r).astype(np.int64), starts) for r in range(1, K + 1)}
-        cols["n6"] = np.add.reduceat((c > K).astype(np.int64), starts)  # kinds above K
-        cols["more"] = np.add.reduceat(np.where(c > K, c, 0), starts)
-        cols["p"] = np.add.reduceat(voc.p[w], starts)
-        cols["rare"] = np.add.reduceat(np.where(w == RARE, c, 0), starts)
-        n = len(starts)
-        top = (v < TOP) & (w < TOP)
-        six = int((c == K + 1).sum())
-        blobs = [pack(steps(keys), c), *[None] * n, pack(keys[top], c[top])]
-        return pa.table(
-            {
-                "kind": pa.array([BIGRAMS, *[HISTORY] * n, TOP_PAIRS], pa.int32()),
-                "part": pa.array([part] * (n + 2), pa.int32()),
-                "blob": pa.array(blobs, pa.binary()),
-                "v": pa.array([-1, *v[starts].tolist(), -1], pa.int32()),
-                **{k: pa.array(np.concatenate([[0], x, [six if k == "n6" else 0]]), pa.float64() if k == "p" else pa.int64()) for k, x in cols.items()},
-            }
-        )
-
-    merged = training.select("doc_id", "text").mapInArrow(bigrams, "part int, blob binary").groupBy("part").applyInArrow(merge, _MODEL)
-    merged = materialize(merged, "katz-bigrams")
-    names = [*[f"n{r}" for r in range(1, K + 2)], "more", "p", "rare"]
-    # One row for each code, of which there are 2**BITS + 3 at most.
-    rows = merged.where(F.col("kind") == HISTORY).groupBy("v").agg(*[F.sum(x).alias(x) for x in names]).toPandas()
-    histories = {x: rows[x].to_numpy() for x in ("v", *names)}
-    # At most TOP**2 pairs.
-    top_rows = merged.where(F.col("kind") == TOP_PAIRS).select("blob", "n6").toPandas()
-    top = [unpack(b, "<i8", "<i8") for b in top_rows["blob"]]
-    keys = np.concatenate([k for k, _ in top]) if top else np.zeros(0, np.int64)
-    order = np.argsort(keys)
-    top_counts = np.concatenate([c for _, c in top])[order] if top else keys
-    n_r = [int(histories[f"n{r}"].sum()) for r in range(1, K + 1)] + [int(top_rows["n6"].sum()) if len(top_rows) else 0]
+        return merge_counts(key[0].as_py(), rows["kind"].to_pylist(), rows["blob"].to_pylist(), sent.value)
 
-    rare = counts.where((F.col("c") < vocabulary.total / 2**BITS) & (F.col("word") != _END_WORD))
+    sent_rows = training.select("doc_id", "text").mapInArrow(lambda it: count_bigrams(it, sent.value), "part int, kind int, blob binary")
+    merged = materialize(sent_rows.groupBy("part").applyInArrow(merge, _COUNTED), "katz-bigrams")
+
+    rare = counts.where((F.col("c") < voc.total / settings.share) & (F.col("word") != _END_WORD))
 
     def hashed(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = sent.value.parts
         for batch in it:
-            h = np.fromiter(map(xxh64_intdigest, batch.column(0).to_pylist()), dtype=np.uint64, count=batch.num_rows)
-            c = batch.column(1).to_numpy()
-            part = word_part(h, parts)
+            h = np.fromiter(map(xxh64_intdigest, batch.column(0).to_pylist()), dtype=np.uint64, count=batch.num_rows) | RARE
+            c, part = batch.column(1).to_numpy(), word_part(h, parts)
             order = np.lexsort((h, part))
             h, c, part = h[order], c[order], part[order]
-            at = _runs(part) if len(part) else np.zeros(1, np.int64)
-            blobs = [pack(h[a:b], c[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([RARE_WORDS] * len(blobs), pa.int32()), pa.array(part[at[:-1]], pa.int32()), pa.array(blobs, pa.binary())], names=["kind", "part", "blob"])
-
-    words = materialize(rare.mapInArrow(hashed, "kind int, part int, blob binary"), "katz-rare-words")
-    tables = merged.where(F.col("kind") == BIGRAMS).select("kind", "part", "blob").unionByName(words)
-    return Model(vocabulary, Discounts(n_r), tables, parts, histories, (keys[order], top_counts))
+            yield _batch([(RARE_WORDS, p, pack(steps(h[a:b]), c[a:b])) for p, a, b in _spans(part)], (pa.int32(), pa.int32(), pa.binary()), ("kind", "part", "blob"))
+
+    words = materialize(rare.mapInArrow(hashed, "kind int, part int, blob binary"), "katz-rare-words", instead_of=counts)
+
+    sizes = merged.where(F.col("kind").isin(HISTORY, SIZES)).agg(*[F.coalesce(F.sum(f"n{r}"), F.lit(0)) for r in range(1, K + 1)], F.coalesce(F.sum("six"), F.lit(0))).first()
+    d = Discounts([int(x) for x in sizes])
+    others = merged.where(F.col("kind") == PAIRS).select("part", "blob")
+    asked = others.mapInArrow(lambda it: ask_counts(it, sent.value.parts), "at int, part int, blob binary")
+
+    def fetch(held: pa.Table, asks: pa.Table) -> pa.Table:
+        h, c = _unigrams(held["blob"].to_pylist())
+        wanted = [(p, np.cumsum(unpack(b, "<u8")[0], dtype=np.uint64)) for p, b in zip(asks["part"].to_pylist(), asks["blob"].to_pylist(), strict=True)]
+        return pa.table({"part": pa.array([p for p, _ in wanted], pa.int32()), "blob": pa.array([pack(steps(w), _look_up(h, c, w)) for _, w in wanted], pa.binary())})
+
+    fetched = words.groupBy("part").cogroup(asked.groupBy("at")).applyInArrow(fetch, "part int, blob binary")
+
+    def settle(held: pa.Table, answers: pa.Table) -> pa.Table:
+        part = held["part"][0].as_py() if held.num_rows else -1
+        rows = normalise(held["blob"].to_pylist(), answers["blob"].to_pylist(), sent.value, d)
+        cols = list(zip(*rows, strict=True)) or [()] * 4
+        return pa.table({"kind": pa.array(cols[0], pa.int32()), "part": pa.array([part] * len(rows), pa.int32()), "blob": pa.array(cols[1], pa.binary()), "v": pa.array(cols[2], pa.int64()), "p": pa.array(cols[3], pa.float64())})
+
+    settled = materialize(others.groupBy("part").cogroup(fetched.groupBy("part")).applyInArrow(settle, "kind int, part int, blob binary, v long, p double"), "katz-pairs")
+    # One row for each code, of which there are few more than ``share``.
+    none = [F.lit(0).cast("long").alias(x) for x in _SUMS]
+    by_code = merged.where(F.col("kind") == HISTORY).select("v", *_SUMS, "p").unionByName(settled.where(F.col("kind") == HISTORY).select("v", *none, "p"))
+    rows = by_code.groupBy("v").agg(*[F.sum(x).alias(x) for x in (*_SUMS, "p")]).toPandas()
+    # At most ``share`` bigrams make up so large a part of all.
+    often = [unpack(bytes(b), "<i8", "<i8") for b in merged.where(F.col("kind") == FREQUENT).select("blob").toPandas()["blob"]]
+    keys = np.concatenate([k for k, _ in often]) if often else np.zeros(0, np.int64)
+    order = np.argsort(keys)
+    often_counts = np.concatenate([c for _, c in often])[order] if often else keys
+    tables = merged.where(F.col("kind") == BIGRAMS).select("kind", "part", "blob").unionByName(settled.where(F.col("kind") != HISTORY).select("kind", "part", "blob")).unionByName(words)
+    return Model(voc, d, tables, {x: rows[x].to_numpy() for x in ("v", *_SUMS, "p")}, (keys[order], often_counts))
 
 
 # -- scoring ------------------------------------------------------------------------
 
 
 class _Sent:
-    """What scoring tasks need of a model; its size is bounded by BITS and TOP."""
+    """What scoring tasks need of a model; its size is bounded by ``share``."""
 
     def __init__(self, m: Model):
-        self.vocabulary, self.parts, self.discounts = m.vocabulary, m.parts, m.discounts
-        self.log_z, self.log_alpha, self.log_p, self.log_unseen, self.log_rare = m.log_z, m.log_alpha, m.log_p, m.log_unseen, m.log_rare
-        self.top_keys, self.top_counts = m.top_keys, m.top_counts
+        self.vocabulary, self.discounts, self.log_z, self.log_alpha, self.frequent = m.vocabulary, m.discounts, m.log_z, m.log_alpha, m.frequent
+        self.log_p = m.vocabulary.log_p(m.vocabulary.count)
 
     def seen(self, c: np.ndarray) -> np.ndarray:
-        return np.log10(self.discounts.discounted(c))
-
-    def base(self, c: np.ndarray) -> np.ndarray:
-        return np.log10((c + 1.0) / (self.vocabulary.total + self.vocabulary.kinds + 1))
+        """log10 of d c, for counts of at least one."""
+        return np.log10(self.discounts.discounted(np.maximum(c, 1)))
 
-    def unseen_bigram(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 of z alpha(v) P(w); a code that has no training token is unseen."""
-        lp = self.log_p[w]
-        return self.log_z[v] + self.log_alpha[v] + np.where(np.isneginf(lp), self.log_unseen, lp)
+    def coded(self, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """log10 P(w | v) of coded words with these counts of bigrams."""
+        v, w = v.astype(np.int64), w.astype(np.int64)
+        return np.where(c > 0, self.seen(c) - self.log_z[v], self.log_alpha[v] + self.log_p[w])
 
 
-HEAD, ASK_BIGRAMS, ASK_WORDS = 10, 11, 12
+HEAD, ASK_BIGRAMS, ASK_PAIRS, ASK_WORDS = 10, 11, 12, 13
 _ROW = "part int, kind int, chunk long, blob binary"
 
 
 def _ask(c: Chunk, s: _Sent, chunk: int) -> list[tuple[int, int, int, bytes]]:
     """Rows (part, kind, chunk, blob) for one chunk: what is known here, and what is asked."""
-    n = len(c.ids)
-    add = lambda at, x: np.bincount(c.doc[at], weights=x, minlength=n)
-    rare = c.w == RARE
-    own = np.flatnonzero(~rare)
-    count = s.vocabulary.count[c.w[own]]
-    known = np.bincount(c.doc[own], weights=count > 0, minlength=n)
-    base = add(own, s.base(count))
-    score = add(slice(None), -s.log_z[c.v])
-    top = np.flatnonzero((c.v < TOP) & (c.w < TOP) & ~rare)
-    key = (c.v << SHIFT) | c.w
-    if len(top):
-        k = key[top]
-        held = np.zeros(len(k), dtype=np.int64)
-        if len(s.top_keys):
-            at = np.minimum(np.searchsorted(s.top_keys, k), len(s.top_keys) - 1)
-            held = np.where(s.top_keys[at] == k, s.top_counts[at], 0)
-        score += add(top, np.where(held > 0, s.seen(np.maximum(held, 1)), s.unseen_bigram(c.v[top], c.w[top])))
-    at = np.flatnonzero(rare)
-    score += add(at, s.log_rare[c.v[at]] - s.log_p[RARE])
+    n, voc = len(c.ids), s.vocabulary
+    add = lambda doc, x: np.bincount(doc, weights=x, minlength=n)
+    own = c.w < RARE
+    count = voc.count[c.w[own].astype(np.int64)]
+    known, base = add(c.doc[own], count > 0), add(c.doc[own], voc.base(count))
+    keys, doc = c.keys(), c.doc[c.coded]
+    order = np.argsort(keys, kind="stable")
+    keys, doc = keys[order], doc[order]
+    held = _look_up(*s.frequent, keys)
+    here = held > 0
+    score = add(doc[here], s.coded(*_split(keys[here]), held[here]))
     ids = np.array([x if x is not None else 0 for x in c.ids], dtype=np.int64)
     null = np.array([x is None for x in c.ids], dtype=np.uint8)
-    rows = [(int(_mix(np.array([chunk]))[0] % np.uint64(s.parts)), HEAD, chunk, pack(ids, null, c.sizes, known.astype(np.int64), base, score))]
-
-    rest = np.flatnonzero(~rare & ~((c.v < TOP) & (c.w < TOP)))
-    if len(rest):
-        k, d = key[rest], c.doc[rest]
-        part = bigram_part(k, s.parts)
-        order = np.lexsort((k, part))
-        k, d, part = k[order], d[order].astype(np.uint16), part[order]
-        at = _runs(part)
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            rows.append((int(part[a]), ASK_BIGRAMS, chunk, pack(steps(k[a:b]), d[a:b])))
-    at = np.flatnonzero(rare)
-    if len(at):
-        h = np.fromiter((xxh64_intdigest(c.words[i]) for i in at.tolist()), dtype=np.uint64, count=len(at))
-        part = word_part(h, s.parts)
-        order = np.lexsort((h, part))
-        h, part, d, v = h[order], part[order], c.doc[at][order].astype(np.uint16), c.v[at][order].astype(np.uint32)
-        at = _runs(part)
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            rows.append((int(part[a]), ASK_WORDS, chunk, pack(h[a:b], d[a:b], v[a:b])))
+    rows = [(int(word_part(np.array([chunk]), voc.parts)[0]), HEAD, chunk, pack(ids, null, c.sizes, known.astype(np.int64), base, score))]
+
+    keys, doc = keys[~here], doc[~here]
+    part = voc.part_of(*_split(keys))
+    order = np.argsort(part, kind="stable")
+    keys, doc, part = keys[order], doc[order], part[order]
+    rows += [(p, ASK_BIGRAMS, chunk, pack(steps(keys[a:b]), doc[a:b])) for p, a, b in _spans(part)]
+
+    v, w, doc = c.v[~c.coded], c.w[~c.coded], c.doc[~c.coded]
+    part = voc.part_of(v, w)
+    order = np.lexsort((v, part))
+    v, w, doc, part = v[order], w[order], doc[order], part[order]
+    rows += [(p, ASK_PAIRS, chunk, pack(steps(v[a:b]), w[a:b], doc[a:b])) for p, a, b in _spans(part)]
+
+    w, doc = c.w[~own], c.doc[~own]
+    part = word_part(w, voc.parts)
+    order = np.lexsort((w, part))
+    w, doc, part = w[order], doc[order], part[order]
+    rows += [(p, ASK_WORDS, chunk, pack(steps(w[a:b]), doc[a:b])) for p, a, b in _spans(part)]
     return rows
 
 
 def _look_up(keys: np.ndarray, counts: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The counts of what is asked, 0 for what is not there; keys are sorted."""
     if not len(keys):
         return np.zeros(len(asked), dtype=np.int64)
     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, counts[at], 0)
+    return np.where(keys[at] == asked, counts[at], 0).astype(np.int64)
 
 
 def _answer(s: _Sent, model: pa.Table, asked: pa.Table) -> Iterator[tuple[int, int, bytes]]:
-    """Rows (kind, chunk, blob): each asking token's count, and for those without one the logarithm instead."""
-    pairs, pair_counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    words, word_n = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    """Rows (kind, chunk, blob): what each chunk's asks add to its documents."""
+    voc = s.vocabulary
+    held: dict[int, list[bytes]] = {}
     for kind, blob in zip(model["kind"].to_pylist(), model["blob"].to_pylist(), strict=True):
-        if kind == BIGRAMS:
-            pairs, pair_counts = unpack(blob, "<i8", "<i8")
-            pairs = np.cumsum(pairs)
-        else:
-            h, n = unpack(blob, "<u8", "<i8")
-            words.append(h)
-            word_n.append(n)
-    h, n = np.concatenate(words), np.concatenate(word_n)
-    order = np.argsort(h)
-    h, n = h[order], n[order]
+        held.setdefault(kind, []).append(blob)
+    h, n = _unigrams(held.get(RARE_WORDS, []))
+    bigrams = [unpack(b, "<i8", "<i8") for b in held.get(BIGRAMS, [])] or [[np.zeros(0, np.int64)] * 2]
+    keys, counts = np.cumsum(bigrams[0][0]), bigrams[0][1]
+    pairs = [unpack(b, "<u8", "<i8", "<i8") for b in held.get(PAIRS, [])] or [[np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 2]]
+    pair_keys, pair_counts, pair_words = np.cumsum(pairs[0][0], dtype=np.uint64), pairs[0][1], pairs[0][2]
+    past = [unpack(b, "<u8", "<f8", "<f8") for b in held.get(RARE_HISTORIES, [])] or [[np.zeros(0, np.uint64), *[np.zeros(0)] * 2]]
+    past_v, past_z, past_alpha = np.cumsum(past[0][0], dtype=np.uint64), past[0][1], past[0][2]
     for kind, chunk, blob in zip(asked["kind"].to_pylist(), asked["chunk"].to_pylist(), asked["blob"].to_pylist(), strict=True):
         if kind == HEAD:
             yield kind, chunk, blob
             continue
+        extra: tuple[np.ndarray, ...] = ()
         if kind == ASK_BIGRAMS:
-            k, d = unpack(blob, "<i8", "<u2")
+            k, doc = unpack(blob, "<i8", "<u2")
             k = np.cumsum(k)
-            c = _look_up(pairs, pair_counts, k)
-            k = k[c == 0]
-            instead = s.unseen_bigram(k >> SHIFT, k & ((1 << SHIFT) - 1))
+            score = s.coded(*_split(k), _look_up(keys, counts, k))
+        elif kind == ASK_WORDS:
+            w, doc = unpack(blob, "<u8", "<u2")
+            c = _look_up(h, n, np.cumsum(w, dtype=np.uint64))
+            score = voc.log_p(c)
+            extra = (c > 0, voc.base(c))
         else:
-            k, d, v = unpack(blob, "<u8", "<u2", "<u4")
-            c = _look_up(h, n, k)
-            v = v[c == 0].astype(np.int64)
-            # In place of what the chunk has put in for a rare word.
-            instead = s.log_z[v] + s.log_alpha[v] + s.log_unseen - (s.log_rare[v] - s.log_p[RARE])
-        order = np.lexsort((d, c == 0))  # those with counts first
-        yield kind, chunk, pack(d[order], c[order][c[order] > 0].astype(np.uint32), instead[np.argsort(d[c == 0], kind="stable")])
-
-
-def _finish(s: _Sent, rows: pa.Table) -> pa.Table:
+            v, w, doc = unpack(blob, "<u8", "<u8", "<u2")
+            v = np.cumsum(v, dtype=np.uint64)
+            at = np.minimum(np.searchsorted(pair_keys, k := pair_key(v, w)), max(len(pair_keys) - 1, 0))
+            there = pair_keys[at] == k if len(pair_keys) else np.zeros(len(k), bool)
+            coded = v < RARE
+            log_z, log_alpha = np.zeros(len(v)), np.zeros(len(v))
+            log_z[coded], log_alpha[coded] = s.log_z[v[coded].astype(np.int64)], s.log_alpha[v[coded].astype(np.int64)]
+            if len(past_v):
+                row = np.minimum(np.searchsorted(past_v, v[~coded]), len(past_v) - 1)
+                known = past_v[row] == v[~coded]
+                log_z[~coded], log_alpha[~coded] = np.where(known, past_z[row], 0.0), np.where(known, past_alpha[row], 0.0)
+            rare = w >= RARE
+            # A rare follower's own probability comes with its word; where the bigram is known it is taken back.
+            follower = np.zeros(len(w))
+            follower[~rare] = s.log_p[w[~rare].astype(np.int64)]
+            score = log_alpha + follower
+            if there.any():
+                own = voc.log_p(pair_words[at[there]])
+                score[there] = s.seen(pair_counts[at[there]]) - log_z[there] - np.where(rare[there], own, 0.0)
+        docs, at = np.unique(doc, return_inverse=True)
+        sums = [np.bincount(at, weights=x, minlength=len(docs)) for x in (score, *extra)]
+        yield kind, chunk, pack(docs, *sums)
+
+
+def _finish(rows: pa.Table) -> pa.Table:
     """The documents of a chunk from its head and the answers."""
     kinds, blobs = rows["kind"].to_pylist(), rows["blob"].to_pylist()
     ids, null, sizes, known, base, score = unpack(blobs[kinds.index(HEAD)], "<i8", "u1", "<i8", "<i8", "<f8", "<f8")
     known, base, score = known.copy(), base.copy(), score.copy()
-    n = len(ids)
     for kind, blob in zip(kinds, blobs, strict=True):
-        if kind == HEAD:
-            continue
-        d, c, instead = unpack(blob, "<u2", "<u4", "<f8")
-        with_count, without = d[: len(c)], d[len(c) :]
-        score += np.bincount(without, weights=instead, minlength=n)
-        if kind == ASK_BIGRAMS:
-            score += np.bincount(with_count, weights=s.seen(c), minlength=n)
-        else:
-            known += np.bincount(with_count, minlength=n)
-            base += np.bincount(with_count, weights=s.base(c), minlength=n)
-            base += np.bincount(without, minlength=n) * s.base(np.zeros(1))[0]
-            own = np.log10(s.vocabulary.discounts.discounted(c) / max(s.vocabulary.total, 1))
-            score += np.bincount(with_count, weights=own, minlength=n)
+        if kind == ASK_WORDS:
+            docs, own, have, plain = unpack(blob, "<u2", "<f8", "<f8", "<f8")
+            known[docs] += have.astype(np.int64)
+            base[docs] += plain
+            score[docs] += own
+        elif kind != HEAD:
+            docs, own = unpack(blob, "<u2", "<f8")
+            score[docs] += own
     return pa.table({"doc_id": pa.array(ids, mask=null.astype(bool)), "n_tokens": pa.array(sizes), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(score)})
 
 
@@ -496,25 +631,21 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
         s = sent.value
         first = TaskContext.get().partitionId() << 32
         for i, c in enumerate(chunks(it, s.vocabulary)):
-            cols = list(zip(*_ask(c, s, first + i), strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())], names=["part", "kind", "chunk", "blob"])
+            yield _batch(_ask(c, s, first + i), (pa.int32(), pa.int32(), pa.int64(), pa.binary()), ("part", "kind", "chunk", "blob"))
 
     def answer(held: pa.Table, asked: pa.Table) -> pa.Table:
         cols = list(zip(*_answer(sent.value, held, asked), strict=True)) or [()] * 3
         return pa.table({"kind": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int64()), "blob": pa.array(cols[2], pa.binary())})
 
-    def finish(rows: pa.Table) -> pa.Table:
-        return _finish(sent.value, rows)
-
     asked = documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(ask, _ROW)
     answers = model.tables.groupBy("part").cogroup(asked.groupBy("part")).applyInArrow(answer, "kind int, chunk long, blob binary")
-    return answers.groupBy("chunk").applyInArrow(finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return answers.groupBy("chunk").applyInArrow(_finish, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def train_and_score(documents: DataFrame, held_out: Callable[[Column], Column]) -> DataFrame:
+def train_and_score(documents: DataFrame, held_out: Callable[[Column], Column], settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """Train on the rows that are not held out, score all."""
     out = held_out(F.col("doc_id"))
     rows = documents.select(F.col("doc_id").cast("long"), "text")
-    model = train(rows.where(~F.coalesce(out, F.lit(False))))
+    model = train(rows.where(~F.coalesce(out, F.lit(False))), settings)
     scored = score(rows, model)
     return scored.select("doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score")

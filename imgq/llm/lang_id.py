@@ -33,7 +33,7 @@ SAMPLE_DOCS = 400
 SAMPLE_SYMBOLS = 60_000
 WINDOW = 2048
 #: Breaks between phrases for each letter from which on a text is in no learned language.
-MAX_BREAKS = 0.5
+MAX_BREAKS = 0.75
 UNKNOWN = "und"
 
 

@@ -1,4 +1,5 @@
 import math
+import zlib
 from collections import Counter, defaultdict
 
 import pytest
@@ -10,129 +11,73 @@ from imgq.llm.common import crc32_mod
 class Brute:
     """The same model over dictionaries."""
 
-    def __init__(self, texts, share):
+    def __init__(self, texts):
         t = [[w.encode().lower() for w in (x or "").split()] + [b"</>"] for x in texts]
         self.c = Counter(w for x in t for w in x)
-        self.n, self.v = sum(self.c.values()), len(self.c)
-        self.common = {w for w, k in self.c.items() if k >= self.n / share or w == b"</>"}
-        code = lambda w: w if w in self.common else "rare"
-        self.code = code
+        self.n = sum(self.c.values())
         d1 = katz.Discounts([sum(k == r for k in self.c.values()) for r in range(1, katz.K + 2)])
         self.p = {w: float(d1.discounted([k])[0]) / self.n for w, k in self.c.items()}
         self.unseen = 1 - sum(self.p.values())
-        self.pc = defaultdict(float)
-        for w, p in self.p.items():
-            self.pc[code(w)] += p
-        self.pairs = Counter()
+        pairs = Counter()
         for x in t:
-            y = ["begin", *map(code, x)]
-            self.pairs.update(zip(y, y[1:], strict=False))
-        self.d2 = katz.Discounts([sum(k == r for k in self.pairs.values()) for r in range(1, katz.K + 2)])
-        self.h = defaultdict(dict)
-        for (v, w), k in self.pairs.items():
-            self.h[v][w] = k
+            pairs.update(zip(["begin", *x], x, strict=False))
+        self.d2 = katz.Discounts([sum(k == r for k in pairs.values()) for r in range(1, katz.K + 2)])
+        self.follow = defaultdict(dict)
+        for (v, w), k in pairs.items():
+            self.follow[v][w] = k
 
     def prob(self, w, v):
-        follow = self.h.get(v, {})
-        z = sum(follow.values()) + 1
+        own = self.p.get(w, self.unseen)
+        if v not in self.follow:
+            return own
+        follow = self.follow[v]
         kept = sum(float(self.d2.discounted([k])[0]) for k in follow.values())
-        alpha = (1 - kept / z) / (1 - sum(self.pc[x] for x in follow))
-        if w is None:
-            return alpha * self.unseen
-        x = self.code(w)
-        p = float(self.d2.discounted([follow[x]])[0]) / z if x in follow else alpha * self.pc[x]
-        return p * self.p[w] / self.pc[x]
+        z = sum(follow.values())
+        if kept > z - 1e-9:
+            z += 1
+        if w in follow:
+            return float(self.d2.discounted([follow[w]])[0]) / z
+        return (1 - kept / z) / (1 - sum(self.p[x] for x in follow)) * own
 
     def score(self, text):
         out, v = 0.0, "begin"
-        for w in [*((x.encode().lower()) for x in (text or "").split()), b"</>"]:
-            out += math.log10(self.prob(w if w in self.c else None, v))
-            v = self.code(w)
+        for w in [*(x.encode().lower() for x in (text or "").split()), b"</>"]:
+            out += math.log10(self.prob(w, v))
+            v = w
         return out
 
 
-@pytest.mark.parametrize("bits", [4, 6, 18])
-def test_against_brute_force_and_adds_up(documents, rows, monkeypatch, bits):
-    monkeypatch.setattr(katz, "BITS", bits)
-    monkeypatch.setattr(katz, "PART_KEYS", 500)
-    import zlib
-
+# Few codes and small parts send most bigrams by hash and over several parts.
+@pytest.mark.parametrize("settings", [katz.Settings(), katz.Settings(share=16, part_tokens=400, chunk_tokens=300)])
+def test_against_brute_force_and_adds_up(spark, documents, rows, settings):
     held = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d, *_ in rows}
-    brute = Brute([t for d, t, *_ in rows if not held[d]], 2**bits)
-    for v in ["begin", *list(brute.h)[:20]]:
+    brute = Brute([t for d, t, *_ in rows if not held[d]])
+    for v in ["begin", *list(brute.follow)[:40], "never"]:
         if v != b"</>":
             assert math.isclose(sum(brute.prob(w, v) for w in [*brute.c, None]), 1, rel_tol=1e-9)
-    # The workers import katz afresh: what was patched above travels in the model.
-    counts = katz.word_counts(documents.where(crc32_mod(documents.doc_id, 7) != 2)).collect()
-    assert {bytes(r["word"]) or b"</>": r["c"] for r in counts} == dict(brute.c)
-    if bits == 18:
-        got = katz.train_and_score(documents, lambda d: crc32_mod(d, 7) == 2).collect()
-        want = sorted((d, brute.score(t)) for d, t, *_ in rows)
-        for r, (d, s) in zip(sorted(got, key=lambda r: (r["doc_id"], r["score"])), want, strict=True):
-            assert r["doc_id"] == d and math.isclose(r["score"], s, rel_tol=1e-8), (d, r["score"], s)
-            assert r["held_out"] == held[d] and r["train_tokens"] == brute.n
-
-
-def test_rare_words_and_parts(spark, rows):
-    """In one process, with few codes: rare words, unseen words and several parts."""
-    import zlib
-
-    import numpy as np
-    import pyarrow as pa
-
-    texts = [(d, t) for d, t, *_ in rows]
-    train = [t for d, t in texts if zlib.crc32(str(d).encode()) % 7 != 2]
-    bits = katz.BITS
-    katz.BITS = 6
-    try:
-        brute = Brute(train, 2**6)
-        df = spark.createDataFrame([(t,) for t in train], "text string")
-        counts = df.sparkSession.createDataFrame([(w if w != b"</>" else b"", c) for w, c in brute.c.items()], "word binary, c long")
-        voc = katz.build_vocabulary(counts)
-        assert len(voc.code) == len(brute.common) - 1
-        assert math.isclose(voc.p.sum() + voc.p_unseen, 1, rel_tol=1e-12)
-        # The same steps as the job, in one chunk and three parts.
-        chunk = katz.Chunk([0] * len(train), [katz.tokens(t) for t in train], voc)
-        keys, n = np.unique((chunk.v << katz.SHIFT) | chunk.w, return_counts=True)
-        v, w = keys >> katz.SHIFT, keys & ((1 << katz.SHIFT) - 1)
-        h = {k: [] for k in ("v", "n1", "n2", "n3", "n4", "n5", "n6", "more", "p", "rare")}
-        for x in np.unique(v):
-            own, c = w[v == x], n[v == x]
-            h["v"].append(x)
-            for r in range(1, 6):
-                h[f"n{r}"].append((c == r).sum())
-            h["n6"].append((c > 5).sum())
-            h["more"].append(c[c > 5].sum())
-            h["p"].append(voc.p[own].sum())
-            h["rare"].append(c[own == katz.RARE].sum())
-        h = {k: np.array(x) for k, x in h.items()}
-        top = (v < 4) & (w < 4)
-        d = katz.Discounts([int((n == r).sum()) for r in range(1, 7)])
-        model = katz.Model(voc, d, None, 3, h, (keys[top], n[top]))
-        sent = katz._Sent(model)
-        old_top, katz.TOP = katz.TOP, 4
-        try:
-            asks = katz._ask(katz.Chunk([d for d, _ in texts], [katz.tokens(t) for _, t in texts], voc), sent, 5)
-            answers = []
-            part = katz.bigram_part(keys, 3)
-            rare = [(w, c) for w, c in brute.c.items() if w not in brute.common]
-            hashes = np.array([katz.xxh64_intdigest(w) for w, _ in rare], dtype=np.uint64)
-            wp = katz.word_part(hashes, 3)
-            for p in range(3):
-                blobs = [(katz.BIGRAMS, katz.pack(katz.steps(keys[part == p]), n[part == p].astype(np.int64)))]
-                blobs.append((katz.RARE_WORDS, katz.pack(hashes[wp == p], np.array([c for _, c in rare], dtype=np.int64)[wp == p])))
-                held = pa.table({"kind": [k for k, _ in blobs], "blob": pa.array([b for _, b in blobs], pa.binary())})
-                mine = [a for a in asks if a[0] == p]
-                asked = pa.table({"kind": [a[1] for a in mine], "chunk": [a[2] for a in mine], "blob": pa.array([a[3] for a in mine], pa.binary())})
-                answers += katz._answer(sent, held, asked)
-            got = katz._finish(sent, pa.table({"kind": [a[0] for a in answers], "blob": pa.array([a[2] for a in answers], pa.binary())}))
-        finally:
-            katz.TOP = old_top
-    finally:
-        katz.BITS = bits
-    for (d, t), s, known in zip(texts, got["score"].to_pylist(), got["n_known"].to_pylist(), strict=True):
-        assert math.isclose(s, brute.score(t), rel_tol=1e-8), d
-        assert known == 1 + sum(x.encode().lower() in brute.c for x in (t or "").split())
+    got = katz.train_and_score(documents, lambda d: crc32_mod(d, 7) == 2, settings).collect()
+    want = sorted((d, brute.score(t), t) for d, t, *_ in rows)
+    for r, (d, s, t) in zip(sorted(got, key=lambda r: (r["doc_id"], r["score"])), want, strict=True):
+        assert r["doc_id"] == d and math.isclose(r["score"], s, rel_tol=1e-8), (d, r["score"], s)
+        words = [*(x.encode().lower() for x in (t or "").split()), b"</>"]
+        assert (r["held_out"], r["train_tokens"], r["n_tokens"]) == (held[d], brute.n, len(words))
+        assert r["n_known"] == sum(w in brute.c for w in words)
+        assert math.isclose(r["base_score"], sum(math.log10((brute.c[w] + 1) / (brute.n + len(brute.c) + 1)) for w in words), rel_tol=1e-9)
+
+
+def test_good_turing_and_histories_without_small_counts(spark):
+    """Counts of counts that allow Good-Turing, a history whose followers are all frequent, and null ids."""
+    texts = [f"w{i} w{i}" for i in range(400)] + ["x y"] * 30 + [f"u{i % 90} q" for i in range(180)] + [f"t{i % 40} r" for i in range(120)] + [f"s{i % 12} p" for i in range(48)]
+    texts += [f"o{i % 6} n" for i in range(30)] + [f"l{i % 3} k" for i in range(18)]
+    rows = [(None if i == 3 else i, t) for i, t in enumerate(texts)] + [(9000, "x z new y")]
+    brute = Brute(texts)
+    assert brute.d2.d is not None and brute.follow[b"x"] == {b"y": 30}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = katz.train_and_score(docs, lambda d: d == 9000, katz.Settings(share=32, part_tokens=100, chunk_tokens=200)).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 1
+    for r in got:
+        text = dict(rows)[r["doc_id"]]
+        assert math.isclose(r["score"], brute.score(text), rel_tol=1e-9), text
 
 
 def test_no_rows(spark, no_documents):
