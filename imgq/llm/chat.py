@@ -13,8 +13,9 @@ backslash is doubled; taking one backslash from each pair restores the text.
 
 Edge cases: null roles and texts are empty strings. A reply to a message that
 is not there is a root. Messages that reply to each other in a ring have no
-root and are left out. Ties of branches go to the longer one, then to the leaf
-with the smallest id. An empty table gives no rows.
+root and are left out. Messages without a tree_id are one tree. Ties of branches
+go to the longer one, then to the leaf with the smallest id. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def ranked_branches(messages: DataFrame) -> DataFrame:
         far = now.select("tree_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
         step = going.join(far, ["tree_id", "up"])
         step = step.select("tree_id", "id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total"))
-        now = materialize(now.where("up IS NULL").unionByName(step), "paths")
+        now = materialize(now.where("up IS NULL").unionByName(step), "paths", instead_of=now)
     parents = base.where("_known").select("tree_id", F.col("parent").alias("id")).distinct()
     leaves = now.where("up IS NULL").join(parents, ["tree_id", "id"], "left_anti")
     mean = F.col("total") / F.col("depth")
@@ -78,9 +79,9 @@ def paths(messages: DataFrame, leaves: DataFrame) -> DataFrame:
         further = materialize(further, "paths")
         if further.limit(1).count() == 0:
             break
-        rows = materialize(rows.unionByName(further), "paths")
+        rows = materialize(rows.unionByName(further), "paths", instead_of=rows)
         twice = hop.join(hop.select("tree_id", F.col("id").alias("up"), F.col("up").alias("_up")), ["tree_id", "up"])
-        hop = materialize(twice.select("tree_id", "id", F.col("_up").alias("up")), "hops")
+        hop = materialize(twice.select("tree_id", "id", F.col("_up").alias("up")), "hops", instead_of=hop)
         step *= 2
     return rows
 
@@ -109,13 +110,16 @@ def format_turns(turns: DataFrame) -> DataFrame:
 def format_chats(messages: DataFrame, branches: int = 1) -> DataFrame:
     """The best ``branches`` paths of each tree as conversations; None takes all.
 
-    ``messages``: tree_id, id, parent, score, role, text.
+    ``messages``: tree_id, id, parent, score, role, text; further columns are
+    not read. Messages whose tree_id is null are one tree.
     """
-    tree = materialize(messages.select("tree_id", "id", "parent", "score", "role", "text"), "messages")
+    # A struct that holds a null is equal to another one, so no join loses a tree.
+    tree = materialize(messages.select(F.struct("tree_id").alias("tree_id"), "id", "parent", "score", "role", "text"), "messages")
     leaves = ranked_branches(tree)
     chosen = materialize(leaves if branches is None else leaves.where(F.col("rank") <= branches), "branches")
     turns = paths(tree, chosen).join(tree.select("tree_id", "id", "role", "text"), ["tree_id", "id"])
-    return format_turns(turns).join(chosen.select("tree_id", "leaf", "score", "rank"), ["tree_id", "leaf"])
+    out = format_turns(turns).join(chosen.select("tree_id", "leaf", "score", "rank"), ["tree_id", "leaf"])
+    return out.withColumn("tree_id", F.col("tree_id.tree_id"))
 
 
 def read_turns(formatted: Column) -> Column:

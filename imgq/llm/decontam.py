@@ -1,21 +1,22 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words of the benchmark are counted over the whole corpus. An n-gram of an item
-is a seed if words this frequent would rarely stand together by chance; whether
-the n-gram itself is frequent does not matter, so a passage that leaked into
-many documents is still found. A document that shares a seed with an item is
-aligned with it, word by word, around the place where the seed stands in both.
-The alignment lets words be replaced, dropped and added, and its score as a
-share of the item's own decides.
+The n-grams of the benchmark's items are counted over the corpus, in documents.
+Seeds of an item are its n-grams that at most one document in ``COMMON`` has, and
+in any case the rarer half of its n-grams: what is common is judged by item, so a
+passage that leaked into most documents is still found. A document that shares a
+seed with an item is aligned with it, word by word, around the place where the
+seed stands in both. The alignment lets words be replaced, dropped and added, and
+its score as a share of the item's own decides.
 
-The benchmark is sent to all tasks in blocks of at most ``BLOCK_WORDS`` words,
-one pass over the corpus for each block, so its size is not limited.
+The seeds of at most ``BLOCK_WORDS`` words of items are sent to all tasks and
+joined there, in passes over the corpus if the benchmark is larger.
 
 Edge cases: null or empty texts match nothing. Items shorter than the n-gram
-are one n-gram themselves. Items with too few seeds use all their n-grams.
-Rows that repeat a ``doc_id`` or ``item_id`` are matched each on its own and
-the best row for each pair of ids is returned. An empty table on either side
-gives no rows.
+are one n-gram themselves. Rows that repeat a ``doc_id`` or ``item_id`` are
+matched each on its own; ``leaks`` returns the best row for each pair of ids (a
+null doc_id is one of these), ``drop_contaminated`` judges each row by its own
+text and keeps all columns, whatever their names. An empty table on either side
+gives no pairs.
 """
 
 from __future__ import annotations
@@ -26,18 +27,18 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 NGRAM = 3
-#: Chance occurrences in a million words up to which an n-gram counts as rare.
-CHANCE = 0.2
-MIN_SEEDS = 4
+#: An n-gram is rare that at most one document in so many has.
+COMMON = 1000
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.5
 #: An aligned run of so many points is a leak even of a longer item.
 MIN_POINTS = 40
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 1_000_000
 
 _PUNCTUATION = bytes(32 if c < 128 and not chr(c).isalnum() else c for c in range(256))
 
@@ -90,35 +91,44 @@ class Block:
             w = words(text)
             if w:
                 self.items.append((item_id, np.array([self.vocab.setdefault(x, len(self.vocab)) for x in w], dtype=np.int64)))
-        self.seeds: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-
-    def choose_seeds(self, counts: dict[int, int], total: int, chance: float = CHANCE) -> None:
-        """Seeds by the words' counts in the corpus."""
-        share = np.array([counts.get(i, 0) for i in range(len(self.vocab))]) / max(total, 1)
-        seeds = defaultdict(list)
-        for k, (_, ids) in enumerate(self.items):
-            n = min(self.ngram, len(ids))
-            grams = [(tuple(ids[i : i + n].tolist()), i) for i in range(len(ids) - n + 1)]
-            rare = [(g, i) for g, i in grams if 1e6 * share[list(g)].prod() <= chance]
-            for g, i in rare if len(rare) >= MIN_SEEDS else grams:
-                seeds[g].append((k, i))
-        self.seeds = dict(seeds)
+        self._index([(tuple(ids[i : i + (n := min(ngram, len(ids)))].tolist()), k, i) for k, (_, ids) in enumerate(self.items) for i in range(len(ids) - min(ngram, len(ids)) + 1)])
+
+    def _index(self, grams: list[tuple[tuple[int, ...], int, int]]) -> None:
+        """The n-grams to look for: (n-gram, item, place in the item)."""
+        self.grams = grams
+        self.seeds: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
+        for g, k, i in grams:
+            self.seeds[g].append((k, i))
         self.sizes = sorted({len(g) for g in self.seeds})
         self.codes = {n: np.unique([self._code(g) for g in self.seeds if len(g) == n]) for n in self.sizes}
 
+    def choose_seeds(self, counts: dict[int, int], documents: int) -> None:
+        """Keep the rare n-grams, by the documents that have them (``counts`` by place in ``numbers``)."""
+        number = self.numbers()
+        own = defaultdict(list)
+        for g, k, i in self.grams:
+            own[k].append((counts.get(number[g], 0), g, i))
+        kept = []
+        for k, found in own.items():
+            half = sorted(n for n, _, _ in found)[(len(found) - 1) // 2]
+            kept += [(g, k, i) for n, g, i in found if n <= max(half, documents / COMMON)]
+        self._index(kept)
+
+    def numbers(self) -> dict[tuple[int, ...], int]:
+        return {g: j for j, g in enumerate(sorted(self.seeds))}
+
     def _code(self, gram: tuple[int, ...]) -> int:
         out = 0
         for x in gram:
-            out = out * (len(self.vocab) + 1) + x + 1
+            out = (out * (len(self.vocab) + 1) + x + 1) % (1 << 62)
         return out
 
     def ids(self, text: str | None) -> np.ndarray:
         w = words(text)
         return np.fromiter(map(self.vocab.get, w, repeat(-1)), dtype=np.int64, count=len(w))
 
-    def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-        """Places (in the text, in the item) of shared seeds, by item."""
-        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+    def places(self, ids: np.ndarray) -> Iterator[tuple[int, tuple[int, ...]]]:
+        """Where in the text which of the n-grams stand."""
         width = len(self.vocab) + 1
         for n in self.sizes:
             if len(ids) < n:
@@ -126,7 +136,7 @@ class Block:
             code, known = np.zeros(len(ids) - n + 1, dtype=np.int64), np.ones(len(ids) - n + 1, dtype=bool)
             for k in range(n):
                 part = ids[k : k + len(code)]
-                code = code * width + part + 1
+                code = (code * width + part + 1) % (1 << 62)
                 known &= part >= 0
             at = np.flatnonzero(known)
             if not len(at):
@@ -134,8 +144,16 @@ class Block:
             codes = self.codes[n]
             found = codes[np.minimum(np.searchsorted(codes, code[at]), len(codes) - 1)] == code[at]
             for j in at[found].tolist():
-                for k, i in self.seeds[tuple(ids[j : j + n].tolist())]:
-                    out[k].append((j, i))
+                gram = tuple(ids[j : j + n].tolist())
+                if gram in self.seeds:
+                    yield j, gram
+
+    def hits(self, ids: np.ndarray) -> dict[int, list[tuple[int, int]]]:
+        """Places (in the text, in the item) of shared seeds, by item."""
+        out: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for j, gram in self.places(ids):
+            for k, i in self.seeds[gram]:
+                out[k].append((j, i))
         return out
 
     def match(self, text: str | None, memory: dict) -> Iterator[tuple]:
@@ -166,39 +184,37 @@ class Block:
             yield item_id, -first, end, n, points, points / (MATCH * len(item))
 
 
-def _passes(documents: DataFrame, block: Block, min_score: float) -> DataFrame:
-    spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast(block)
-    texts = documents.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL")
+def _is_leak(points: int, score: float, min_score: float) -> bool:
+    return score >= min_score or points >= MIN_POINTS
 
-    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b = sent.value
-        seen, total = np.zeros(len(b.vocab), dtype=np.int64), 0
-        for batch in it:
-            for text in batch.column(0).to_pylist():
-                ids = b.ids(text)
-                total += len(ids)
-                seen += np.bincount(ids[ids >= 0], minlength=len(seen))
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], total))], names=["word", "n"])
-
-    rows = texts.select("text").mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
-    counts = {r["word"]: r["n"] for r in rows}  # as many as the block has words, at most
-    block.choose_seeds(counts, counts.pop(-1, 0))
-    ready = spark.sparkContext.broadcast(block)
-
-    def match(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b, memory = ready.value, {}
-        for batch in it:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for item_id, start, end, n, points, score in b.match(text, memory):
-                    if score >= min_score or points >= MIN_POINTS:
-                        out.append((doc_id, item_id, start, end, n, points, score))
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.float64())], names=["doc_id", "item_id", "start_word", "end_word", "n_seeds", "points", "score"])
-
-    return texts.mapInArrow(match, PAIRS)
+
+def _blocks(documents: DataFrame, benchmark: DataFrame, block_words: int) -> Iterator[Broadcast]:
+    """The benchmark in blocks of bounded size with their seeds chosen, sent to all tasks."""
+    spark = documents.sparkSession
+    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
+    total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"\s+"))), F.lit(0)).alias("n")).first()["n"]
+    blocks = max(1, -(-int(total) // block_words))
+    for k in range(blocks):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        block = Block([(r["item_id"], r["text"]) for r in part])
+        sent = spark.sparkContext.broadcast(block)
+
+        def count(it: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            b = sent.value
+            number = b.numbers()
+            seen, total = np.zeros(len(number), dtype=np.int64), 0
+            for batch in it:
+                total += batch.num_rows
+                for text in batch.column(0).to_pylist():
+                    own = {number[g] for _, g in b.places(b.ids(text))}
+                    seen[list(own)] += 1
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], total))], names=["gram", "n"])
+
+        rows = documents.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+        counts = {r["gram"]: r["n"] for r in rows}  # as many as the block has words, at most
+        block.choose_seeds(counts, counts.pop(-1, 0))
+        yield spark.sparkContext.broadcast(block)
 
 
 def leaks(documents: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -206,20 +222,38 @@ def leaks(documents: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
 
     ``start_word`` and ``end_word`` bound the aligned words of the document.
     """
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long"), "text")
-    size = F.size(F.split("text", r"\s+"))
-    total = items.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
-    blocks = max(1, -(-int(total) // block_words))
+    texts = documents.select(F.col("doc_id").cast("long"), "text").where("text IS NOT NULL")
     out = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        found = _passes(documents, Block([(r["item_id"], r["text"]) for r in part]), min_score)
+    for sent in _blocks(documents, benchmark, block_words):
+
+        def match(it: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            b, memory = sent.value, {}
+            for batch in it:
+                out = []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    for item_id, start, end, n, points, score in b.match(text, memory):
+                        if _is_leak(points, score, min_score):
+                            out.append((doc_id, item_id, start, end, n, points, score))
+                cols = list(zip(*out, strict=True)) or [()] * 7
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:6]), pa.array(cols[6], pa.float64())], names=["doc_id", "item_id", "start_word", "end_word", "n_seeds", "points", "score"])
+
+        found = texts.mapInArrow(match, PAIRS)
         out = found if out is None else out.unionByName(found)
     best = F.max_by(F.struct("start_word", "end_word", "n_seeds", "points", "score"), F.struct("score", -F.col("start_word"), -F.col("end_word"))).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without a copy of any item; columns as given."""
-    bad = leaks(documents, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return documents.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+def drop_contaminated(documents: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The rows whose text has no copy of any item; columns as given."""
+    names = documents.columns
+    at, out = names.index("text"), documents.toDF(*[f"c{i}" for i in range(len(names))])
+    for sent in _blocks(documents, benchmark, block_words):
+
+        def clean(it: Iterator[pa.RecordBatch], sent: Broadcast = sent) -> Iterator[pa.RecordBatch]:
+            b, memory = sent.value, {}
+            for batch in it:
+                keep = [not any(_is_leak(points, score, min_score) for *_, points, score in b.match(text, memory)) for text in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
+
+        out = out.mapInArrow(clean, out.schema)
+    return out.toDF(*names)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
-from .common import materialize, shuffle_width
+from .common import Names, columns, materialize, shuffle_width
 from .tokens import coder, vocabulary
 
 MAX_TOKENS = 2048
@@ -136,22 +136,25 @@ def tokenize(documents: DataFrame, max_tokens: int = MAX_TOKENS, path: str | Non
 
 
 def place(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """``pieces`` (with a ``length``) with ``sequence_id`` and ``offset``.
+    """``pieces`` (doc_id, piece, start, length, ids_crc32) with ``sequence_id`` and ``offset``.
 
-    ``pieces`` is read more than once: pass a table that has been written.
+    ``pieces`` is read more than once: pass a table that has been written. Other
+    columns may have any names but those two, which are an error.
     """
-    spark = pieces.sparkSession
-    inner = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shuffle_width(spark))).cast("int"))
-    counts = inner.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    spark, names = pieces.sparkSession, pieces.columns
+    if clash := {"sequence_id", "offset"} & set(names):
+        raise ValueError(f"the pieces already have {sorted(clash)}")
+    n = Names(pieces)
+    inner = pieces.withColumn(n.bucket, F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shuffle_width(spark))).cast("int"))
+    counts = inner.groupBy("length", n.bucket).agg(F.count(F.lit(1)).alias(n.count))
     # At most max_tokens rows.
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
+    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum(n.count)).collect()}
     places = spark.sparkContext.broadcast(Places(best_two_fit(histogram, max_tokens)))
-    before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("length", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "start")
-    ranked = inner.join(starts, ["length", "_bucket"]).withColumn("_rank", F.col("_first") + F.row_number().over(within) - 1)
-    names = pieces.columns
-    ranked = ranked.select(*names, "_rank")
+    before = Window.partitionBy("length").orderBy(n.bucket).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("length", n.bucket, F.coalesce(F.sum(n.count).over(before), F.lit(0)).alias(n.first))
+    within = Window.partitionBy("length", n.bucket).orderBy("doc_id", "piece", "start")
+    ranked = inner.join(starts, ["length", n.bucket]).withColumn(n.rank, F.col(n.first) + F.row_number().over(within) - 1)
+    ranked = ranked.select(*columns(pieces), n.rank)
 
     def seat(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -163,7 +166,10 @@ def place(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
 
 
 def pack(documents: DataFrame, max_tokens: int = MAX_TOKENS, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """Tokenise and pack whole documents; one row for each piece."""
+    """Tokenise and pack whole documents; one row for each piece.
+
+    Of the documents only doc_id (which may be null or repeated) and text are read.
+    """
     return place(materialize(tokenize(documents, max_tokens, path, keep_ids), "pieces"), max_tokens)
 
 

@@ -1,5 +1,8 @@
 """Byte-level BPE token ids of whole texts, with a memory of words per worker.
 
+The ids are those of the tokenizer's plain call without added special tokens: a
+text that spells out one of the vocabulary's special tokens has that token's id.
+
 The pre-tokeniser of this vocabulary never joins a text across a single space
 or a single line break between other characters. A text whose white space is
 only that is therefore cut at those places, and each word, with the space
@@ -59,13 +62,13 @@ class _Words(dict):
 
 
 class TextCoder:
-    """Encodes texts with a ``tokenizers`` file; special tokens are plain text."""
+    """Encodes texts with a ``tokenizers`` file."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
+        self._special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         self._encode = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         self._inner, self._first = _Words(self._encode, tokenizer.model, " "), _Words(self._encode, tokenizer.model, "")
         self._break = self._encode("\n")
@@ -74,7 +77,7 @@ class TextCoder:
         """The ids of one text, little-endian unsigned 32-bit."""
         if not text:
             return b""
-        if any(x in text for x in _PLAIN) or text[0].isspace() or text[-1].isspace() or (not text.isascii() and _WIDE.search(text)):
+        if any(x in text for x in _PLAIN) or any(x in text for x in self._special) or text[0].isspace() or text[-1].isspace() or (not text.isascii() and _WIDE.search(text)):
             return self._encode(text)
         inner, first = self._inner, self._first
         lines = []

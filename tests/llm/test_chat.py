@@ -60,3 +60,9 @@ def test_trees_against_brute_force(spark):
     assert chat.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
     every = chat.format_chats(spark.createDataFrame(rows, SCHEMA), branches=None)
     assert every.count() >= len(want)
+
+
+def test_messages_without_a_tree_are_one_tree(spark):
+    rows = [(None, 1, None, 1.0, "user", "hi"), (None, 2, 1, 1.0, "assistant", "yo"), (4, 1, None, 1.0, "user", None)]
+    got = {r["tree_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, SCHEMA).withColumn("leaf", F.lit(0))).collect()}
+    assert set(got) == {None, 4} and got[None]["formatted"].count(chat.TURN) == 2 and len(got[None]["loss_spans"]) == 1

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from imgq.llm import decontam
 
@@ -68,3 +69,23 @@ def test_a_passage_in_most_documents_is_found(spark):
     docs = [(d, sentence(rng, 40, "v") + " " + item) for d in range(80)] + [(100 + d, sentence(rng, 60, "u")) for d in range(20)]
     got = decontam.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert {r["doc_id"] for r in got.collect()} == set(range(80))
+
+
+def test_rows_are_judged_by_themselves(spark):
+    """Null and repeated ids, and columns called like helpers."""
+    rng = random.Random(4)
+    item = sentence(rng, 30, "w")
+    rows = [(None, item, 1), (None, "clean text here", 2), (5, item, 3), (5, "another clean text", 4), (6, None, 5), (7, "", 6)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, `_bad` int").withColumn("a.b", F.lit(1))
+    kept = decontam.drop_contaminated(documents, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == documents.columns
+    assert sorted(r["_bad"] for r in kept.collect()) == [2, 4, 5, 6]
+
+
+def test_seeds_are_the_rare_half_and_what_is_rare():
+    block = decontam.Block([(1, "a b c d e f g"), (2, "a b c x")])
+    number = block.numbers()
+    gram = lambda t: tuple(block.vocab[w.encode()] for w in t.split())
+    counts = {number[gram(t)]: n for t, n in {"a b c": 900, "b c d": 500, "c d e": 2, "d e f": 400, "e f g": 400, "b c x": 1}.items()}
+    block.choose_seeds(counts, 10_000)
+    assert {g for g in block.seeds} == {gram(t) for t in ("c d e", "d e f", "e f g", "b c x")}

@@ -1,3 +1,4 @@
+from pyspark.sql import functions as F
 import random
 
 import numpy as np
@@ -69,3 +70,24 @@ def test_filter_holds_and_forgets():
     assert f.contains(h[2500:]).all()
     assert f.contains(h[:2500]).mean() < 0.05
     assert cuckoo.build(h[:0]).contains(h).sum() == 0
+
+
+def test_columns_called_like_helpers(spark):
+    rows = [(1, "a repeated line\nown", 1, 2, 3), (2, "a repeated line", 4, 5, 6), (None, "a repeated line", 7, 8, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `_lines` int, kept int, `a.b` int")
+    got = line_dedup.dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", "_lines", "a.b", "n_lines", "n_dropped", "kept"]
+    assert sorted((r["_lines"], r["a.b"], r["kept"]) for r in got.collect()) == [(1, 3, "a repeated line\nown"), (4, 6, ""), (7, 9, "a repeated line")]
+
+
+def test_filters_that_fill_up_are_built_anew(spark):
+    store = line_dedup.LineStore(spark, shards=2)
+    text = lambda a, b: "\n".join(f"line number {i:06d}" for i in range(a, b))
+    docs = [spark.createDataFrame([(2 * k, text(0, 40 * 4**k)), (2 * k + 1, text(0, 40 * 4**k))], "doc_id long, text string") for k in range(4)]
+    for d in docs:
+        store.insert(d)
+    assert store.filters.where(F.length("filter") == 0).count() == 0 and store.filters.count() == 2
+    lost = {r["doc_id"]: len(r["keys"]) for r in store.repeated(docs[3]).collect()}
+    assert lost == {6: 40 * 4**3 - (40 * 4**3 - 40 * 4**2), 7: 40 * 4**3}
+    store.delete(docs[0])
+    assert store.refs.where("first_doc < 2").count() == 0

@@ -12,7 +12,6 @@ def plain_ids(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary())
-    t.encode_special_tokens = True
     return t.encode(text, add_special_tokens=False).ids
 
 
@@ -83,3 +82,18 @@ def test_sequences(documents):
     packed = packing.pack(documents, 64, keep_ids=True)
     made = packing.sequences(packed).collect()
     assert sum(len(r["ids"]) for r in made) == 4 * sum(r["length"] for r in packed.collect())
+
+
+def test_special_tokens_are_as_in_the_plain_call():
+    from tokenizers import Tokenizer
+
+    special = [t.content for t in Tokenizer.from_file(vocabulary()).get_added_tokens_decoder().values()]
+    for text in [f"a {x} b" for x in special] + [f"one{x}two\nthree" for x in special]:
+        assert np.frombuffer(coder(vocabulary()).encode(text), dtype="<u4").tolist() == plain_ids(text)
+
+
+def test_place_keeps_columns_like_its_helpers(spark):
+    rows = [(1, 0, 0, 5, 7, "a", 1.0), (None, 0, 0, 5, 8, "b", 2.0), (1, 0, 0, 5, 7, "a", 1.0)]
+    made = packing.place(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, _bucket string, _rank double"), 16)
+    assert sorted((r["_bucket"], r["_rank"]) for r in made.collect()) == [("a", 1.0), ("a", 1.0), ("b", 2.0)]
+    assert sorted(r["offset"] for r in made.collect()) == [0, 5, 10]
