@@ -6,23 +6,29 @@ class), whose sums come from its integral image; every filter's answer is cut
 to two bits, and the bits of all filters at one time are packed into one
 32-bit integer.
 
-Two recordings that share integers at one offset of time, more often than at any
-other, are aligned there, and the share of differing bits in the overlap decides.
-Recordings with equal fingerprints are one class, searched once.
+Two recordings meet where they share two thirds of an integer's bits (any two of
+three pieces), at the place where such a key begins; a held note or silence has
+one beginning however long it lasts. The offset of the two places is a candidate
+if the next few integers agree too, and the share of differing bits in the whole
+overlap decides. Recordings with equal fingerprints are one class, so that
+copies are neither indexed nor searched twice. The stated queries stand against
+all classes; a key that many recordings share is split by Spark as any skewed join.
 
 Edge cases: null, empty or short recordings (less than ``FILTER_FRAMES``
-frames) have an empty fingerprint and match only themselves and each other as
-copies; silence gives integers of zero bits. Rows that repeat an id are
-members of their classes each. An empty table gives no rows.
+frames) have an empty fingerprint and match nothing; silence gives integers of
+zero bits and matches silence. Rows that repeat an id are members of their
+classes each. Ties between offsets go to the smallest error, then the smallest
+offset. Further columns are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -31,8 +37,9 @@ RATE, FRAME, HOP = 4000, 1024, 256
 FILTER_FRAMES = 16
 #: Bits of answers: ratios of the two areas' sums, in logarithms.
 STEPS = (-0.25, 0.0, 0.25)
-MIN_SHARED = 3
 MAX_ERROR = 0.2
+#: Integers from a shared key on that are compared first, and the error they may have.
+CONTEXT, CONTEXT_ERROR = 4, 0.32
 #: The shorter overlap that still counts, as a share of the shorter fingerprint.
 MIN_OVERLAP = 0.25
 
@@ -136,35 +143,61 @@ def fingerprints(recordings: DataFrame, media: str, decode: Callable[[object], n
     return recordings.select(F.col("rec_id").cast("long"), media).mapInArrow(run, "rec_id long, prints array<int>")
 
 
-def search(prints: DataFrame, queries: DataFrame, max_error: float = MAX_ERROR) -> DataFrame:
-    """One row for each query recording: its class, and what else matches it.
+def heard_again(vector: list[float] | None) -> np.ndarray:
+    """The melody of a vector as another recording has it: begun late and with noise."""
+    samples = melody(vector)[2 * 256 + 100 :]
+    seed = zlib.crc32(np.asarray(vector if vector is not None else [], dtype=np.float64).tobytes())
+    return samples + 0.2 * np.random.default_rng(seed).standard_normal(len(samples)).astype(np.float32)
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """Differing bits of two integers; a negative one would count 32 bits more."""
+    return F.bit_count(a.bitwiseXOR(b).cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+
+
+def _classes(prints: DataFrame, name: str) -> DataFrame:
+    made = prints.groupBy("prints").agg(F.min("rec_id").alias(name), F.count(F.lit(1)).alias("copies"))
+    return materialize(made, "audio-classes")
 
-    ``prints``: a written table of (rec_id, prints); ``queries``: rec_id.
-    ``class_id`` is the smallest id with the same fingerprint, ``copies`` how
-    many have it. ``n_matches`` counts matching classes besides; the best of
-    them is ``match_id``, at ``offset`` frames, with its ``bit_error``.
+
+def _places(classes: DataFrame, name: str) -> DataFrame:
+    """A row for each beginning of a key: name, at, key, and the integers from there on."""
+    rows = classes.select(name, "prints", F.posexplode("prints").alias("at", "h"))
+    keys = lambda h: [h.bitwiseAND(0x3FFFFF), F.shiftrightunsigned(h, 11) + (1 << 22), h.bitwiseAND(0x7FF) + F.shiftleft(F.shiftrightunsigned(h, 22), 11) + (1 << 23)]
+    before = F.when(F.col("at") > 0, F.get("prints", F.col("at") - 1))
+    begun = [F.when(before.isNull() | (k != b), k) for k, b in zip(keys(F.col("h")), keys(before), strict=True)]
+    ahead = [F.get("prints", F.col("at") + k).alias(f"h{k}") for k in range(CONTEXT)]
+    return rows.select(name, "at", *ahead, F.explode(F.array_compact(F.array(*begun))).alias("key"))
+
+
+def search(prints: DataFrame, queries: DataFrame, max_error: float = MAX_ERROR) -> DataFrame:
+    """What matches each query: rec_id, query_class, class_id, copies, offset, overlap, bit_error.
+
+    ``prints`` and ``queries`` are written tables of (rec_id, prints). A query
+    class is the smallest rec_id of the queries with one fingerprint: its row
+    stands for all of them. That recording has a row for each class of
+    ``prints`` that matches it (class_id: the smallest id with that fingerprint,
+    copies: how many rows have it, offset: the place in the class's fingerprint
+    where the query's begins), or one with nulls; others have one with nulls.
     """
-    classes = materialize(prints.groupBy("prints").agg(F.min("rec_id").alias("class_id"), F.count(F.lit(1)).alias("copies")), "audio-classes")
-    asked = prints.join(queries.distinct(), "rec_id").join(classes, "prints").select("rec_id", "class_id", "copies")
-    asked = materialize(asked, "audio-queries")
-    places = classes.select("class_id", F.posexplode("prints").alias("at", "h"))
-    wanted = asked.select(F.col("class_id").alias("q")).distinct()
-    q_places = places.withColumnsRenamed({"class_id": "q", "at": "q_at"}).join(wanted, "q")
-    shared = q_places.join(places, "h").where("q <> class_id")
-    offsets = shared.groupBy("q", "class_id", (F.col("at") - F.col("q_at")).alias("offset")).count()
-    # One offset for each pair: the one most integers agree on.
-    best = offsets.groupBy("q", "class_id").agg(F.max(F.struct("count", -F.abs("offset"), "offset")).alias("b")).where(F.col("b.count") >= MIN_SHARED)
-    best = best.select("q", "class_id", F.col("b.offset").alias("offset"))
-    pair = best.join(classes.select(F.col("class_id").alias("q"), F.col("prints").alias("p")), "q").join(classes.select("class_id", F.col("prints").alias("r")), "class_id")
+    classes, asked = _classes(prints, "class_id"), _classes(queries, "query_class")
+    held = _places(classes, "class_id")
+    wanted = _places(asked, "query_class").withColumnsRenamed({"at": "q_at", **{f"h{k}": f"q{k}" for k in range(CONTEXT)}})
+    differ = [_differing(F.col(f"h{k}"), F.col(f"q{k}")) for k in range(CONTEXT)]
+    wrong = sum((F.coalesce(x, F.lit(0)) for x in differ[1:]), F.coalesce(differ[0], F.lit(0)))
+    seen = sum((x.isNotNull().cast("int") for x in differ[1:]), differ[0].isNotNull().cast("int"))
+    near = wanted.join(held, "key").where(wrong <= CONTEXT_ERROR * 32 * seen)
+    offsets = near.select("query_class", "class_id", (F.col("at") - F.col("q_at")).alias("offset")).distinct()
+    pair = offsets.join(asked.select("query_class", F.col("prints").alias("p")), "query_class").join(classes.select("class_id", "copies", F.col("prints").alias("r")), "class_id")
     first = F.greatest(F.lit(0), -F.col("offset"))
     last = F.least(F.size("p"), F.size("r") - F.col("offset"))
-    errors = F.aggregate(F.sequence(first, last - 1), F.lit(0), lambda a, i: a + F.bit_count(F.col("p")[i].bitwiseXOR(F.col("r")[i + F.col("offset")])))
-    scored = pair.select("q", "class_id", "offset", (last - first).alias("overlap"), F.least(F.size("p"), F.size("r")).alias("shorter"), (errors / (32 * (last - first))).alias("bit_error"))
+    errors = F.aggregate(F.sequence(first, last - 1), F.lit(0), lambda a, i: a + _differing(F.col("p")[i], F.col("r")[i + F.col("offset")]))
+    scored = pair.select("query_class", "class_id", "copies", "offset", (last - first).alias("overlap"), F.least(F.size("p"), F.size("r")).alias("shorter"), (errors / (32 * (last - first))).alias("bit_error"))
     good = scored.where((F.col("bit_error") <= max_error) & (F.col("overlap") >= MIN_OVERLAP * F.col("shorter")))
-    top = F.min(F.struct("bit_error", "class_id", "offset")).alias("t")
-    found = good.groupBy("q").agg(F.count(F.lit(1)).alias("n_matches"), top)
-    out = asked.join(found, F.col("class_id") == F.col("q"), "left")
-    return out.select(
-        "rec_id", "class_id", "copies", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"),
-        F.col("t.class_id").alias("match_id"), F.col("t.offset").cast("long").alias("offset"), F.col("t.bit_error").alias("bit_error"),
-    )
+    best = good.groupBy("query_class", "class_id").agg(F.min(F.struct("bit_error", "offset", "overlap", "copies")).alias("b"))
+    best = best.select(F.col("query_class").alias("_class"), "class_id", "b.copies", F.col("b.offset").cast("long").alias("offset"), F.col("b.overlap").cast("long").alias("overlap"), "b.bit_error")
+    members = queries.join(asked.select("prints", "query_class"), "prints").select("rec_id", "query_class")
+    # Of rows that repeat the id of a class's first recording, each has the matches.
+    heads = members.where(F.col("rec_id") == F.col("query_class")).join(best, F.col("query_class") == F.col("_class"), "left").drop("_class")
+    none = [F.lit(None).cast(t).alias(c) for c, t in heads.dtypes if c not in ("rec_id", "query_class")]
+    return heads.unionByName(members.where(~F.coalesce(F.col("rec_id") == F.col("query_class"), F.lit(False))).select("rec_id", "query_class", *none))
