@@ -186,9 +186,9 @@ def search(prints: DataFrame, queries: DataFrame, max_error: float = MAX_ERROR)
     differ = [_differing(F.col(f"h{k}"), F.col(f"q{k}")) for k in range(CONTEXT)]
     wrong = sum((F.coalesce(x, F.lit(0)) for x in differ[1:]), F.coalesce(differ[0], F.lit(0)))
     seen = sum((x.isNotNull().cast("int") for x in differ[1:]), differ[0].isNotNull().cast("int"))
-    near = wanted.join(held, "key").where(wrong <= CONTEXT_ERROR * 32 * seen)
+    near = wanted.join(held.hint("merge"), "key").where(wrong <= CONTEXT_ERROR * 32 * seen)
     offsets = near.select("query_class", "class_id", (F.col("at") - F.col("q_at")).alias("offset")).distinct()
-    pair = offsets.join(asked.select("query_class", F.col("prints").alias("p")), "query_class").join(classes.select("class_id", "copies", F.col("prints").alias("r")), "class_id")
+    pair = offsets.join(asked.select("query_class", F.col("prints").alias("p")).hint("merge"), "query_class").join(classes.select("class_id", "copies", F.col("prints").alias("r")).hint("merge"), "class_id")
     first = F.greatest(F.lit(0), -F.col("offset"))
     last = F.least(F.size("p"), F.size("r") - F.col("offset"))
     errors = F.aggregate(F.sequence(first, last - 1), F.lit(0), lambda a, i: a + _differing(F.col("p")[i], F.col("r")[i + F.col("offset")]))
