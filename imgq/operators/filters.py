@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize
-from .stencil import along, correlate, eigenvalues, gather, gaussian, rectangle
+from .stencil import along, correlate, correlate1d, eigenvalues, gather, gaussian, gaussian_weights, rectangle
 
 PLACE = ["image_id", "y", "x"]
 
@@ -84,6 +84,111 @@ def frangi(pixels: DataFrame, sigmas: tuple[float, ...] = (1, 3), beta: float =
     return out.groupBy(*PLACE).agg(F.max("v").alias("v"))
 
 
+def gaussian_derivative_weights(sigma: float, order: int) -> list[float]:
+    """Weights of a correlation that smooths and takes the first or second derivative."""
+    w = gaussian_weights(sigma)
+    r = len(w) // 2
+    factor = (lambda k: k / sigma**2) if order == 1 else (lambda k: k * k / sigma**4 - 1 / sigma**2)
+    return [x * factor(k - r) for k, x in enumerate(w)]
+
+
+def gaussian_derivative(pixels: DataFrame, sigma: float, order: tuple[int, int], mode: str = "nearest") -> DataFrame:
+    """Smoothed, with derivatives of the given order (0, 1 or 2) along y and x."""
+    wy, wx = (gaussian_derivative_weights(sigma, n) if n else gaussian_weights(sigma) for n in order)
+    return correlate1d(correlate1d(pixels, wy, "y", mode), wx, "x", mode)
+
+
+def gaussian_gradient_magnitude(pixels: DataFrame, sigma: float, mode: str = "reflect") -> DataFrame:
+    gy = gaussian_derivative(pixels, sigma, (1, 0), mode)
+    both = gy.join(gaussian_derivative(pixels, sigma, (0, 1), mode).withColumnRenamed("v", "_x"), PLACE)
+    return both.select(*PLACE, F.hypot("v", "_x").alias("v"))
+
+
+def gaussian_laplace(pixels: DataFrame, sigma: float, mode: str = "reflect") -> DataFrame:
+    both = gaussian_derivative(pixels, sigma, (2, 0), mode).join(gaussian_derivative(pixels, sigma, (0, 2), mode).withColumnRenamed("v", "_x"), PLACE)
+    return both.select(*PLACE, (F.col("v") + F.col("_x")).alias("v"))
+
+
+def _gaussian_hessian_eigenvalues(pixels: DataFrame, sigma: float, mode: str) -> DataFrame:
+    """Eigenvalues from Gaussian derivatives, each taken as two first ones of narrower Gaussians."""
+    half = sigma / math.sqrt(2)
+    gy, gx = gaussian_derivative(pixels, half, (1, 0), mode), gaussian_derivative(pixels, half, (0, 1), mode)
+    h = gaussian_derivative(gy, half, (1, 0), mode).withColumnRenamed("v", "hrr")
+    h = h.join(gaussian_derivative(gy, half, (0, 1), mode).withColumnRenamed("v", "hrc"), PLACE)
+    h = h.join(gaussian_derivative(gx, half, (0, 1), mode).withColumnRenamed("v", "hcc"), PLACE)
+    a, b = eigenvalues(F.col("hrr"), F.col("hrc"), F.col("hcc"))
+    return h.select(*PLACE, a.alias("l1"), b.alias("l2"))
+
+
+def meijering(pixels: DataFrame, sigmas: tuple[float, ...] = (1, 3), alpha: float = 1 / 3, black_ridges: bool = True, mode: str = "reflect") -> DataFrame:
+    """Neuriteness: the larger, in size, of each eigenvalue with a share of the other; each scale by its image's maximum."""
+    image = pixels if black_ridges else pixels.withColumn("v", -F.col("v"))
+    out = None
+    for s in sigmas:
+        e = _gaussian_hessian_eigenvalues(image, s, mode)
+        a, b = F.col("l1") + alpha * F.col("l2"), F.col("l2") + alpha * F.col("l1")
+        e = materialize(e.select(*PLACE, F.greatest(F.when(F.abs(a) >= F.abs(b), a).otherwise(b), F.lit(0.0)).alias("v")), "ridges")
+        top = e.groupBy("image_id").agg(F.max("v").alias("_top"))
+        e = e.join(top, "image_id").select(*PLACE, F.when(F.col("_top") > 0, F.col("v") / F.col("_top")).otherwise(0.0).alias("v"))
+        out = e if out is None else out.unionByName(e)
+    return out.groupBy(*PLACE).agg(F.max("v").alias("v"))
+
+
+def hessian(pixels: DataFrame, sigmas: tuple[float, ...] = (1, 3), beta: float = 0.5, gamma: float = 15.0, black_ridges: bool = True) -> DataFrame:
+    """Vesselness with 1 where there is none."""
+    return frangi(pixels, sigmas, beta, gamma, black_ridges).select(*PLACE, F.when(F.col("v") <= 0, 1.0).otherwise(F.col("v")).alias("v"))
+
+
+def match_template(pixels: DataFrame, template: list[list[float]]) -> DataFrame:
+    """Normalised correlation of a small template laid with its corner on each place where it fits.
+
+    Windows are gathered by an equi-join on shifted places and folded to four
+    sums; a window without variation has 0.
+    """
+    h, w = len(template), len(template[0])
+    n = h * w
+    mean = sum(map(sum, template)) / n
+    steps = [(dy, dx, template[dy][dx] - mean) for dy in range(h) for dx in range(w)]
+    spread = sum(t * t for *_, t in steps)
+    v = F.col("n")
+    sums = [F.count(F.lit(1)).alias("k"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.sum(v * F.col("weight")).alias("c")]
+    got = gather(pixels, steps, sums, "constant", None).where(F.col("k") == n)
+    below = (F.col("q") - F.col("s") * F.col("s") / n) * spread
+    return got.select(*PLACE, F.when(below > 1e-20, F.col("c") / F.sqrt(below)).otherwise(0.0).alias("v"))
+
+
+def blob_peaks(stack: DataFrame, sigmas: list[float], threshold: float) -> DataFrame:
+    """Places of ``stack`` (image_id, y, x, k, v) over the threshold that no neighbour in place or scale exceeds."""
+    per = None
+    for k in range(len(sigmas)):
+        near = gather(stack.where(F.col("k") == k).drop("k"), rectangle(3, 3), [F.max("n").alias("top")], "constant", None).withColumn("k", F.lit(k))
+        per = near if per is None else per.unionByName(near)
+    reach = per.select(*PLACE, F.explode(F.array(*[F.col("k") + d for d in (-1, 0, 1)])).alias("k"), "top").groupBy(*PLACE, "k").agg(F.max("top").alias("top"))
+    values = F.element_at(F.array(*[F.lit(float(s)) for s in sigmas]), F.col("k") + 1)
+    return stack.join(reach, [*PLACE, "k"]).where((F.col("v") == F.col("top")) & (F.col("v") > threshold)).select(*PLACE, values.alias("sigma"), "v")
+
+
+def blob_dog(pixels: DataFrame, sigmas: tuple[float, ...] = (1.0, 1.6, 2.56, 4.096), threshold: float = 0.5) -> DataFrame:
+    """Maxima over place and scale of differences between neighbouring Gaussians: y, x, sigma, v."""
+    soft = [materialize(gaussian(pixels, s, "reflect"), "smooth") for s in sigmas]
+    stack = None
+    for k, (a, b) in enumerate(zip(soft, soft[1:], strict=False)):
+        scale = 1 / (sigmas[k + 1] / sigmas[k] - 1)
+        d = a.join(b.withColumnRenamed("v", "_b"), PLACE).select(*PLACE, ((F.col("v") - F.col("_b")) * scale).alias("v"), F.lit(k).alias("k"))
+        stack = d if stack is None else stack.unionByName(d)
+    return blob_peaks(materialize(stack, "scales"), list(sigmas[:-1]), threshold)
+
+
+def blob_doh(pixels: DataFrame, sigmas: tuple[float, ...] = (1.0, 2.0, 3.0), threshold: float = 0.01) -> DataFrame:
+    """Maxima over place and scale of the Hessian's determinant: y, x, sigma, v."""
+    stack = None
+    for k, s in enumerate(sigmas):
+        h = hessian_matrix(pixels, s, "nearest")
+        d = h.select(*PLACE, (float(s) ** 4 * (F.col("hrr") * F.col("hcc") - F.col("hrc") * F.col("hrc"))).alias("v"), F.lit(k).alias("k"))
+        stack = d if stack is None else stack.unionByName(d)
+    return blob_peaks(materialize(stack, "scales"), list(sigmas), threshold)
+
+
 def gabor_kernel(frequency: float, theta: float = 0.0, sigma: float = 1.0) -> list[tuple[int, int, complex]]:
     """Offsets with complex weights, three standard deviations wide."""
     n = math.ceil(max(abs(3 * sigma * math.cos(theta)), abs(3 * sigma * math.sin(theta)), 1))
@@ -109,14 +214,7 @@ def blob_log(pixels: DataFrame, sigmas: tuple[float, ...] = (1.0, 2.0, 3.0), thr
     for k, s in enumerate(sigmas):
         h = hessian_matrix(pixels, s, "nearest").select(*PLACE, (-s * s * (F.col("hrr") + F.col("hcc"))).alias("v"), F.lit(k).alias("k"))
         stack = h if stack is None else stack.unionByName(h)
-    stack = materialize(stack, "scales")
-    per = None
-    for k in range(len(sigmas)):
-        near = gather(stack.where(F.col("k") == k).drop("k"), rectangle(3, 3), [F.max("n").alias("top")], "constant", None).withColumn("k", F.lit(k))
-        per = near if per is None else per.unionByName(near)
-    reach = per.select(*PLACE, F.explode(F.array(*[F.col("k") + d for d in (-1, 0, 1)])).alias("k"), "top").groupBy(*PLACE, "k").agg(F.max("top").alias("top"))
-    values = F.element_at(F.array(*[F.lit(float(s)) for s in sigmas]), F.col("k") + 1)
-    return stack.join(reach, [*PLACE, "k"]).where((F.col("v") == F.col("top")) & (F.col("v") > threshold)).select(*PLACE, values.alias("sigma"), "v")
+    return blob_peaks(materialize(stack, "scales"), list(sigmas), threshold)
 
 
 def richardson_lucy(pixels: DataFrame, psf: list[tuple[int, int, float]], rounds: int = 10, eps: float = 1e-12) -> DataFrame:

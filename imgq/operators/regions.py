@@ -21,8 +21,8 @@ KEY = ["image_id", "label"]
 
 
 def _node(y: str, x: str) -> Column:
-    """A number for a place that follows the raster order; sides up to 2**20, images up to 2**22."""
-    return F.shiftleft(F.col("image_id"), 40) + F.shiftleft(F.col(y).cast("long"), 20) + F.col(x)
+    """A value for a place that follows the raster order, whatever the image's size or the kind of its id."""
+    return F.struct(F.col("image_id").alias("i"), F.col(y).alias("y"), F.col(x).alias("x"))
 
 
 def _roots(edges: DataFrame) -> DataFrame:
@@ -206,6 +206,18 @@ def inertia_eigenvalues() -> tuple[Column, Column]:
     return F.greatest((a + c) / 2 + root, F.lit(0.0)), F.greatest((a + c) / 2 - root, F.lit(0.0))
 
 
+def inertia_eigenvectors() -> list[tuple[Column, Column]]:
+    """Unit vectors (y, x) of the larger and the smaller eigenvalue; the first part that isn't 0 is positive."""
+    a, b, c = inertia()
+    angle = 0.5 * F.atan2(2 * b, a - c)
+    out = []
+    for t in (angle, angle + math.pi / 2):
+        y, x = F.cos(t), F.sin(t)
+        sign = F.when((y > 1e-12) | ((F.abs(y) <= 1e-12) & (x > 0)), 1.0).otherwise(-1.0)
+        out.append((y * sign, x * sign))
+    return out
+
+
 def properties() -> dict[str, Column]:
     """Expressions over ``power_sums``; a name that begins with intensity or weighted needs intensities."""
     n = F.col("s00")
@@ -226,11 +238,61 @@ def properties() -> dict[str, Column]:
         "orientation": angle,
         "intensity_mean": F.col("w00") / n, "intensity_min": F.col("v_min"), "intensity_max": F.col("v_max"), "intensity_std": F.col("v_std"), "intensity_median": F.col("v_median"),
         "weighted_centroid_0": wy, "weighted_centroid_1": wx,
+        "weighted_centroid_local_0": wy - F.col("y0"), "weighted_centroid_local_1": wx - F.col("x0"),
     } | {f"moments_{p}_{q}": moment(p, q) for p in range(4) for q in range(4 - p)} | {
         f"moments_central_{p}_{q}": central(p, q) for p in range(4) for q in range(4 - p)
     } | {f"moments_normalized_{p}_{q}": normalized(p, q) for p in range(4) for q in range(4 - p) if p + q >= 2} | {f"moments_hu_{i}": h for i, h in enumerate(hu())} | {
         f"weighted_moments_{p}_{q}": moment(p, q, True) for p in range(4) for q in range(4 - p)
-    } | {f"weighted_moments_central_{p}_{q}": central(p, q, True) for p in range(4) for q in range(4 - p)} | {f"weighted_moments_hu_{i}": h for i, h in enumerate(hu(True))}
+    } | {f"weighted_moments_central_{p}_{q}": central(p, q, True) for p in range(4) for q in range(4 - p)} | {
+        f"weighted_moments_normalized_{p}_{q}": normalized(p, q, True) for p in range(4) for q in range(4 - p) if p + q >= 2
+    } | {f"inertia_tensor_eigenvector_{i}_{k}": c for i, v in enumerate(inertia_eigenvectors()) for k, c in enumerate(v)} | {f"weighted_moments_hu_{i}": h for i, h in enumerate(hu(True))}
+
+
+def region_images(labels: DataFrame) -> DataFrame:
+    """Each region cut out by its box: image_id, label, y, x from the box's corner, ``inside``, and v where there are intensities."""
+    box = labels.where("label <> 0").groupBy(*KEY).agg(F.min("y").alias("_y0"), F.min("x").alias("_x0"), F.max("y").alias("_y1"), F.max("x").alias("_x1"))
+    cells = box.select(*KEY, "_y0", "_x0", "_x1", F.explode(F.sequence("_y0", "_y1")).alias("y"))
+    cells = cells.select(*KEY, "_y0", "_x0", "y", F.explode(F.sequence("_x0", "_x1")).alias("x"))
+    values = [F.col("label").alias("_own"), *(["v"] if "v" in labels.columns else [])]
+    got = cells.join(labels.select("image_id", "y", "x", *values), ["image_id", "y", "x"], "left")
+    inside = F.coalesce(F.col("_own") == F.col("label"), F.lit(False))
+    v = [F.when(inside, F.col("v")).otherwise(0.0).alias("v")] if "v" in labels.columns else []
+    return got.select(*KEY, (F.col("y") - F.col("_y0")).alias("y"), (F.col("x") - F.col("_x0")).alias("x"), inside.alias("inside"), *v)
+
+
+def region_coords(labels: DataFrame, spacing: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """The places of each region, scaled by ``spacing``: image_id, label, y, x."""
+    return labels.where("label <> 0").select(*KEY, *[(F.col(c) * d if d != 1 else F.col(c)).alias(c) for c, d in zip("yx", spacing, strict=True)])
+
+
+def _as_images(regions: DataFrame) -> DataFrame:
+    """Regions that were cut out, as images of their own with v of 0 and 1."""
+    return regions.select(F.struct(*KEY).alias("image_id"), "y", "x", F.col("inside").cast("double").alias("v"))
+
+
+def region_filled(labels: DataFrame) -> DataFrame:
+    """``region_images`` with ``inside`` true in holes too: what 4-connected background does not link to the box's border."""
+    cut = materialize(_as_images(region_images(labels.select(*KEY, "y", "x"))), "regions")
+    holes = label(cut.withColumn("v", 1 - F.col("v")), 1)
+    outer = clear_border(holes).select("image_id", "y", "x", (F.col("label") != 0).alias("_hole"))
+    both = cut.join(outer, ["image_id", "y", "x"])
+    return both.select("image_id.*", "y", "x", ((F.col("v") == 1) | F.col("_hole")).alias("inside"))
+
+
+def per_region(labels: DataFrame, measure, name: str) -> DataFrame:
+    """A measure of whole masks (``image_id`` and ``name``) taken of every region by itself."""
+    return measure(_as_images(region_images(labels.select(*KEY, "y", "x")))).select("image_id.*", name)
+
+
+def moments_coords(points: DataFrame, order: int = 3, centre: bool = False) -> DataFrame:
+    """Raw or central moments of points (image_id, y, x), a column for each exponent pair."""
+    y, x = F.col("y").cast("double"), F.col("x").cast("double")
+    if centre:
+        mean = points.groupBy("image_id").agg(F.avg("y").alias("_cy"), F.avg("x").alias("_cx"))
+        points, y, x = points.join(mean, "image_id"), y - F.col("_cy"), x - F.col("_cx")
+    pairs = [(p, q) for p in range(order + 1) for q in range(order + 1)]
+    power = lambda c, n: F.pow(c, F.lit(float(n))) if n else F.lit(1.0)
+    return points.groupBy("image_id").agg(*[F.sum(power(y, p) * power(x, q)).alias(f"m_{p}_{q}") for p, q in pairs])
 
 
 def region_table(labels: DataFrame, names: list[str], intensity: bool = False) -> DataFrame:

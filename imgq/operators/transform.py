@@ -125,6 +125,42 @@ def pyramid_reduce(pixels: DataFrame, shape: tuple[int, int], downscale: int = 2
     return resize(soft, shape, math.ceil(shape[0] / downscale), math.ceil(shape[1] / downscale))
 
 
+def rescale(pixels: DataFrame, shape: tuple[int, int], scale: float, order: int = 1, mode: str = "reflect") -> DataFrame:
+    """Resized by a factor; sides are rounded."""
+    return resize(pixels, shape, max(1, round(shape[0] * scale)), max(1, round(shape[1] * scale)), order, mode)
+
+
+def resize_local_mean(pixels: DataFrame, shape: tuple[int, int], height: int, width: int) -> DataFrame:
+    """Resized by means over the part of the input that each output place covers."""
+    fy, fx = shape[0] / height, shape[1] / width
+    spread = lambda c, f, n: F.explode(F.sequence(F.floor(F.col(c) / f), F.least(F.ceil((F.col(c) + 1) / f) - 1, F.lit(n - 1))))
+    rows = pixels.select(*PLACE, "v", spread("y", fy, height).alias("oy")).select("*", spread("x", fx, width).alias("ox"))
+    share = lambda c, o, f: F.greatest(F.least(F.col(c) + 1, (F.col(o) + 1) * f) - F.greatest(F.col(c), F.col(o) * f), F.lit(0.0)) / f
+    w = share("y", "oy", fy) * share("x", "ox", fx)
+    return rows.groupBy("image_id", F.col("oy").cast("int").alias("y"), F.col("ox").cast("int").alias("x")).agg(F.sum(F.col("v") * w).alias("v"))
+
+
+def pyramid_expand(pixels: DataFrame, shape: tuple[int, int], upscale: int = 2, sigma: float | None = None) -> DataFrame:
+    """Resized by the factor, then smoothed (reflect)."""
+    return gaussian(resize(pixels, shape, shape[0] * upscale, shape[1] * upscale), sigma or 2 * upscale / 6.0, "reflect")
+
+
+def pyramid_gaussian(pixels: DataFrame, shape: tuple[int, int], levels: int, downscale: int = 2) -> DataFrame:
+    """The image and ``levels`` reductions, each of the one before: level, image_id, y, x, v."""
+    out, now, (h, w) = pixels.select(F.lit(0).alias("level"), *PLACE, "v"), pixels, shape
+    for k in range(1, levels + 1):
+        now = pyramid_reduce(now, (h, w), downscale)
+        h, w = math.ceil(h / downscale), math.ceil(w / downscale)
+        out = out.unionByName(now.select(F.lit(k).alias("level"), *PLACE, "v"))
+    return out
+
+
+def warp_coords(pixels: DataFrame, inverse) -> DataFrame:
+    """Where each place of the output takes its value from: image_id, y, x, from_y, from_x."""
+    y, x = inverse(F.col("y").cast("double"), F.col("x").cast("double"))
+    return pixels.select(*PLACE, y.alias("from_y"), x.alias("from_x"))
+
+
 def pyramid_laplacian(pixels: DataFrame, shape: tuple[int, int], levels: int, factor: int = 2) -> DataFrame:
     """What smoothing takes away at each level: level, image_id, y, x, v."""
     out, now, (h, w) = None, pixels, shape
