@@ -1,4 +1,9 @@
-"""A corpus pipeline: language ID, line dedup, near-dedup, decontamination, packing."""
+"""A corpus pipeline: language ID, line dedup, near-dedup, decontamination, packing.
+
+Rows, not ids, are judged by the stages that look at one text (1 and 4), so null
+and repeated ids are nothing special there. Columns of any names stay as they
+are. Empty tables pass through all stages.
+"""
 
 from __future__ import annotations
 
@@ -10,29 +15,40 @@ from imgq.llm.common import materialize, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without any letter go."""
+    """Documents in one of the learned languages; those without any letter (null and
+    empty texts too) and those that no language can parse go. Repeated rows fare alike."""
     return lang_id.keep_identified(docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier document has; n_chars follows."""
+    """Documents without the lines that one with a smaller id has; n_chars follows.
+
+    Documents that lose all lines go. Rows without an id lose nothing, rows that
+    repeat an id are one document.
+    """
     out = line_dedup.dedup_lines(docs)
     taken = {"text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars")}
     return out.where("n_dropped = 0 OR kept <> ''").select(*[taken.get(c, F.col(f"`{c}`")) for c in docs.columns])
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component."""
+    """The document with the smallest id of each SimHash component.
+
+    Rows that repeat that id all stay, and so do rows without an id.
+    """
     return simhash.dedup(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a copy of a benchmark item."""
+    """Documents without a copy of a benchmark item; null texts have none."""
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents, each with its sequence and place there."""
+    """The pieces of all documents, each with its sequence and place there.
+
+    Each row is packed by itself; ties between pieces go by bucket, id and piece.
+    """
     return packing.pack(docs)
 
 

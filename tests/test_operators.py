@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from imgq.functions import color
-from imgq.operators import edges, filters, histogram, metrics, morphology, overlay, regions, registration, stencil, transform
+from imgq.operators import edges, filters, histogram, levelsets, metrics, morphology, overlay, regions, registration, stencil, transform
 from imgq.sources import images
 from imgq.streaming import events
 from pyspark.sql import functions as F
@@ -435,3 +435,42 @@ def test_crofton_of_nothing_and_of_one_place(spark):
     got = {r.image_id: r.perimeter for r in morphology.perimeter_crofton(mask).collect()}
     assert got[0] == 0
     assert got[1] == pytest.approx(np.pi / 4 * (2 + np.sqrt(2)))
+
+
+def slow_segments(u, within, among):
+    padded = np.pad(u, 1)
+    h, w = u.shape
+    return among([within([padded[1 + dy : 1 + dy + h, 1 + dx : 1 + dx + w] for dy, dx in s], axis=0) for s in levelsets.SEGMENTS], axis=0)
+
+
+def test_morphological_contours(spark):
+    rng = np.random.default_rng(8)
+    a = rng.normal(size=(14, 11)) + 3 * (np.arange(14)[:, None] > 6)
+    u = want = np.fromfunction(lambda y, x: (y // 5 + x // 5) % 2, a.shape)
+    is_, si = (lambda x: slow_segments(x, np.max, np.min)), (lambda x: slow_segments(x, np.min, np.max))
+    for k in range(3):
+        c0, c1 = (a * (1 - want)).sum() / ((1 - want).sum() + 1e-8), (a * want).sum() / (want.sum() + 1e-8)
+        pull = sum(map(np.abs, np.gradient(want))) * ((a - c1) ** 2 - (a - c0) ** 2)
+        want = np.where(pull < 0, 1.0, np.where(pull > 0, 0.0, want))
+        want = si(is_(want)) if k % 2 == 0 else is_(si(want))
+    got = levelsets.morphological_chan_vese(frame(spark, a), 3, levelsets.checkerboard_level_set(frame(spark, a)))
+    assert np.array_equal(grid(got), want)
+    g, want = 1 / (1 + np.abs(a)), u
+    iy, ix = np.gradient(g)
+    for k in range(2):
+        padded = np.pad(want, 1)
+        small = np.min([padded[i : i + 14, j : j + 11] for i in range(3) for j in range(3)], axis=0)
+        want = np.where(g > 0.3, small, want)
+        uy, ux = np.gradient(want)
+        pull = iy * uy + ix * ux
+        want = np.where(pull > 0, 1.0, np.where(pull < 0, 0.0, want))
+        want = si(is_(want)) if k % 2 == 0 else is_(si(want))
+    got = levelsets.morphological_geodesic_active_contour(frame(spark, g), 2, frame(spark, u), 0.3, 1, -1.0)
+    assert np.array_equal(grid(got), want)
+
+
+def test_components_of_images_with_large_ids_stay_apart(spark):
+    a = np.array([[1, 1, 0], [0, 0, 0], [1, 0, 1]])
+    both = frame(spark, a, 0).unionByName(frame(spark, a, 1 << 24)).unionByName(frame(spark, a, 1 << 40))
+    got = {r["image_id"]: r["n"] for r in regions.label(both).groupBy("image_id").agg(F.count_distinct("label").alias("n")).collect()}
+    assert got == {0: 4, 1 << 24: 4, 1 << 40: 4}
