@@ -39,7 +39,7 @@ FILTER_FRAMES = 16
 STEPS = (-0.25, 0.0, 0.25)
 MAX_ERROR = 0.2
 #: Integers from a shared key on that are compared first, and the error they may have.
-CONTEXT, CONTEXT_ERROR = 4, 0.32
+CONTEXT, CONTEXT_ERROR = 8, 0.24
 #: The shorter overlap that still counts, as a share of the shorter fingerprint.
 MIN_OVERLAP = 0.25
 
