@@ -36,13 +36,10 @@ from .common import crc32_mod
 
 SAMPLE = 20_000
 #: A learned insult: contexts in toxic texts at least, share of its toxic
-#: documents that bring a context of their own, odds against other texts, and
-#: how many words are learned at most.
-MIN_CONTEXTS, MIN_VARIETY, MIN_ODDS, MAX_LEARNED = 8, 0.3, 15.0, 1000
+#: documents that bring a context of their own, and odds against other texts.
+MIN_CONTEXTS, MIN_VARIETY, MIN_ODDS = 8, 0.3, 15.0
 #: Other words after which a negation no longer holds.
 SCOPE = 4
-#: Matches of one kind in a document that still count.
-CAP = 5
 
 # Words of the grammar in English, German, French and Spanish.
 INSULTS = """idiot idiots moron morons stupid clown loser losers scum trash pathetic worthless disgusting imbecile dumb
@@ -114,7 +111,7 @@ class Grammar:
         self.place = {x: i for i, x in enumerate(COUNTED)}
 
     def count(self, text: str | None) -> list[int]:
-        """Matches by kind, at most ``CAP`` each."""
+        """Matches by kind."""
         found = [0] * len(COUNTED)
         tokens = clauses(text)
         symbols = list(map(self.symbol.get, tokens))
@@ -132,7 +129,7 @@ class Grammar:
             state = self.next[state][x]
             if y in self.place:
                 found[self.place[y]] += 1
-        return [min(n, CAP) for n in found]
+        return found
 
 
 def clauses(text: str | None) -> list[bytes]:
@@ -170,7 +167,8 @@ def learn_insults(labelled: DataFrame) -> tuple[str, ...]:
     per_word = rows.groupBy("word").agg(F.count_distinct("context").alias("contexts"), F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = (F.col("contexts") + 0.5) / (F.col("clean") + 0.5)
     per_word = per_word.where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("contexts") >= MIN_VARIETY * F.col("toxic")) & (odds >= MIN_ODDS))
-    best = per_word.where(F.col("word") != b"\x01").orderBy(odds.desc(), "word").limit(MAX_LEARNED).select("word").collect()
+    # As many words as the sample of at most ``SAMPLE`` rows teaches.
+    best = per_word.where(F.col("word") != b"\x01").orderBy("word").select("word").collect()
     return tuple(bytes(r["word"]).decode(errors="replace") for r in best)
 
 

@@ -20,6 +20,7 @@ def test_clauses():
     assert kinds("you. idiot") == {t.INSULT: 1}  # a clause's end
     assert kinds("I will kill you") == {t.THREAT: 1, t.AIMED_LATER: 1}
     assert kinds("never hurt") == {t.THREAT_DENIED: 1}
+    assert kinds("idiot " * 9) == {t.INSULT: 9}  # every match counts
     assert kinds("") == kinds(None) == kinds("clean text") == {}
 
 
