@@ -9,7 +9,7 @@ to two bits, and the bits of all filters at one time are packed into one
 Two recordings meet where they share two thirds of an integer's bits (any two of
 three pieces), at the place where such a key begins; a held note or silence has
 one beginning however long it lasts. The offset of the two places is a candidate
-if the next few integers agree too, and the share of differing bits in the whole
+if a few integers before and after it agree too, and the share of differing bits in the whole
 overlap decides. Recordings with equal fingerprints are one class, so that
 copies are neither indexed nor searched twice. The stated queries stand against
 all classes; a key that many recordings share is split by Spark as any skewed join.
@@ -38,8 +38,9 @@ FILTER_FRAMES = 16
 #: Bits of answers: ratios of the two areas' sums, in logarithms.
 STEPS = (-0.25, 0.0, 0.25)
 MAX_ERROR = 0.2
-#: Integers from a shared key on that are compared first, and the error they may have.
-CONTEXT, CONTEXT_ERROR = 8, 0.24
+#: Integers around a shared key (their distances) that are compared first, and the error
+#: they may have. Neighbours share most of their frames; those further apart say more.
+CONTEXT, CONTEXT_ERROR = range(-12, 13, 3), 0.24
 #: The shorter overlap that still counts, as a share of the shorter fingerprint.
 MIN_OVERLAP = 0.25
 
@@ -161,13 +162,13 @@ def _classes(prints: DataFrame, name: str) -> DataFrame:
 
 
 def _places(classes: DataFrame, name: str) -> DataFrame:
-    """A row for each beginning of a key: name, at, key, and the integers from there on."""
+    """A row for each beginning of a key: name, at, key, and the integers around it (null beyond the ends)."""
     rows = classes.select(name, "prints", F.posexplode("prints").alias("at", "h"))
     keys = lambda h: [h.bitwiseAND(0x3FFFFF), F.shiftrightunsigned(h, 11) + (1 << 22), h.bitwiseAND(0x7FF) + F.shiftleft(F.shiftrightunsigned(h, 22), 11) + (1 << 23)]
     before = F.when(F.col("at") > 0, F.get("prints", F.col("at") - 1))
     begun = [F.when(before.isNull() | (k != b), k) for k, b in zip(keys(F.col("h")), keys(before), strict=True)]
-    ahead = [F.get("prints", F.col("at") + k).alias(f"h{k}") for k in range(CONTEXT)]
-    return rows.select(name, "at", *ahead, F.explode(F.array_compact(F.array(*begun))).alias("key"))
+    around = [F.get("prints", F.col("at") + k).alias(f"h{i}") for i, k in enumerate(CONTEXT)]
+    return rows.select(name, "at", *around, F.explode(F.array_compact(F.array(*begun))).alias("key"))
 
 
 def search(prints: DataFrame, queries: DataFrame, max_error: float = MAX_ERROR) -> DataFrame:
@@ -182,8 +183,8 @@ def search(prints: DataFrame, queries: DataFrame, max_error: float = MAX_ERROR)
     """
     classes, asked = _classes(prints, "class_id"), _classes(queries, "query_class")
     held = _places(classes, "class_id")
-    wanted = _places(asked, "query_class").withColumnsRenamed({"at": "q_at", **{f"h{k}": f"q{k}" for k in range(CONTEXT)}})
-    differ = [_differing(F.col(f"h{k}"), F.col(f"q{k}")) for k in range(CONTEXT)]
+    wanted = _places(asked, "query_class").withColumnsRenamed({"at": "q_at", **{f"h{i}": f"q{i}" for i in range(len(CONTEXT))}})
+    differ = [_differing(F.col(f"h{k}"), F.col(f"q{k}")) for k in range(len(CONTEXT))]
     wrong = sum((F.coalesce(x, F.lit(0)) for x in differ[1:]), F.coalesce(differ[0], F.lit(0)))
     seen = sum((x.isNotNull().cast("int") for x in differ[1:]), differ[0].isNotNull().cast("int"))
     near = wanted.join(held.hint("merge"), "key").where(wrong <= CONTEXT_ERROR * 32 * seen)
