@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exposure import absorbance_to_image
+
 PLACE = ["image_id", "y", "x"]
 
 # The colours of labels, in turn: red, blue, yellow, magenta, green, indigo, darkorange, cyan, pink, yellowgreen.
@@ -28,29 +33,106 @@ def label_overlay(pixels: DataFrame, alpha: float = 0.3) -> DataFrame:
     return p.select(*PLACE, *[blend(k).alias(c) for k, c in enumerate("rgb")])
 
 
-def stain_matrix(pixels: DataFrame, source: float = 240.0, alpha: float = 1.0, beta: float = 0.345) -> dict[int, np.ndarray]:
-    """Two stain vectors (3 x 2) for each image (r, g, b from 0 to 255): extreme angles in the plane of the two largest components."""
-    od = [(-F.ln(F.greatest(F.least(F.col(c), F.lit(source)), F.lit(1.0)) / source)).alias(c) for c in "rgb"]
-    p = pixels.select("image_id", *od).where((F.col("r") > beta) | (F.col("g") > beta) | (F.col("b") > beta))
+STAINS = [f"{k}{c}" for k in "pq" for c in "rgb"]
+# Stain vectors (a column for each stain) and largest concentrations of the reference slide.
+REFERENCE_STAINS = ((0.5626, 0.2159), (0.7201, 0.8012), (0.4062, 0.5581))
+REFERENCE_MOST = (1.9705, 1.0308)
+
+
+def _absorbance(source: float) -> dict[str, Column]:
+    return {c: -F.ln(F.greatest(F.least(F.col(c), F.lit(source)), F.lit(1.0)) / source) for c in "rgb"}
+
+
+def stain_table(pixels: DataFrame, source: float = 240.0, alpha: float = 1.0, beta: float = 0.345) -> DataFrame:
+    """Two stain vectors, ``pr, pg, pb`` and ``qr, qg, qb``, for each image (r, g, b from 0 to 255).
+
+    They are the extreme angles in the plane of the two largest components of
+    the places whose absorbance is over ``beta`` in some channel. An image with
+    fewer than two such places has no row. Only one row for each image (six
+    covariances, then two angles) is worked on in Python.
+    """
+    p = pixels.select("image_id", *[v.alias(c) for c, v in _absorbance(source).items()]).where((F.col("r") > beta) | (F.col("g") > beta) | (F.col("b") > beta))
     pairs = [(a, b) for i, a in enumerate("rgb") for b in "rgb"[i:]]
-    out = {}
-    # One row of six covariances for each image.
-    planes = {}
-    for r in p.groupBy("image_id").agg(*[F.covar_samp(a, b).alias(a + b) for a, b in pairs]).collect():
-        cov = np.array([[r["".join(sorted((a, b), key="rgb".index))] for b in "rgb"] for a in "rgb"])
-        vectors = np.linalg.eigh(cov)[1][:, [1, 2]]
-        planes[r["image_id"]] = vectors * np.where(vectors.sum(axis=0) < 0, -1, 1)
-    if not planes:
-        return out
-    frame = p.sparkSession.createDataFrame([(i, *map(float, v.T.ravel())) for i, v in planes.items()], "image_id long, " + ", ".join(f"{k}{c} double" for k in "uv" for c in "rgb"))
+    spread = p.groupBy("image_id").agg(*[F.covar_samp(a, b).alias(a + b) for a, b in pairs]).dropna()
+    id_type = pixels.schema["image_id"].dataType.simpleString()
+    plane = [f"{k}{c}" for k in "uv" for c in "rgb"]
+
+    def planes(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in it:
+            out = []
+            for r in rows.to_dict("records"):
+                cov = np.array([[r["".join(sorted((a, b), key="rgb".index))] for b in "rgb"] for a in "rgb"])
+                vectors = np.linalg.eigh(cov)[1][:, [1, 2]]
+                vectors = vectors * np.where(vectors.sum(axis=0) < 0, -1, 1)
+                out.append((r["image_id"], *vectors.T.ravel()))
+            yield pd.DataFrame(out, columns=["image_id", *plane])
+
+    frame = spread.mapInPandas(planes, f"image_id {id_type}, " + ", ".join(f"{c} double" for c in plane))
     t = p.join(frame, "image_id")
     dot = lambda k: sum((F.col(c) * F.col(k + c) for c in "rgb"), F.lit(0.0))
-    angles = t.groupBy("image_id").agg(F.percentile(F.atan2(dot("u"), dot("v")), F.array(F.lit(alpha / 100), F.lit(1 - alpha / 100))).alias("a"))
-    for r in angles.collect():
-        v = planes[r["image_id"]]
-        ends = np.array([v @ np.array([np.sin(x), np.cos(x)]) for x in r["a"]]).T
-        out[r["image_id"]] = ends if ends[0, 0] > ends[0, 1] else ends[:, ::-1]
-    return out
+    angles = t.groupBy("image_id", *plane).agg(F.percentile(F.atan2(dot("u"), dot("v")), F.array(F.lit(alpha / 100), F.lit(1 - alpha / 100))).alias("a"))
+    end = lambda i: [F.col(f"u{c}") * F.sin(F.col("a")[i]) + F.col(f"v{c}") * F.cos(F.col("a")[i]) for c in "rgb"]
+    low, high = end(0), end(1)
+    first = low[0] > high[0]
+    ordered = [F.when(first, x).otherwise(y) for x, y in (*zip(low, high, strict=True), *zip(high, low, strict=True))]
+    return angles.select("image_id", *[c.alias(n) for c, n in zip(ordered, STAINS, strict=True)])
+
+
+def stain_matrix(pixels: DataFrame, source: float = 240.0, alpha: float = 1.0, beta: float = 0.345) -> dict[int, np.ndarray]:
+    """``stain_table`` as a 3 x 2 matrix for each image, for a few images at a time."""
+    return {r["image_id"]: np.array([r[c] for c in STAINS]).reshape(2, 3).T for r in stain_table(pixels, source, alpha, beta).collect()}
+
+
+def normalize_stains(pixels: DataFrame, stains: DataFrame, source: float = 240.0, alpha: float = 1.0, reference: tuple = REFERENCE_STAINS, most: tuple = REFERENCE_MOST) -> DataFrame:
+    """Images (r, g, b from 0 to 255) recoloured as if stained like the reference, in whole numbers.
+
+    Concentrations follow from the image's own ``stains`` by least squares, are
+    scaled so that their (100 - alpha)th percentiles are ``most``, and are put
+    together again with the reference's vectors. Images without stains are left out.
+    """
+    p = pixels.select(*PLACE, *[v.alias(c) for c, v in _absorbance(source).items()]).join(stains, "image_id")
+    dot = lambda a, b: sum((F.col(f"{a}{c}") * F.col(f"{b}{c}") for c in "rgb"), F.lit(0.0))
+    pp, pq, qq, pv, qv = dot("p", "p"), dot("p", "q"), dot("q", "q"), dot("p", ""), dot("q", "")
+    det = pp * qq - pq * pq
+    amounts = p.select(*PLACE, F.try_divide(qq * pv - pq * qv, det).alias("c0"), F.try_divide(pp * qv - pq * pv, det).alias("c1"))
+    top = amounts.groupBy("image_id").agg(*[F.percentile(f"c{k}", F.lit(1 - alpha / 100)).alias(f"_t{k}") for k in (0, 1)])
+    scaled = [F.col(f"c{k}") * F.try_divide(F.lit(float(most[k])), F.col(f"_t{k}")) for k in (0, 1)]
+    out = [absorbance_to_image(float(row[0]) * scaled[0] + float(row[1]) * scaled[1], source).alias(c) for row, c in zip(reference, "rgb", strict=True)]
+    return amounts.join(top, "image_id").select(*PLACE, *out)
+
+
+def normalize_colors_pca(pixels: DataFrame, source: float = 240.0, alpha: float = 1.0, beta: float = 0.345) -> DataFrame:
+    """``normalize_stains`` by the stains found in the images themselves."""
+    return normalize_stains(pixels, stain_table(pixels, source, 1.0, beta), source, alpha)
+
+
+def draw(seed: int, turn: int, low: float = 0.0, high: float = 1.0) -> Column:
+    """A number from low to high for each image, the same whenever it is asked for."""
+    return F.pmod(F.xxhash64("image_id", F.lit(seed), F.lit(turn)), F.lit(2**32)) / 2.0**32 * (high - low) + low
+
+
+def rand_colour_jitter(pixels: DataFrame, brightness: float = 0.0, contrast: float = 0.0, saturation: float = 0.0, seed: int = 0, prob: float = 1.0) -> DataFrame:
+    """Colour jitter by factors drawn for each image, each from 1 minus to 1 plus its bound (0 at least)."""
+    on = draw(seed, 0) < prob
+    factor = lambda k, b: F.when(on, draw(seed, k, max(0.0, 1 - b), 1 + b)).otherwise(1.0)
+    return colour_jitter(pixels, factor(1, brightness), factor(2, contrast), factor(3, saturation))
+
+
+def rand_image_flip(pixels: DataFrame, axis: str = "x", prob: float = 0.5, seed: int = 0) -> DataFrame:
+    """Images turned over along an axis with probability ``prob``, drawn for each."""
+    side = pixels.groupBy("image_id").agg(F.max(axis).alias("_last"))
+    at = F.when(draw(seed, 0) < prob, F.col("_last") - F.col(axis)).otherwise(F.col(axis))
+    return pixels.join(side, "image_id").select(*[at.alias(c) if c == axis else F.col(f"`{c}`") for c in pixels.columns])
+
+
+def rand_image_rotate_90(pixels: DataFrame, prob: float = 0.5, max_turns: int = 3, seed: int = 0) -> DataFrame:
+    """Images turned by 90 degrees, from the y to the x axis, 1 to ``max_turns`` times with probability ``prob``."""
+    side = pixels.groupBy("image_id").agg(F.max("y").alias("_b"), F.max("x").alias("_r"))
+    k = F.when(draw(seed, 0) < prob, F.floor(draw(seed, 1) * max_turns) % 4 + 1).otherwise(0)
+    p = pixels.join(side, "image_id").withColumn("_k", k)
+    y = F.when(F.col("_k") == 1, F.col("_r") - F.col("x")).when(F.col("_k") == 2, F.col("_b") - F.col("y")).when(F.col("_k") == 3, F.col("x")).otherwise(F.col("y"))
+    x = F.when(F.col("_k") == 1, F.col("y")).when(F.col("_k") == 2, F.col("_r") - F.col("x")).when(F.col("_k") == 3, F.col("_b") - F.col("y")).otherwise(F.col("x"))
+    return p.select(*[{"y": y.alias("y"), "x": x.alias("x")}.get(c, F.col(f"`{c}`")) for c in pixels.columns])
 
 
 def colour_jitter(pixels: DataFrame, brightness: float = 1.0, contrast: float = 1.0, saturation: float = 1.0) -> DataFrame:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import raster
-from ..operators import filters, hulls, levelsets, stencil, thinning
+from ..operators import adaptive, filters, hulls, levelsets, overlay, stencil, thinning
 from . import catalog_regions, catalog_shapes  # noqa: F401  (they register what gets its SQL here)
-from .catalog import BYTES, EMBEDDING, FULL, QUERIES, SQL, _r, _shift_sql, register
+from .catalog import BYTES, COLOURS, EMBEDDING, FULL, QUERIES, SQL, _r, _shift_sql, register
 
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,3 +188,65 @@ def _richardson_lucy_sql(rounds: int) -> str:
 
 
 _describe("richardson_lucy", _richardson_lucy_sql(3))
+
+# -- reconstruction: geodesic steps of the whole image, more of them than any way here has ----------------
+
+
+def _reconstruct_sql(seed: str, mask: str, rounds: int = 400) -> str:
+    """Places with r, the seed spread under the mask; both are expressions of v, y and x."""
+    return f"""WITH RECURSIVE m AS MATERIALIZED (SELECT y, x, v, least({seed}, {mask}) AS s, {mask} AS m FROM (SELECT y, x, v::DOUBLE AS v FROM ({FULL}))), o AS MATERIALIZED (SELECT * FROM range(-1, 2) a(dy), range(-1, 2) b(dx)),
+g(i, y, x, r) AS (SELECT 0, y, x, s FROM m UNION ALL SELECT any_value(i) + 1, m.y, m.x, least(max(g.r), any_value(m.m)) FROM g, o, m WHERE i < {rounds} AND m.y = g.y + dy AND m.x = g.x + dx GROUP BY m.y, m.x)
+SELECT m.y, m.x, m.v, r FROM g JOIN m USING (y, x) WHERE i = {rounds}"""
+
+
+_describe("reconstruction", f"SELECT y, x, {_r('r', 'v')} FROM ({_reconstruct_sql('CASE WHEN x = 0 THEN v ELSE 0 END', 'v')})")
+_describe("h_maxima", f"SELECT y, x, (v - r >= 300 - 1e-12)::INT::DOUBLE AS v FROM ({_reconstruct_sql('v - 300', 'v')})")
+_describe("h_minima", f"SELECT y, x, (-v - r >= 300 - 1e-12)::INT::DOUBLE AS v FROM ({_reconstruct_sql('-v - 300', '-v')})")
+
+# -- adaptive equalisation, colours by a filter of one channel, stains, random views ------------------------
+
+
+def _doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grid(spark, sf_dir).select("image_id", "y", "x", F.col("v").cast("double").alias("v"))
+
+
+register("equalize_adapthist", lambda s, d: adaptive.equalize_adapthist(_doubles(s, d)).select("y", "x", "v"))
+# Without a limit the tiles' histograms stay as they are; 9 and 8 do not both divide 64.
+register("equalize_adapthist_unclipped", lambda s, d: adaptive.equalize_adapthist(_doubles(s, d), (9, 8), 0.0).select("y", "x", "v"), f"""WITH p AS MATERIALIZED (SELECT y, x, (round_even((v::DOUBLE - a) / (b - a) * 16383, 0) // 65)::INT AS k FROM ({FULL}), (SELECT min(v)::DOUBLE AS a, max(v)::DOUBLE AS b FROM ({FULL}))),
+f AS (SELECT r.i AS y, p.x, k FROM range(72) r(i) JOIN p ON p.y = CASE WHEN r.i < 64 THEN r.i ELSE 126 - r.i END),
+c AS MATERIALIZED (SELECT y // 9 AS ty, x // 8 AS tx, k, count(*) AS n FROM f GROUP BY ALL),
+a AS (SELECT y, x, k, e, g, greatest(0, least(7, (y + 4) // 9 - 1 + e)) AS ty, greatest(0, least(7, (x + 4) // 8 - 1 + g)) AS tx, abs(1 - e - ((y + 4) % 9) / 9.0::DOUBLE) * abs(1 - g - ((x + 4) % 8) / 8.0::DOUBLE) AS w FROM p, range(2) s(e), range(2) t(g)),
+l AS (SELECT a.y, a.x, e, g, any_value(w) AS w, least(16383, floor(sum(n) * (16383 / 72.0::DOUBLE))) AS v FROM a JOIN c ON c.ty = a.ty AND c.tx = a.tx AND c.k <= a.k GROUP BY a.y, a.x, e, g),
+z AS (SELECT y, x, floor(sum(w * v) + 1e-6) AS v FROM l GROUP BY y, x) SELECT y, x, {_r('(v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ())', 'v')} FROM z""")
+_SQUARE = stencil.rectangle(3, 3)
+_lowest = lambda p: stencil.erosion(p, _SQUARE)
+register("adapt_rgb_each_channel", lambda s, d: adaptive.adapt_rgb(raster.embedding_colours(s, d), _lowest).select("y", "x", "r", "g", "b"), f"SELECT y, x, r.v AS r, g.v AS g, b.v AS b FROM ({_shift_sql(f'SELECT y, x, r AS v FROM ({COLOURS})', _SQUARE, 'min(n)')}) r JOIN ({_shift_sql(f'SELECT y, x, g AS v FROM ({COLOURS})', _SQUARE, 'min(n)')}) g USING (y, x) JOIN ({_shift_sql(f'SELECT y, x, b AS v FROM ({COLOURS})', _SQUARE, 'min(n)')}) b USING (y, x)")
+register("adapt_rgb_hsv_value", lambda s, d: adaptive.adapt_rgb(raster.embedding_colours(s, d), _lowest, adaptive.hsv_value).select("y", "x", "r", "g", "b"), f"""WITH c AS MATERIALIZED ({COLOURS})
+SELECT y, x, {', '.join(_r(f"CASE WHEN greatest(r, g, b) = 0 THEN 0 ELSE {k} / greatest(r, g, b) * m.v END", k) for k in "rgb")} FROM c JOIN ({_shift_sql('SELECT y, x, greatest(r, g, b) AS v FROM c', _SQUARE, 'min(n)', digits=16)}) m USING (y, x)""")
+_OD = {c: f"-ln(greatest(least({c} * 255, 240), 1) / 240)" for c in "rgb"}
+_OWN = [0.65, 0.70, 0.29, 0.07, 0.99, 0.11]
+_dot = lambda a, b: "(" + " + ".join(f"{x} * {y}" for x, y in zip(a, b, strict=True)) + ")"
+_PV, _QV = _dot(_OWN[:3], "rgb"), _dot(_OWN[3:], "rgb")
+_PP, _PQ, _QQ = (sum(x * y for x, y in zip(a, b, strict=True)) for a, b in ((_OWN[:3], _OWN[:3]), (_OWN[:3], _OWN[3:]), (_OWN[3:], _OWN[3:])))
+
+
+def _own_stains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(0, *_OWN)], "image_id long, " + ", ".join(f"{c} double" for c in overlay.STAINS))
+
+
+register("normalize_stains", lambda s, d: overlay.normalize_stains(catalog_shapes._slides(s, d), _own_stains(s, d)).select("y", "x", "r", "g", "b"), f"""WITH o AS (SELECT y, x, {', '.join(f'{e} AS {c}' for c, e in _OD.items())} FROM ({COLOURS})),
+c AS MATERIALIZED (SELECT y, x, ({_QQ!r} * {_PV} - {_PQ!r} * {_QV}) / {_PP * _QQ - _PQ**2!r} AS c0, ({_PP!r} * {_QV} - {_PQ!r} * {_PV}) / {_PP * _QQ - _PQ**2!r} AS c1 FROM o),
+t AS (SELECT quantile_cont(c0, 0.99::DOUBLE) AS t0, quantile_cont(c1, 0.99::DOUBLE) AS t1 FROM c)
+SELECT y, x, {', '.join(f"round_even(least(255, greatest(0, exp(-({a} * c0 * 1.9705 / t0 + {b} * c1 * 1.0308 / t1)) * 240)), 0) + 0.0 AS {k}" for (a, b), k in zip(overlay.REFERENCE_STAINS, "rgb", strict=True))} FROM c, t""")
+register("normalize_colors_pca", lambda s, d: overlay.normalize_colors_pca(catalog_shapes._slides(s, d)).select("y", "x", "r", "g", "b"))
+
+
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid in images of 16 x 16, so that draws differ."""
+    p = _grid(spark, sf_dir)
+    return p.select((F.floor(F.col("y") / 16) * 4 + F.floor(F.col("x") / 16)).cast("long").alias("image_id"), (F.col("y") % 16).alias("y"), (F.col("x") % 16).alias("x"), F.col("v").cast("double").alias("v"))
+
+
+register("rand_image_flip", lambda s, d: overlay.rand_image_flip(_tiles(s, d), seed=5))
+register("rand_image_rotate_90", lambda s, d: overlay.rand_image_rotate_90(_tiles(s, d), seed=5))
+register("rand_color_jitter", lambda s, d: overlay.rand_colour_jitter(raster.embedding_colours(s, d), 0.2, 0.3, 0.4, seed=5).select("y", "x", "r", "g", "b"))

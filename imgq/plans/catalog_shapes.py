@@ -73,11 +73,14 @@ q AS (SELECT y, x, {', '.join(f'least(1, greatest(0, 0.8 * {c} + 0.2 * m)) AS {c
 SELECT y, x, {', '.join(_r(f"least(1, greatest(0, 0.5 * {c} + 0.5 * {_G.format(r='r', g='g', b='b')}))", c) for c in 'rgb')} FROM q""")
 
 
+def _slides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.embedding_colours(spark, sf_dir).select("image_id", "y", "x", *[(F.col(c) * 255).alias(c) for c in "rgb"])
+
+
 def _stains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = raster.embedding_colours(spark, sf_dir)
-    found = overlay.stain_matrix(p.select("image_id", "y", "x", *[(F.col(c) * 255).alias(c) for c in "rgb"]))
-    rows = [(i, int(r), int(c), float(v)) for i, m in found.items() for r, row in enumerate(m) for c, v in enumerate(row)]
-    return spark.createDataFrame(rows, "image_id long, channel int, stain int, v double")
+    found = overlay.stain_table(_slides(spark, sf_dir))
+    cells = F.explode(F.array(*[F.struct(F.lit("rgb".index(c[1])).alias("channel"), F.lit("pq".index(c[0])).alias("stain"), F.col(c).alias("v")) for c in overlay.STAINS])).alias("s")
+    return found.select("image_id", cells).select("image_id", "s.*")
 
 
 register("stain_extraction_pca", _stains)
