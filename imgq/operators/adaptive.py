@@ -22,7 +22,8 @@ def clip_histogram(counts: np.ndarray, limit: int) -> np.ndarray:
     """Counts of one tile with nothing above ``limit``; what is cut off is dealt over the other bins.
 
     First every bin gets the same share, up to the limit; what is left goes one
-    by one to open bins that are evenly spaced, from each bin on in turn.
+    by one to open bins that are evenly spaced, from each bin on in turn; the
+    last turn is finished, so the sum may grow by less than one for each bin.
     """
     out = np.minimum(counts, limit).astype(np.int64)
     left = int(counts.sum() - out.sum())

@@ -212,7 +212,7 @@ def _doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("equalize_adapthist", lambda s, d: adaptive.equalize_adapthist(_doubles(s, d)).select("y", "x", "v"))
 # Without a limit the tiles' histograms stay as they are; 9 and 8 do not both divide 64.
-register("equalize_adapthist_unclipped", lambda s, d: adaptive.equalize_adapthist(_doubles(s, d), (9, 8), 0.0).select("y", "x", "v"), f"""WITH p AS MATERIALIZED (SELECT y, x, (round_even((v::DOUBLE - a) / (b - a) * 16383, 0) // 65)::INT AS k FROM ({FULL}), (SELECT min(v)::DOUBLE AS a, max(v)::DOUBLE AS b FROM ({FULL}))),
+register("equalize_adapthist_unclipped", lambda s, d: adaptive.equalize_adapthist(_doubles(s, d), (9, 8), 0.0).select("y", "x", "v"), f"""WITH p AS MATERIALIZED (SELECT y, x, floor(round_even((v::DOUBLE - a) / (b - a) * 16383, 0) / 65)::INT AS k FROM ({FULL}), (SELECT min(v)::DOUBLE AS a, max(v)::DOUBLE AS b FROM ({FULL}))),
 f AS (SELECT r.i AS y, p.x, k FROM range(72) r(i) JOIN p ON p.y = CASE WHEN r.i < 64 THEN r.i ELSE 126 - r.i END),
 c AS MATERIALIZED (SELECT y // 9 AS ty, x // 8 AS tx, k, count(*) AS n FROM f GROUP BY ALL),
 a AS (SELECT y, x, k, e, g, greatest(0, least(7, (y + 4) // 9 - 1 + e)) AS ty, greatest(0, least(7, (x + 4) // 8 - 1 + g)) AS tx, abs(1 - e - ((y + 4) % 9) / 9.0::DOUBLE) * abs(1 - g - ((x + 4) % 8) / 8.0::DOUBLE) AS w FROM p, range(2) s(e), range(2) t(g)),
