@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import audio, chat, decontam, katz, lang_id, licenses, line_dedup, packing, simhash, toxicity
+from . import audio, chat, decontam, fim, katz, lang_id, licenses, line_dedup, packing, simhash, toxicity
 from .common import crc32_mod, materialize, table
 
 
@@ -122,6 +122,38 @@ def op10_cross_parsing_language_id(spark: SparkSession, sf_dir: str) -> DataFram
     return lang_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    f = lambda c: F.col(f"_fim.{c}")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return made.select(
+        "doc_id", f("n").alias("n"), f("form").alias("form"), F.length(f("prefix")).cast("long").alias("prefix_chars"), F.length(f("middle")).cast("long").alias("middle_chars"),
+        digest(f("output")).alias("output_sha256"), digest(fim.restore(f("output"), f("form"))).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents
+), e AS (
+  SELECT doc_id, t, length(t) AS n, ('0x' || substr(h, 1, 8))::BIGINT AS h1, ('0x' || substr(h, 9, 8))::BIGINT AS h2,
+    ('0x' || substr(h, 17, 8))::BIGINT AS h3, ('0x' || substr(h, 25, 8))::BIGINT AS h4
+  FROM d
+), f AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM e
+), g AS (
+  SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256
+FROM g
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -133,5 +165,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_cross_parsing_language_id": op10_cross_parsing_language_id,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
-SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL, "op9_line_dedup": OP9_SQL}
+SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL, "op9_line_dedup": OP9_SQL, "op11_fill_in_middle": OP11_SQL}
