@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import audio, chat, decontam, fim, katz, lang_id, licenses, line_dedup, packing, simhash, toxicity
+from . import audio, chat, decontam, fim, katz, lang_id, licenses, line_dedup, packing, simhash, spelling, toxicity
 from .common import crc32_mod, materialize, table
 
 
@@ -154,6 +154,46 @@ FROM g
 """
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(spelling.damaged_words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return spelling.variant_groups(words).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+OP12_SQL = """
+WITH RECURSIVE r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents
+), d AS (
+  SELECT doc_id, w, count(*) AS c FROM r GROUP BY ALL
+), b AS (
+  SELECT w, c, flatten(list_transform(list_transform(string_split(doc_id || ':' || w, ''), lambda x: unicode(x)),
+    lambda u: CASE WHEN u < 128 THEN [u] ELSE [192 + (u >> 6), 128 + (u & 63)] END)) AS bytes FROM d
+), h AS (
+  SELECT w, c, xor(4294967295, list_reduce(list_prepend(4294967295, bytes), lambda s, x:
+    list_reduce([xor(s::BIGINT, x::BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda e, z: xor(e >> 1, 3988292384 * (e & 1))))) AS h FROM b
+), v AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, c FROM h
+), words AS (
+  SELECT word, sum(c)::BIGINT AS n FROM v WHERE length(word) >= 7 GROUP BY word HAVING sum(c) >= 2
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i) AS p, substr(word, i + 2) AS s FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), lost AS (
+  SELECT DISTINCT word, n, p || s AS w FROM cut
+), near AS (
+  SELECT x.word, x.n, y.word AS other, y.n AS other_n FROM cut x JOIN cut y ON x.i = y.i AND x.p = y.p AND x.s = y.s AND x.word <> y.word
+  UNION ALL SELECT words.word, words.n, lost.word, lost.n FROM lost JOIN words ON lost.w = words.word
+  UNION ALL SELECT lost.word, lost.n, words.word, words.n FROM lost JOIN words ON lost.w = words.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(other_n) AS top FROM near GROUP BY word
+), forms AS (
+  SELECT n.word, min(n.other) AS form, any_value(n.other_n) AS form_n FROM near n JOIN best b ON n.word = b.word AND n.other_n = b.top WHERE b.top >= 10 * n.n GROUP BY n.word
+), ways AS (
+  SELECT word, word AS root, 0 AS depth FROM words UNION ALL SELECT ways.word, f.form, depth + 1 FROM ways JOIN forms f ON f.word = ways.root
+)
+SELECT w.word, f.form, (SELECT arg_max(root, depth) FROM ways WHERE ways.word = w.word) AS root, w.n, coalesce(b.n_near, 0) AS n_near, f.form_n
+FROM words w LEFT JOIN best b ON b.word = w.word LEFT JOIN forms f ON f.word = w.word
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -166,5 +206,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_cross_parsing_language_id": op10_cross_parsing_language_id,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_spelling_variants": op12_spelling_variants,
 }
-SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL, "op9_line_dedup": OP9_SQL, "op11_fill_in_middle": OP11_SQL}
+SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL, "op9_line_dedup": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op12_spelling_variants": OP12_SQL}
