@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import audio, chat, decontam, fim, katz, lang_id, licenses, line_dedup, packing, simhash, spelling, toxicity
+from . import audio, chat, decontam, fim, katz, lang_id, licenses, line_dedup, minmax, packing, simhash, spelling, toxicity
 from .common import crc32_mod, materialize, table
 
 
@@ -194,6 +194,11 @@ FROM words w LEFT JOIN best b ON b.word = w.word LEFT JOIN forms f ON f.word = w
 """
 
 
+def op13_min_max_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = minmax.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -207,5 +212,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_cross_parsing_language_id": op10_cross_parsing_language_id,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_spelling_variants": op12_spelling_variants,
+    "op13_min_max_near_dedup": op13_min_max_near_dedup,
 }
 SQL: dict[str, str] = {"op4_chat_formatting": OP4_SQL, "op9_line_dedup": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op12_spelling_variants": OP12_SQL}
