@@ -12,11 +12,11 @@ cases.
 
 Documents with the same set are one node, known by a 128-bit digest of the set.
 Where many nodes share a band they are not listed in pairs: each is compared with
-the one that has most in common with all (a text and its edited copies share more
-bands with the text than the copies do with each other), on the full sets. Only
-nodes of one band that are still in different classes are then compared in pairs,
-so a crowd of copies costs as many comparisons as it has members and no link
-between different classes is lost.
+the hub, the one that has most in common with all (a text and its edited copies
+share more bands with the text than the copies do with each other), on the full
+sets. Where that leaves members of a hub in different classes, what they have
+beyond the hub, and how much of the hub they lack, tells which pairs of them can
+still be links (see ``_candidates``); only those are compared on the full sets.
 
 Edge cases: words are parted by ASCII white space and only A-Z is lower-cased; of
 fewer words than a shingle has, all are one shingle. A text without words, empty
@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Names, columns, drop, materialize
@@ -128,61 +128,100 @@ def marks(documents: DataFrame, shingle: int = SHINGLE, keys: bool = True) -> Da
     return documents.mapInArrow(compute, ", ".join(kinds))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, shingle: int, threshold: int) -> DataFrame:
-    """The pairs ``(a, b)`` whose full sets, taken from ``texts`` (node, text), are similar enough."""
+def _compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
+    """``pairs`` (a, b) with the sizes of both full sets, n and n_b, the size of what they share, and ``fresh``: the hashes of a that b lacks.
+
+    The sets come from ``texts`` (node, text).
+    """
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, last, of_last = _Words(), None, None
+        known, last, y = _Words(), None, None
         for batch in it:
             a, b, ta, tb = (batch.column(k) for k in range(4))
-            good = []
+            n, n_b, both, fresh = [], [], [], []
             for k in range(batch.num_rows):
                 x = shingle_set(ta[k].as_py(), known, shingle)
                 if (at := b[k].as_py()) != last:  # rows come in the order of b
-                    last, of_last = at, shingle_set(tb[k].as_py(), known, shingle)
-                both = len(np.intersect1d(x, of_last, assume_unique=True))
-                good.append(100 * both >= threshold * (len(x) + len(of_last) - both))
-            keep = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], names=["a", "b"])
+                    last, y = at, shingle_set(tb[k].as_py(), known, shingle)
+                fresh.append(np.setdiff1d(x, y, assume_unique=True).view(np.int64))
+                n.append(len(x))
+                n_b.append(len(y))
+                both.append(len(x) - len(fresh[-1]))
+            yield pa.RecordBatch.from_arrays([a, b, *(pa.array(v, pa.int64()) for v in (n, n_b, both)), pa.array(fresh, pa.list_(pa.int64()))], names=["a", "b", "n", "n_b", "both", "fresh"])
 
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long")
-
-
-def _alike(n: Column, m: Column, threshold: int) -> Column:
-    """Whether sets of these sizes can be similar enough."""
-    return F.least(n, m) * 100 >= F.greatest(n, m) * threshold
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(compare, "a long, b long, n long, n_b long, both long, fresh array<long>")
+
+
+def _linked(compared: DataFrame, threshold: int) -> DataFrame:
+    return compared.where(100 * F.col("both") >= threshold * (F.col("n") + F.col("n_b") - F.col("both"))).select("a", "b")
+
+
+def _close(differ: Column, sizes: Column, threshold: int) -> Column:
+    """Whether sets of that size together that differ in so many elements are similar enough."""
+    return (100 + threshold) * differ <= (100 - threshold) * sizes
+
+
+def _candidates(members: DataFrame, threshold: int) -> DataFrame:
+    """Pairs ``(a, b)`` of different roots that may be links, of ``members`` (hub, node, n, both, fresh, root).
+
+    Each member has been compared with its hub: ``both`` elements are shared, the
+    ``fresh`` others are not in the hub. Two members that share ``k`` fresh ones
+    differ in all their other fresh ones, and in what one has of the hub beyond
+    the other: |fresh x| + |fresh y| - 2k + |both x - both y| elements at least.
+    Pairs for which that is few enough with k = 0 are found by their numbers
+    alone, over the distinct numbers of a hub's members. The others share a fresh
+    element, and the first that they share, the rarest first, leaves enough others
+    behind it.
+    """
+    cells = members.groupBy("hub", "n", "both").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    other = cells.select("hub", *[F.col(c).alias(f"{c}_b") for c in ("n", "both", "low", "high")])
+    differ = F.col("n") - F.col("both") + F.col("n_b") - F.col("both_b") + F.abs(F.col("both") - F.col("both_b"))
+    near = _close(differ, F.col("n") + F.col("n_b"), threshold) & (F.least("low", "low_b") < F.greatest("high", "high_b"))
+    pairs = cells.join(other.hint("merge"), "hub").where(near & (F.struct("n", "both") <= F.struct("n_b", "both_b"))).select("hub", "n", "both", "n_b", "both_b")
+    one = members.select("hub", "n", "both", F.col("node").alias("a"), F.col("root").alias("root_a"))
+    two = members.select("hub", F.col("n").alias("n_b"), F.col("both").alias("both_b"), F.col("node").alias("b"), F.col("root").alias("root_b"))
+    few = pairs.join(one.hint("merge"), ["hub", "n", "both"]).join(two.hint("merge"), ["hub", "n_b", "both_b"]).where("root_a <> root_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+    fresh = members.select("hub", "node", "n", "both", "root", F.explode("fresh").alias("element"))
+    often = fresh.groupBy("hub", "element").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    counted = fresh.join(often.hint("merge"), ["hub", "element"], "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    rest = F.count(F.lit(1)).over(Window.partitionBy("hub", "node").orderBy(F.desc("often"), F.desc("element")))  # it and those behind it
+    ranked = counted.withColumn("rest", rest).where((F.col("often") > 1) & _close(F.col("n") - F.col("both") - F.col("rest"), F.col("n") + F.col("n") * 100 / threshold, threshold)).drop("often")
+    again = ranked.select("hub", "element", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "both", "root", "rest")])
+    left = _close(differ - 2 * F.least("rest", "rest_b"), F.col("n") + F.col("n_b"), threshold)
+    shared = ranked.join(again.hint("merge"), ["hub", "element"]).where((F.col("root") < F.col("root_b")) & left).select(F.least("node", "node_b").alias("a"), F.greatest("node", "node_b").alias("b"))
+    return few.unionByName(shared).distinct()
 
 
 def links(nodes: DataFrame, documents: DataFrame, shingle: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
     """Edges ``(a, b)`` that connect just the nodes ``(node, rep, n, digest, keys)`` that a chain of links does."""
-    held = nodes.select("node", "n", F.explode("keys").alias("key"))
+    held = nodes.select("node", F.explode("keys").alias("key"))
     met = held.groupBy("key").agg(F.count(F.lit(1)).alias("n_key")).where("n_key > 1")
     shared = materialize(held.join(met.hint("merge"), "key"), "bands")
     fame = shared.groupBy("node").agg(F.sum("n_key").alias("fame"))
-    members = materialize(shared.join(fame.hint("merge"), "node").select("key", "node", "n", "fame"), "bands", instead_of=shared)
+    members = materialize(shared.join(fame.hint("merge"), "node").select("key", "node", "fame"), "bands", instead_of=shared)
+    hubs = members.groupBy("key").agg(F.max(F.struct("fame", (-F.col("node")).alias("less"))).alias("hub")).select("key", (-F.col("hub.less")).alias("b"))
+    pairs = materialize(members.join(hubs.hint("merge"), "key").where(F.col("node") != F.col("b")).select(F.col("node").alias("a"), "b").distinct(), "pairs", instead_of=members)
 
     # Texts of the nodes that share a band; a row that repeats an id counts by its set.
-    wanted = nodes.join(members.select("node").distinct().hint("merge"), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), F.col("digest").alias("of_node"))
+    wanted = nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge"), "node", "left_semi").select("node", F.col("rep").alias("doc_id"), F.col("digest").alias("of_node"))
     found = marks(documents.where("doc_id IS NOT NULL").join(wanted.hint("merge"), "doc_id").select("node", "of_node", "text"), shingle, keys=False)
     texts = materialize(found.where("digest = of_node").select("node", "text").dropDuplicates(["node"]), "texts")
+    compared = materialize(_compared(pairs, texts, shingle), "compared")
+    first = materialize(_linked(compared, threshold), "links", instead_of=pairs)
 
-    hubs = members.groupBy("key").agg(F.max(F.struct("fame", (-F.col("node")).alias("less"), "n")).alias("hub"))
-    hubs = hubs.select("key", (-F.col("hub.less")).alias("b"), F.col("hub.n").alias("n_b"))
-    pairs = members.join(hubs.hint("merge"), "key").where((F.col("node") != F.col("b")) & _alike(F.col("n"), F.col("n_b"), threshold))
-    first = materialize(_verified(pairs.select(F.col("node").alias("a"), "b").distinct(), texts, shingle, threshold), "links")
-
-    # Bands whose members are not all of one class yet: pairs of different classes.
+    # Hubs whose members are not all of one class yet.
     roots = connected_components(first)
-    rooted = materialize(members.join(roots.hint("merge"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "rooted")
-    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    left = materialize(rooted.join(mixed.hint("merge"), "key", "left_semi"), "mixed", instead_of=rooted)
-    other = left.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"))
-    across = left.join(other.hint("merge"), "key").where((F.col("root") < F.col("root_b")) & _alike(F.col("n"), F.col("n_b"), threshold))
-    rest = materialize(_verified(across.select(F.col("node").alias("a"), "b").distinct(), texts, shingle, threshold), "links")
-    for gone in (members, left, texts):
+    itself = compared.select(F.col("b").alias("hub"), F.col("b").alias("node"), F.col("n_b").alias("n"), F.col("n_b").alias("both")).distinct()
+    around = compared.select(F.col("b").alias("hub"), F.col("a").alias("node"), "n", "both", "fresh").unionByName(itself.withColumn("fresh", F.array().cast("array<long>")))
+    rooted = materialize(around.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted", instead_of=compared)
+    mixed = rooted.groupBy("hub").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("hub")
+    left = materialize(rooted.join(mixed.hint("merge"), "hub", "left_semi"), "mixed", instead_of=rooted)
+    rest = materialize(_linked(_compared(_candidates(left, threshold), texts, shingle), threshold), "links")
+    for gone in (left, texts):
         drop(gone)
     return first.unionByName(rest)
 
