@@ -111,10 +111,13 @@ def format_chats(messages: DataFrame, branches: int = 1) -> DataFrame:
     """The best ``branches`` paths of each tree as conversations; None takes all.
 
     ``messages``: tree_id, id, parent, score, role, text; further columns are
-    not read. Messages whose tree_id is null are one tree.
+    not read. Messages whose tree_id is null are one tree. A message that comes
+    more than once (the same tree and id) counts once: the first row by parent,
+    score, role and text, nulls before others.
     """
     # A struct that holds a null is equal to another one, so no join loses a tree.
-    tree = materialize(messages.select(F.struct("tree_id").alias("tree_id"), "id", "parent", "score", "role", "text"), "messages")
+    tree = messages.groupBy(F.struct("tree_id").alias("tree_id"), "id").agg(F.min(F.struct("parent", "score", "role", "text")).alias("_m"))
+    tree = materialize(tree.select("tree_id", "id", "_m.parent", "_m.score", "_m.role", "_m.text"), "messages")
     leaves = ranked_branches(tree)
     chosen = materialize(leaves if branches is None else leaves.where(F.col("rank") <= branches), "branches")
     turns = paths(tree, chosen).join(tree.select("tree_id", "id", "role", "text"), ["tree_id", "id"])

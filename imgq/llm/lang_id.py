@@ -7,8 +7,8 @@ the fewest phrases per letter wins. Whole texts are parsed: they are laid out in
 windows of ``WINDOW`` symbols, which are walked side by side with numpy and then
 stitched, so that the phrases are those of one walk from end to end.
 
-Edge cases: a null text, an empty one or one without any letter gets ``und``
-and score 0. With no labelled row at all every document gets ``und``. Ties go
+Edge cases: a null text, an empty one or one without any letter (combining marks
+alone are none) gets ``und`` and score 0. With no labelled row at all every document gets ``und``. Ties go
 to the language that sorts first. Repeated rows are predicted alike, one row
 for each input row. Further columns of the input do not matter.
 """
@@ -144,7 +144,11 @@ class CrossParser:
             space = int(np.searchsorted(self.alphabet, 32)) + 1
             sym[~low] = np.where(is_letter, code, space)[inverse]
             letter[~low] = is_letter[inverse]
+        proper = letter.copy()  # marks go with letters, but a text of marks alone has no letter
+        if not low.all():
+            proper[~low] = np.array([unicodedata.category(chr(c))[0] == "L" for c in kinds.tolist()])[inverse]
         letters = np.bincount(owner, weights=letter, minlength=n).astype(np.int64)
+        letters[np.bincount(owner, weights=proper, minlength=n) == 0] = 0
         keep = np.ones(len(sym), dtype=bool)
         keep[1:] = letter[1:] | letter[:-1] | (owner[1:] != owner[:-1])
         sym, owner = sym[keep], owner[keep]

@@ -66,3 +66,11 @@ def test_messages_without_a_tree_are_one_tree(spark):
     rows = [(None, 1, None, 1.0, "user", "hi"), (None, 2, 1, 1.0, "assistant", "yo"), (4, 1, None, 1.0, "user", None)]
     got = {r["tree_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, SCHEMA).withColumn("leaf", F.lit(0))).collect()}
     assert set(got) == {None, 4} and got[None]["formatted"].count(chat.TURN) == 2 and len(got[None]["loss_spans"]) == 1
+
+
+def test_repeated_messages_count_once(spark):
+    rows = [(1, 1, None, 1.0, "user", "hi")] * 2 + [(1, 2, 1, 1.0, "assistant", "yes"), (1, 2, 1, 1.0, "assistant", "no"), (None, 1, None, 1.0, "user", "alone")]
+    df = spark.createDataFrame(rows, "tree_id long, id long, parent long, score double, role string, text string")
+    got = chat.format_chats(df).select("tree_id", chat.read_turns(F.col("formatted")).alias("t")).collect()
+    assert {r["tree_id"]: [(x["role"], x["text"]) for x in r["t"]] for r in got} == {1: [("user", "hi"), ("assistant", "no")], None: [("user", "alone")]}
+    assert len(got) == 2

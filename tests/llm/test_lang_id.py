@@ -115,3 +115,10 @@ def test_whole_texts_are_learnt(spark):
         assert all(len(x) == 2 for x in seen.values())
     finally:
         lang_id.CrossParser.__init__ = init
+
+
+def test_marks_alone_are_no_letters(spark, documents):
+    rows = [(500, "\u0301\u0301", None, "s", 2, 0.0), (501, "12 \u0308 %", None, "s", 6, 0.0), (502, "the water e\u0301", None, "s", 12, 0.0)]
+    df = documents.unionByName(spark.createDataFrame(rows, documents.schema))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in lang_id.identify(df).where("doc_id >= 500").collect()}
+    assert got[500] == got[501] == ("und", 0.0) and got[502][0] != "und"

@@ -27,6 +27,15 @@ def test_stages_take_effect(spark, tmp_path, documents, rows):
 
 
 def test_names():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert set(queries.SQL) <= set(queries.QUERIES)
     assert lang_id.UNKNOWN == "und"
+
+
+def test_columns_called_like_results(spark, documents, rows):
+    df = spark.createDataFrame([(1, "a repeated line here\nown one", 5, "mine1", 7, 8), (2, "a repeated line here\nown two", 5, "mine2", 7, 8)], "doc_id long, text string, n_chars long, kept string, n_lines int, n_dropped int")
+    got = corpus_pipeline.dedup_lines(spark, df, "").orderBy("doc_id")
+    assert got.columns == df.columns
+    assert [tuple(r) for r in got.collect()] == [(1, "a repeated line here\nown one", 28, "mine1", 7, 8), (2, "own two", 7, "mine2", 7, 8)]
+    bare = corpus_pipeline.dedup_lines(spark, df.select("doc_id", "text"), "")
+    assert bare.columns == ["doc_id", "text"]
