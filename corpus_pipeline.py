@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from imgq.llm import decontam, lang_id, line_dedup, packing, simhash
-from imgq.llm.common import materialize, table
+from imgq.llm.common import materialize, quoted, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,11 +24,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that one with a smaller id has; n_chars follows.
 
     Documents that lose all lines go. Rows without an id lose nothing, rows that
-    repeat an id are one document.
+    repeat an id are one document. Columns called like a result of line dedup
+    stay as they are; ``n_chars`` may be absent.
     """
-    out = line_dedup.dedup_lines(docs)
-    taken = {"text": F.col("kept").alias("text"), "n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType).alias("n_chars")}
-    return out.where("n_dropped = 0 OR kept <> ''").select(*[taken.get(c, F.col(f"`{c}`")) for c in docs.columns])
+    apart = {c: c if c in ("doc_id", "text") else f"c{i}_{c}" for i, c in enumerate(docs.columns)}
+    out = line_dedup.dedup_lines(docs.select(*[quoted(c).alias(x) for c, x in apart.items()]))
+    taken = {"text": F.col("kept")} | ({"n_chars": F.length("kept").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    return out.where("n_dropped = 0 OR kept <> ''").select(*[taken.get(c, quoted(x)).alias(c) for c, x in apart.items()])
 
 
 def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
