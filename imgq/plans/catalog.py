@@ -23,8 +23,8 @@ SQL: dict[str, str] = {}
 EMBEDDING = "SELECT 0::BIGINT AS image_id, vec_id::INT AS y, (i - 1)::INT AS x, e::DOUBLE AS v, label AS l FROM (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS e FROM embeddings)"
 BYTES = f"SELECT image_id, y, x, least(255.0, greatest(0.0, floor((v + 0.75) / 1.5 * 256)))::DOUBLE AS v FROM ({EMBEDDING})"
 LABELS = f"SELECT image_id, y, x, v, CASE WHEN v > 0 THEN l + 1 ELSE 0 END::BIGINT AS label FROM ({EMBEDDING})"
-_CHANNEL = "least(255.0, greatest(0.0, floor((embedding[3 * x + {k}]::DOUBLE + 0.75) / 1.5 * 256)))::DOUBLE / 255.0 AS {c}"
-COLOURS = f"SELECT 0::BIGINT AS image_id, vec_id::INT AS y, x::INT AS x, {', '.join(_CHANNEL.format(k=k + 1, c=c) for k, c in enumerate('rgb'))} FROM (SELECT vec_id, embedding, unnest(range(21)) AS x FROM embeddings)"
+_CHANNEL = "least(255.0, greatest(0.0, floor((coalesce(embedding[3 * x + {k}]::DOUBLE, 0) + 0.75) / 1.5 * 256)))::DOUBLE / 255.0 AS {c}"
+COLOURS = f"SELECT 0::BIGINT AS image_id, vec_id::INT AS y, x::INT AS x, {', '.join(_CHANNEL.format(k=k + 1, c=c) for k, c in enumerate('rgb'))} FROM (SELECT vec_id, embedding, unnest(range(((len(embedding) + 2) // 3)::BIGINT)) AS x FROM embeddings)"
 GRID = """SELECT 0::BIGINT AS image_id, (l_partkey % 64)::INT AS y, (l_suppkey % 64)::INT AS x, sum(l_quantity) AS v, sum(l_tax) AS w,
   min(l_linenumber)::BIGINT AS label, max(l_linenumber)::BIGINT AS other FROM lineitem GROUP BY ALL"""
 FULL = f"SELECT 0::BIGINT AS image_id, a.y::INT AS y, b.x::INT AS x, coalesce(v, 0) AS v, coalesce(w, 0) AS w, coalesce(label, 0) AS label, coalesce(other, 0) AS other FROM range(64) a(y) CROSS JOIN range(64) b(x) LEFT JOIN ({GRID}) g ON g.y = a.y AND g.x = b.x"

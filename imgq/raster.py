@@ -34,9 +34,9 @@ def embedding_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A colour image in [0, 1]: each three elements of a vector are one pixel."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.lit(20))).alias("x"))
-    channel = lambda k: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor((F.col("embedding")[3 * F.col("x") + k].cast("double") + 0.75) / 1.5 * 256))) / 255.0
+    """A colour image in [0, 1]: each three elements of a vector are one pixel; what the last one lacks counts as 0."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.explode(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 3).cast("int") - 1)).alias("x"))
+    channel = lambda k: F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.floor((F.coalesce(F.get("embedding", 3 * F.col("x") + k).cast("double"), F.lit(0.0)) + 0.75) / 1.5 * 256))) / 255.0
     return e.select(F.lit(0).cast("long").alias("image_id"), F.col("vec_id").cast("int").alias("y"), "x", *[channel(k).alias(c) for k, c in enumerate("rgb")])
 
 

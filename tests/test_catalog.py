@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from imgq.plans import catalog, catalog_hulls, catalog_regions, catalog_shapes  # noqa: F401
+from imgq.plans import catalog, catalog_fourier, catalog_hulls, catalog_regions, catalog_shapes  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
