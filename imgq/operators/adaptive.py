@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import color
@@ -18,37 +16,27 @@ GREYS = 2**14
 TILE = ["image_id", "_ty", "_tx"]
 
 
-def clip_histogram(counts: np.ndarray, limit: int) -> np.ndarray:
-    """Counts of one tile with nothing above ``limit``; what is cut off is dealt over the other bins.
+def clip_histograms(counts: DataFrame, limit: Column) -> DataFrame:
+    """``counts`` (TILE, _bin, _n, _size; a row for every bin) with no ``_n`` above ``limit``.
 
-    First every bin gets the same share, up to the limit; what is left goes one
-    by one to open bins that are evenly spaced, from each bin on in turn; the
-    last turn is finished, so the sum may grow by less than one for each bin.
+    What is cut off is poured over all bins of the tile like water over steps:
+    every bin has room up to the limit, those with the least room fill up first,
+    and the others rise alike. The last few counts, fewer than there are bins left,
+    go to bins spread evenly over those. What no bin has room for is lost.
     """
-    out = np.minimum(counts, limit).astype(np.int64)
-    left = int(counts.sum() - out.sum())
-    share = left // out.size
-    dealt = np.where(out < limit - share, out + share, limit)
-    left -= int((dealt - out).sum())
-    out = dealt
-    while left > 0:
-        before = left
-        for first in range(out.size):
-            is_open = out < limit
-            turn = np.arange(first, out.size, max(1, int(is_open.sum()) // left))
-            turn = turn[is_open[turn]]
-            out[turn] += 1
-            left -= len(turn)
-            if left <= 0:
-                break
-        if left == before:  # all bins are full
-            break
-    return out
-
-
-def map_histogram(counts: np.ndarray, places: int) -> np.ndarray:
-    """The grey level that each bin becomes: its share of the places at or below it."""
-    return np.minimum(np.cumsum(counts) * ((GREYS - 1) / places), GREYS - 1).astype(np.int64)
+    tile = Window.partitionBy(*TILE)
+    by_room, by_bin = tile.orderBy("_room", "_bin"), tile.orderBy("_bin")
+    c = counts.withColumn("_low", F.least(F.col("_n"), limit)).withColumn("_room", limit - F.col("_low"))
+    c = c.withColumn("_cut", F.sum(F.col("_n") - F.col("_low")).over(tile)).withColumn("_bins", F.count(F.lit(1)).over(tile))
+    # With the water as high as this bin's room: all before it are full, and those from it on as high.
+    poured = F.coalesce(F.sum("_room").over(by_room.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("_bins") - F.row_number().over(by_room) + 1) * F.col("_room")
+    c = c.withColumn("_full", poured <= F.col("_cut"))
+    c = c.withColumn("_left", F.col("_cut") - F.sum(F.when(F.col("_full"), F.col("_room")).otherwise(0)).over(tile))
+    c = c.withColumn("_open", F.sum((~F.col("_full")).cast("long")).over(tile)).withColumn("_turn", F.sum((~F.col("_full")).cast("long")).over(by_bin))
+    share, rest = F.floor(F.col("_left") / F.col("_open")), F.col("_left") % F.col("_open")
+    spread = lambda k: F.floor(k * rest / F.col("_open"))
+    more = F.when(F.col("_full"), F.col("_room")).otherwise(share + spread(F.col("_turn")) - spread(F.col("_turn") - 1))
+    return c.select(*TILE, "_bin", (F.col("_low") + more).cast("long").alias("_n"), "_size")
 
 
 def equalize_adapthist(pixels: DataFrame, kernel: tuple[int, int] | None = None, clip_limit: float = 0.01, bins: int = 256) -> DataFrame:
@@ -75,15 +63,13 @@ def equalize_adapthist(pixels: DataFrame, kernel: tuple[int, int] | None = None,
     tile = lambda c, k: F.floor(F.col(c) / F.col(k)).cast("int")
     counts = spread.groupBy("image_id", tile("_yy", "_ky").alias("_ty"), tile("_xx", "_kx").alias("_tx"), "_bin").agg(F.count(F.lit(1)).alias("_n"), F.first(F.col("_ky") * F.col("_kx")).alias("_size"))
 
-    def lookup(group: pd.DataFrame) -> pd.DataFrame:
-        size = int(group["_size"].iloc[0])
-        full = np.bincount(group["_bin"], weights=group["_n"], minlength=bins).astype(np.int64)
-        limit = int(max(clip_limit * size, 1)) if clip_limit > 0 else size
-        level = map_histogram(clip_histogram(full, limit), size)
-        return pd.DataFrame({c: [group[c].iloc[0]] * bins for c in TILE} | {"_bin": range(bins), "_level": level[:bins]})
-
-    id_type = pixels.schema["image_id"].dataType.simpleString()
-    maps = counts.groupBy(*TILE).applyInPandas(lookup, f"image_id {id_type}, _ty int, _tx int, _bin int, _level long")
+    held = counts.groupBy(*TILE).agg(F.map_from_entries(F.collect_list(F.struct("_bin", "_n"))).alias("_held"), F.first("_size").alias("_size"))
+    every = held.select(*TILE, "_size", "_held", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("_bin"))
+    full = every.select(*TILE, "_bin", F.coalesce(F.try_element_at("_held", F.col("_bin")), F.lit(0)).cast("long").alias("_n"), F.col("_size").cast("long").alias("_size"))
+    if clip_limit > 0:
+        full = clip_histograms(full, F.greatest(F.floor(clip_limit * F.col("_size")), F.lit(1)).cast("long"))
+    upto = F.sum("_n").over(Window.partitionBy(*TILE).orderBy("_bin"))
+    maps = full.select(*TILE, "_bin", F.floor(F.least(upto * (F.lit(GREYS - 1.0) / F.col("_size")), F.lit(GREYS - 1.0))).alias("_level"))
 
     def around(c: str, n: str, k: str) -> Column:
         """The two tiles around a place, with weights; beyond the border is the last tile again."""

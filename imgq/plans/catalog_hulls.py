@@ -210,14 +210,28 @@ def _doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _grid(spark, sf_dir).select("image_id", "y", "x", F.col("v").cast("double").alias("v"))
 
 
-register("equalize_adapthist", lambda s, d: adaptive.equalize_adapthist(_doubles(s, d)).select("y", "x", "v"))
+def _adapthist_sql(ky: int, kx: int, clip: float) -> str:
+    """The parts of 64 x 64 places equalised in tiles of ky x kx; counts above the limit are poured over the bins."""
+    th, tw, size = -(-64 // ky), -(-64 // kx), ky * kx
+    limit = max(int(clip * size), 1) if clip else size
+    return f"""WITH p AS MATERIALIZED (SELECT y, x, floor(round_even((v::DOUBLE - a) / (b - a) * 16383, 0) / 65)::INT AS k FROM ({FULL}), (SELECT min(v)::DOUBLE AS a, max(v)::DOUBLE AS b FROM ({FULL}))),
+f AS (SELECT r.i AS y, s.i AS x, k FROM range({th * ky}) r(i), range({tw * kx}) s(i), p WHERE p.y = CASE WHEN r.i < 64 THEN r.i ELSE 126 - r.i END AND p.x = CASE WHEN s.i < 64 THEN s.i ELSE 126 - s.i END),
+c AS (SELECT y // {ky} AS ty, x // {kx} AS tx, k, count(*) AS n FROM f GROUP BY ALL),
+h AS (SELECT ty, tx, k, coalesce(n, 0) AS n FROM (SELECT * FROM range({th}) a(ty), range({tw}) b(tx), range(256) d(k)) LEFT JOIN c USING (ty, tx, k)),
+h0 AS (SELECT *, least(n, {limit}) AS low, {limit} - least(n, {limit}) AS room, sum(n - least(n, {limit})) OVER (PARTITION BY ty, tx) AS cut FROM h),
+h1 AS (SELECT *, coalesce(sum(room) OVER (PARTITION BY ty, tx ORDER BY room, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (257 - row_number() OVER (PARTITION BY ty, tx ORDER BY room, k)) * room <= cut AS is_full FROM h0),
+h2 AS (SELECT *, cut - sum(CASE WHEN is_full THEN room ELSE 0 END) OVER (PARTITION BY ty, tx) AS rest, sum((NOT is_full)::INT) OVER (PARTITION BY ty, tx) AS open, sum((NOT is_full)::INT) OVER (PARTITION BY ty, tx ORDER BY k) AS turn FROM h1),
+h3 AS (SELECT ty, tx, k, (low + CASE WHEN is_full THEN room ELSE rest // open + turn * (rest % open) // open - (turn - 1) * (rest % open) // open END)::BIGINT AS n FROM h2),
+m AS MATERIALIZED (SELECT ty, tx, k, floor(least(16383, sum(n) OVER (PARTITION BY ty, tx ORDER BY k) * (16383 / {size}.0::DOUBLE))) AS v FROM h3),
+a AS (SELECT y, x, k, greatest(0, least({th - 1}, (y + {ky // 2}) // {ky} - 1 + e)) AS ty, greatest(0, least({tw - 1}, (x + {kx // 2}) // {kx} - 1 + g)) AS tx, abs(1 - e - ((y + {ky // 2}) % {ky}) / {ky}.0::DOUBLE) * abs(1 - g - ((x + {kx // 2}) % {kx}) / {kx}.0::DOUBLE) AS w FROM p, range(2) s(e), range(2) t(g)),
+z AS (SELECT y, x, floor(sum(w * v) + 1e-6) AS v FROM a JOIN m USING (ty, tx, k) GROUP BY y, x) SELECT y, x, {_r('(v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ())', 'v')} FROM z"""
+
+
+register("equalize_adapthist", lambda s, d: adaptive.equalize_adapthist(_doubles(s, d)).select("y", "x", "v"), _adapthist_sql(8, 8, 0.01))
+# 9 and 12 do not divide 64; the limit is 5 of 108 places.
+register("equalize_adapthist_clipped", lambda s, d: adaptive.equalize_adapthist(_doubles(s, d), (9, 12), 0.05).select("y", "x", "v"), _adapthist_sql(9, 12, 0.05))
 # Without a limit the tiles' histograms stay as they are; 9 and 8 do not both divide 64.
-register("equalize_adapthist_unclipped", lambda s, d: adaptive.equalize_adapthist(_doubles(s, d), (9, 8), 0.0).select("y", "x", "v"), f"""WITH p AS MATERIALIZED (SELECT y, x, floor(round_even((v::DOUBLE - a) / (b - a) * 16383, 0) / 65)::INT AS k FROM ({FULL}), (SELECT min(v)::DOUBLE AS a, max(v)::DOUBLE AS b FROM ({FULL}))),
-f AS (SELECT r.i AS y, p.x, k FROM range(72) r(i) JOIN p ON p.y = CASE WHEN r.i < 64 THEN r.i ELSE 126 - r.i END),
-c AS MATERIALIZED (SELECT y // 9 AS ty, x // 8 AS tx, k, count(*) AS n FROM f GROUP BY ALL),
-a AS (SELECT y, x, k, e, g, greatest(0, least(7, (y + 4) // 9 - 1 + e)) AS ty, greatest(0, least(7, (x + 4) // 8 - 1 + g)) AS tx, abs(1 - e - ((y + 4) % 9) / 9.0::DOUBLE) * abs(1 - g - ((x + 4) % 8) / 8.0::DOUBLE) AS w FROM p, range(2) s(e), range(2) t(g)),
-l AS (SELECT a.y, a.x, e, g, any_value(w) AS w, least(16383, floor(sum(n) * (16383 / 72.0::DOUBLE))) AS v FROM a JOIN c ON c.ty = a.ty AND c.tx = a.tx AND c.k <= a.k GROUP BY a.y, a.x, e, g),
-z AS (SELECT y, x, floor(sum(w * v) + 1e-6) AS v FROM l GROUP BY y, x) SELECT y, x, {_r('(v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ())', 'v')} FROM z""")
+register("equalize_adapthist_unclipped", lambda s, d: adaptive.equalize_adapthist(_doubles(s, d), (9, 8), 0.0).select("y", "x", "v"), _adapthist_sql(9, 8, 0.0))
 _SQUARE = stencil.rectangle(3, 3)
 _lowest = lambda p: stencil.erosion(p, _SQUARE)
 register("adapt_rgb_each_channel", lambda s, d: adaptive.adapt_rgb(raster.embedding_colours(s, d), _lowest).select("y", "x", "r", "g", "b"), f"SELECT y, x, r.v AS r, g.v AS g, b.v AS b FROM ({_shift_sql(f'SELECT y, x, r AS v FROM ({COLOURS})', _SQUARE, 'min(n)')}) r JOIN ({_shift_sql(f'SELECT y, x, g AS v FROM ({COLOURS})', _SQUARE, 'min(n)')}) g USING (y, x) JOIN ({_shift_sql(f'SELECT y, x, b AS v FROM ({COLOURS})', _SQUARE, 'min(n)')}) b USING (y, x)")

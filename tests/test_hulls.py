@@ -51,6 +51,22 @@ def test_thinning_keeps_lines_and_thins_bars(spark):
     assert grid(thinning.thin(frame(spark, np.zeros((3, 4))))).sum() == 0
 
 
+def poured(n, limit):
+    """Counts cut at the limit; the water rises by one as long as all of it covers every bin that has room."""
+    out = [min(int(x), limit) for x in n]
+    cut = int(sum(n)) - sum(out)
+    while cut > 0 and (room := [i for i, x in enumerate(out) if x < limit]):
+        if cut >= len(room):
+            for i in room:
+                out[i] += 1
+            cut -= len(room)
+        else:
+            for turn, i in enumerate(room):
+                out[i] += (turn + 1) * cut // len(room) - turn * cut // len(room)
+            cut = 0
+    return out
+
+
 def clahe(a, ky, kx, clip):
     """The same by whole arrays: mirrored last tiles, one map for each tile, bilinear between tiles."""
     level = np.rint((a - a.min()) / (a.max() - a.min()) * 16383).astype(int) // 65
@@ -62,7 +78,7 @@ def clahe(a, ky, kx, clip):
         for j in range(tw):
             n = np.bincount(wide[i * ky : (i + 1) * ky, j * kx : (j + 1) * kx].ravel(), minlength=256)
             limit = int(max(clip * ky * kx, 1))
-            maps[i, j] = np.minimum(np.cumsum(adaptive.clip_histogram(n, limit)) * (16383 / (ky * kx)), 16383).astype(int)
+            maps[i, j] = np.minimum(np.cumsum(poured(n, limit)) * (16383 / (ky * kx)), 16383).astype(int)
     out = np.zeros(a.shape)
     for y in range(h):
         for x in range(w):
@@ -82,14 +98,17 @@ def test_adaptive_equalisation(spark, clip):
     assert (grid(adaptive.equalize_adapthist(flat)) == 0).all()
 
 
-def test_clipping_deals_out_what_is_cut_off():
-    n = np.zeros(8, int)
-    n[2] = 40
-    got = adaptive.clip_histogram(n, 6)
-    # 34 are cut off: four for each bin, then one for each open bin as every step is 1, which is one more than were left.
-    assert got.tolist() == [5, 5, 6, 5, 5, 5, 5, 5]
-    assert (adaptive.clip_histogram(np.full(4, 9), 5) == 5).all()  # more than all bins hold
-    assert (adaptive.clip_histogram(np.arange(4), 9) == np.arange(4)).all()
+def test_clipping_deals_out_what_is_cut_off(spark):
+    rng = np.random.default_rng(6)
+    tiles = [([9, 0, 1, 2], 4), ([100, 100, 100, 100], 5), ([0, 0, 0, 0], 3), ([7, 0, 0, 0], 2), ([30, 5, 5, 0], 10)] + [(rng.integers(0, 12, 16).tolist(), int(rng.integers(1, 12))) for _ in range(25)]
+    rows = [(0, t, 0, b, n, limit) for t, (counts, limit) in enumerate(tiles) for b, n in enumerate(counts)]
+    counts = spark.createDataFrame(rows, "image_id long, _ty int, _tx int, _bin int, _n long, _size long")
+    got = {}
+    for r in adaptive.clip_histograms(counts, F.col("_size")).orderBy("_ty", "_bin").collect():
+        got.setdefault(r["_ty"], []).append(r["_n"])
+    assert got == {t: poured(counts, limit) for t, (counts, limit) in enumerate(tiles)}
+    assert got[0] == [4, 1, 3, 4] and got[1] == [5] * 4
+
 
 
 def test_chan_vese_parts_a_square_from_its_ground(spark):
