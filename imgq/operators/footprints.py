@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from itertools import product
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 def ellipse(width: int, height: int) -> list[tuple[int, int]]:
     """Places strictly inside the ellipse with half axes of ``height`` + 1 and ``width`` + 1."""
@@ -50,3 +53,14 @@ def footprint_from_sequence(sequence: list[tuple[list[tuple[int, ...]], int]]) -
         for _ in range(times):
             out = {tuple(a + b for a, b in zip(p, q, strict=True)) for p in out for q in offsets}
     return sorted(out)
+
+
+def coverage(points: DataFrame, footprint: list[tuple[int, ...]]) -> DataFrame:
+    """How many points' footprints cover each place that any covers: image_id, the axes (y, x or z, y, x) and n.
+
+    Counts are combined before the shuffle; points that come twice count twice.
+    """
+    axes = "zyx"[-len(footprint[0]) :]
+    each = F.explode(F.array(*[F.struct(*[F.lit(o).alias(a) for a, o in zip(axes, offset, strict=True)]) for offset in footprint]))
+    moved = points.select("image_id", *axes, each.alias("_o"))
+    return moved.groupBy("image_id", *[(F.col(a) + F.col(f"_o.{a}")).alias(a) for a in axes]).agg(F.count(F.lit(1)).alias("n"))

@@ -171,7 +171,10 @@ def threshold_li(pixels: DataFrame, tolerance: float | None = None, max_rounds:
 
 
 def threshold_minimum(hist: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """The lowest bin between the two maxima that are left when the histogram has been smoothed enough."""
+    """The lowest bin between the two maxima that are left when the histogram has been smoothed enough.
+
+    Null for an image whose histogram never has just two.
+    """
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("bin")
@@ -189,7 +192,7 @@ def threshold_minimum(hist: DataFrame, max_rounds: int = 10_000) -> DataFrame:
             if len(peaks) < 3:
                 break
         if len(peaks) != 2:
-            raise RuntimeError("no two maxima in the histogram")
+            return pd.DataFrame({"image_id": rows["image_id"].iloc[:1], "threshold": [None]})
         at = peaks[0] + int(np.argmin(h[peaks[0] : peaks[1] + 1]))
         return pd.DataFrame({"image_id": rows["image_id"].iloc[:1], "threshold": [centers[at]]})
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import materialize
+
 from .stencil import shapes, uniform
 
 def _whole():
@@ -99,24 +101,35 @@ def colocalization(pairs: DataFrame, mask_v: Column, mask_w: Column) -> DataFram
     )
 
 
-def hausdorff_distance(a: DataFrame, b: DataFrame, radius: int) -> DataFrame:
-    """Largest distance from a place of one mask to the nearest of the other, found within ``radius``.
+def hausdorff_distance(a: DataFrame, b: DataFrame, radius: int = 16) -> DataFrame:
+    """Largest distance from a place of one mask to the nearest of the other; null where a mask is empty.
 
-    Places meet in square cells of that side, so no place is compared with all;
-    an image with a place that has no partner so near gives null.
+    Places meet in square cells of ``radius``, so no place is compared with all;
+    those that have no partner so near look again in cells twice as large, until
+    all that an image can have are found. ``radius`` says only where to begin.
     """
 
     def one(p: DataFrame, q: DataFrame) -> DataFrame:
-        cell = lambda c: F.floor(F.col(c) / radius).cast("int")
-        near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        left = p.select("image_id", "y", "x", near.alias("d")).select("image_id", "y", "x", (cell("y") + F.col("d.i")).alias("cy"), (cell("x") + F.col("d.j")).alias("cx"))
-        right = q.select("image_id", F.col("y").alias("qy"), F.col("x").alias("qx"), cell("y").alias("cy"), cell("x").alias("cx"))
-        d = (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy")) + (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx"))
-        nearest = left.join(right, ["image_id", "cy", "cx"], "left").groupBy("image_id", "y", "x").agg(F.min(d).alias("d"))
-        far = F.count_if(F.col("d").isNull() | (F.col("d") > radius * radius)) > 0
-        return nearest.groupBy("image_id").agg(F.when(~far, F.max("d")).alias("d"))
-
-    both = one(a, b).join(one(b, a).withColumnRenamed("d", "e"), "image_id")
+        left, r, parts = p.select("image_id", "y", "x").join(q.select("image_id").distinct(), "image_id", "left_semi"), radius, []
+        while True:
+            cell = lambda c, r=r: F.floor(F.col(c) / r).cast("int")
+            near = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+            here = left.select("image_id", "y", "x", near.alias("d")).select("image_id", "y", "x", (cell("y") + F.col("d.i")).alias("cy"), (cell("x") + F.col("d.j")).alias("cx"))
+            right = q.select("image_id", F.col("y").alias("qy"), F.col("x").alias("qx"), cell("y").alias("cy"), cell("x").alias("cx"))
+            d = (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy")) + (F.col("x") - F.col("qx")) * (F.col("x") - F.col("qx"))
+            nearest = materialize(here.join(right, ["image_id", "cy", "cx"], "left").groupBy("image_id", "y", "x").agg(F.min(d).alias("d")), "nearest")
+            parts.append(nearest.where(F.col("d") <= r * r).groupBy("image_id").agg(F.max("d").alias("d")))
+            left = nearest.where(F.col("d").isNull() | (F.col("d") > r * r)).select("image_id", "y", "x")
+            if left.isEmpty():
+                break
+            r *= 2
+        out = parts[0]
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        return out.groupBy("image_id").agg(F.max("d").alias("d"))
+
+    every = a.select("image_id").unionByName(b.select("image_id")).distinct()
+    both = every.join(one(a, b), "image_id", "left").join(one(b, a).withColumnRenamed("d", "e"), "image_id", "left")
     return both.select("image_id", F.when(F.col("d").isNotNull() & F.col("e").isNotNull(), F.sqrt(F.greatest("d", "e").cast("double"))).alias("hausdorff"))
 
 

@@ -442,7 +442,7 @@ SELECT round((hi.h + hj.h) / hij.h, 6) + 0.0 AS nmi FROM hi, hj, hij""")
 register("colocalization", lambda s, d: metrics.colocalization(_pair(s, d), F.col("v") > 0.3, F.col("w") > 0.5).drop("image_id"), f"""SELECT {_r('corr(v, w)', 'pearson')}, {_r('sum(CASE WHEN w > 0.5 THEN v ELSE 0 END) / sum(v)', 'manders_coloc_coeff')}, {_r('sum(v * w) / sqrt(sum(v * v) * sum(w * w))', 'manders_overlap_coeff')}, {_r('count(*) FILTER (WHERE v > 0.3 AND w > 0.5) / count(*) FILTER (WHERE v > 0.3)', 'intersection_coeff')} FROM ({_PAIR})""")
 register("structural_similarity", lambda s, d: metrics.structural_similarity(_pair(s, d), 2.0).select("ssim"), f"""WITH p AS MATERIALIZED ({_PAIR}), c AS (SELECT y, x FROM p WHERE y BETWEEN 3 AND 60 AND x BETWEEN 3 AND 60), s AS (SELECT c.y, c.x, avg(v) AS a, avg(w) AS b, avg(v * v) AS aa, avg(w * w) AS bb, avg(v * w) AS ab FROM c JOIN p ON p.y BETWEEN c.y - 3 AND c.y + 3 AND p.x BETWEEN c.x - 3 AND c.x + 3 GROUP BY c.y, c.x)
 SELECT round(avg((2 * a * b + 0.0004) * (2 * 49 / 48 * (ab - a * b) + 0.0036) / ((a * a + b * b + 0.0004) * (49 / 48 * (aa - a * a + bb - b * b) + 0.0036))), 6) + 0.0 AS ssim FROM s""")
-register("hausdorff_distance", lambda s, d: metrics.hausdorff_distance(raster.part_grid(s, d).where("label = 1"), raster.part_grid(s, d).where("other = 7"), 16).select("hausdorff"), f"""WITH g AS ({GRID}), a AS (SELECT y, x FROM g WHERE label = 1), b AS (SELECT y, x FROM g WHERE other = 7), d AS (SELECT a.y AS ay, a.x AS ax, b.y AS by_, b.x AS bx, pow(a.y - b.y, 2) + pow(a.x - b.x, 2) AS d FROM a, b)
+register("hausdorff_distance", lambda s, d: metrics.hausdorff_distance(raster.part_grid(s, d).where("label = 1"), raster.part_grid(s, d).where("other = 7"), 1).select("hausdorff"), f"""WITH g AS ({GRID}), a AS (SELECT y, x FROM g WHERE label = 1), b AS (SELECT y, x FROM g WHERE other = 7), d AS (SELECT a.y AS ay, a.x AS ax, b.y AS by_, b.x AS bx, pow(a.y - b.y, 2) + pow(a.x - b.x, 2) AS d FROM a, b)
 SELECT round(sqrt(greatest((SELECT max(m) FROM (SELECT min(d) AS m FROM d GROUP BY ay, ax)), (SELECT max(m) FROM (SELECT min(d) AS m FROM d GROUP BY by_, bx)))), 6) + 0.0 AS hausdorff""")
 register("blur_effect", lambda s, d: metrics.blur_effect(raster.embedding_image(s, d)).select("blur"))
 

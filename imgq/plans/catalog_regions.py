@@ -93,9 +93,20 @@ register("moments_coords_central", lambda s, d: regions.moments_coords(_points(s
 # -- footprints -----------------------------------------------------------------------------
 
 
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A point for each item of two pieces: layers by line number, rows and columns by part and supplier."""
+    li = raster.read(spark, sf_dir, "lineitem").where("l_quantity = 2")
+    return li.select(F.lit(0).cast("long").alias("image_id"), F.col("l_linenumber").alias("z"), F.pmod("l_partkey", F.lit(1000)).cast("int").alias("y"), F.pmod("l_suppkey", F.lit(1000)).cast("int").alias("x"))
+
+
+_PLACED = "SELECT l_linenumber AS z, (l_partkey % 1000)::INT AS y, (l_suppkey % 1000)::INT AS x FROM lineitem WHERE l_quantity = 2"
+
+
 def _footprint(name: str, offsets: list[tuple[int, ...]], where: str, reach: int) -> None:
+    """How many items' footprints cover each place; the SQL says by an inequality what belongs to the footprint."""
     axes = "zyx"[-len(offsets[0]) :]
-    register(name, lambda s, d: s.createDataFrame(offsets, ", ".join(f"{a} int" for a in axes)), f"SELECT {', '.join(f'{a}::INT AS {a}' for a in axes)} FROM {', '.join(f'range(-{reach}, {reach + 1}) {a}_({a})' for a in axes)} WHERE {where}")
+    shape = f"SELECT * FROM {', '.join(f'range(-{reach}, {reach + 1}) {a}_({a})' for a in axes)} WHERE {where}"
+    register(name, lambda s, d: footprints.coverage(_placed(s, d), offsets).drop("image_id"), f"SELECT {', '.join(f'(p.{a} + f.{a})::INT AS {a}' for a in axes)}, count(*) AS n FROM ({_PLACED}) p, ({shape}) f GROUP BY ALL")
 
 
 _footprint("footprint_rectangle", stencil.rectangle(3, 5), "abs(y) <= 1 AND abs(x) <= 2", 3)
