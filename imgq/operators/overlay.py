@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exposure import absorbance_to_image
+from .transform import zoom
 
 PLACE = ["image_id", "y", "x"]
 
@@ -108,7 +109,8 @@ def normalize_colors_pca(pixels: DataFrame, source: float = 240.0, alpha: float
 
 def draw(seed: int, turn: int, low: float = 0.0, high: float = 1.0) -> Column:
     """A number from low to high for each image, the same whenever it is asked for."""
-    return F.pmod(F.xxhash64("image_id", F.lit(seed), F.lit(turn)), F.lit(2**32)) / 2.0**32 * (high - low) + low
+    digest = F.md5(F.concat_ws(":", F.col("image_id").cast("string"), F.lit(str(seed)), F.lit(str(turn))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 2.0**32 * (high - low) + low
 
 
 def rand_colour_jitter(pixels: DataFrame, brightness: float = 0.0, contrast: float = 0.0, saturation: float = 0.0, seed: int = 0, prob: float = 1.0) -> DataFrame:
@@ -135,6 +137,21 @@ def rand_image_rotate_90(pixels: DataFrame, prob: float = 0.5, max_turns: int =
     return p.select(*[{"y": y.alias("y"), "x": x.alias("x")}.get(c, F.col(f"`{c}`")) for c in pixels.columns])
 
 
+def get_zoom_factor(min_zoom: float | tuple[float, float] = 0.9, max_zoom: float | tuple[float, float] = 1.1, seed: int = 0) -> tuple[Column, Column]:
+    """A factor for each side, drawn for each image; one for both sides where the bounds are single numbers."""
+    if isinstance(min_zoom, tuple) and isinstance(max_zoom, tuple):
+        return draw(seed, 1, min_zoom[0], max_zoom[0]), draw(seed, 2, min_zoom[1], max_zoom[1])
+    one = draw(seed, 1, min_zoom, max_zoom)
+    return one, one
+
+
+def rand_zoom(pixels: DataFrame, min_zoom: float | tuple[float, float] = 0.9, max_zoom: float | tuple[float, float] = 1.1, prob: float = 0.1, seed: int = 0) -> DataFrame:
+    """Images zoomed with probability ``prob``, by factors drawn for each."""
+    on = draw(seed, 0) < prob
+    y, x = get_zoom_factor(min_zoom, max_zoom, seed)
+    return zoom(pixels, F.when(on, y).otherwise(1.0), F.when(on, x).otherwise(1.0))
+
+
 def colour_jitter(pixels: DataFrame, brightness: float = 1.0, contrast: float = 1.0, saturation: float = 1.0) -> DataFrame:
     """Brightness, contrast about the image's mean grey and saturation about each place's grey, in [0, 1]."""
     clip = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import splines
 from .stencil import fold, gaussian, shapes
 
 PLACE = ["image_id", "y", "x"]
@@ -71,7 +72,7 @@ def integrate(integral: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def warp(pixels: DataFrame, height: int, width: int, inverse, order: int = 1, mode: str = "constant", cval: float = 0.0) -> DataFrame:
-    """Each output place (y, x) takes its value at ``inverse(y, x)`` of the input: nearest (0) or bilinear (1)."""
+    """Each output place (y, x) takes its value at ``inverse(y, x)`` of the input: nearest (0), bilinear (1) or by a spline of order 2 to 5."""
     grid = pixels.select("image_id").distinct().join(shapes(pixels), "image_id")
     grid = grid.select("image_id", "_h", "_w", F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("y")).select("*", F.explode(F.sequence(F.lit(0), F.lit(width - 1))).alias("x"))
     sy, sx = inverse(F.col("y").cast("double"), F.col("x").cast("double"))
@@ -83,13 +84,51 @@ def warp(pixels: DataFrame, height: int, width: int, inverse, order: int = 1, mo
         fy, fx = F.col("_sy") - y0, F.col("_sx") - x0
         corners = [(y0, x0, (1 - fy) * (1 - fx)), (y0, x0 + 1, (1 - fy) * fx), (y0 + 1, x0, fy * (1 - fx)), (y0 + 1, x0 + 1, fy * fx)]
     else:
-        raise NotImplementedError("orders 0 and 1 are supported")
+        return _warp_by_spline(pixels, grid, order, mode, cval)
     rows = F.array(*[F.struct(fold(y.cast("int"), F.col("_h"), mode).alias("y"), fold(x.cast("int"), F.col("_w"), mode).alias("x"), w.alias("w")) for y, x, w in corners])
     wanted = grid.select(*PLACE, F.explode(rows).alias("c")).select(F.col("image_id"), F.col("y").alias("oy"), F.col("x").alias("ox"), F.col("c.y").alias("y"), F.col("c.x").alias("x"), F.col("c.w").alias("w"))
     got = wanted.join(pixels.select(*PLACE, "v"), PLACE, "left").withColumn("v", F.coalesce("v", F.lit(float(cval))))
     return got.groupBy("image_id", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
+def _warp_by_spline(pixels: DataFrame, grid: DataFrame, order: int, mode: str, cval: float) -> DataFrame:
+    (ys, in_y), (xs, in_x) = splines.taps(F.col("_sy"), F.col("_h"), order, mode), splines.taps(F.col("_sx"), F.col("_w"), order, mode)
+    tap = lambda t: F.array(*[F.struct(p.alias("at"), w.alias("w")) for p, w in t])
+    wide = grid.select(*PLACE, (in_y & in_x).alias("_in"), tap(xs).alias("_xs"), F.explode(tap(ys)).alias("_t")).select(*PLACE, "_in", "_t", F.explode("_xs").alias("_u"))
+    wanted = wide.select("image_id", F.col("y").alias("oy"), F.col("x").alias("ox"), "_in", F.col("_t.at").alias("y"), F.col("_u.at").alias("x"), (F.col("_t.w") * F.col("_u.w")).alias("w"))
+    got = wanted.join(splines.coefficients(pixels, order, mode), PLACE)
+    return got.groupBy("image_id", F.col("oy").alias("y"), F.col("ox").alias("x")).agg(F.when(F.first("_in"), F.sum(F.col("v") * F.col("w"))).otherwise(F.lit(float(cval))).alias("v"))
+
+
+def zoom(pixels: DataFrame, factor_y: Column | float, factor_x: Column | float) -> DataFrame:
+    """Zoomed about the middle, in the size that the image had: parts cut off, or the border spread out.
+
+    A place of the zoomed image is the mean of all places that it touches. The
+    factors may be columns of ``image_id``; both must enlarge or both reduce (a
+    side that rounds to its own size with the other changed raises an error).
+    An image whose two sides round to their own size stays as it is.
+    """
+    col = lambda f: f if isinstance(f, Column) else F.lit(float(f))
+    sizes = shapes(pixels).withColumns({"_fh": F.floor(F.col("_h") * col(factor_y)).cast("long"), "_fw": F.floor(F.col("_w") * col(factor_x)).cast("long")})
+    p = pixels.select(*PLACE, "v").join(sizes, "image_id")
+    same = (F.col("_fh") == F.col("_h")) & (F.col("_fw") == F.col("_w"))
+    fits = same | (F.col("_fh") > F.col("_h")) & (F.col("_fw") > F.col("_w")) | (F.col("_fh") < F.col("_h")) & (F.col("_fw") < F.col("_w")) & (F.col("_fh") > 0) & (F.col("_fw") > 0)
+    p = p.where(F.when(fits, True).otherwise(F.raise_error(F.lit("a zoom must enlarge both sides or reduce both"))))
+    touched = lambda c, n, m: F.explode(F.sequence(F.floor(F.col(c) * F.col(m) / F.col(n)), F.ceil((F.col(c) + 1) * F.col(m) / F.col(n)) - 1))
+    off = lambda n, m: F.floor(F.abs(F.col(m) - F.col(n)) / 2)
+    wide = p.withColumn("_oy", touched("y", "_h", "_fh")).withColumn("_ox", touched("x", "_w", "_fw"))
+    shown = lambda o, n, m: (F.col(m) <= F.col(n)) | (F.col(o) >= off(n, m)) & (F.col(o) < off(n, m) + F.col(n))
+    means = wide.where(shown("_oy", "_h", "_fh") & shown("_ox", "_w", "_fw")).groupBy("image_id", "_oy", "_ox", "_h", "_w", "_fh", "_fw").agg(F.avg("v").alias("v"))
+
+    def places(o: str, n: str, m: str) -> Column:
+        k = F.when(F.col(m) > F.col(n), F.col(o) - off(n, m)).otherwise(F.col(o) + off(n, m))
+        low = F.when((F.col(m) < F.col(n)) & (F.col(o) == 0), F.lit(0)).otherwise(k)
+        high = F.when((F.col(m) < F.col(n)) & (F.col(o) == F.col(m) - 1), F.col(n) - 1).otherwise(k)
+        return F.explode(F.sequence(low.cast("int"), high.cast("int")))
+
+    return means.withColumn("y", places("_oy", "_h", "_fh")).withColumn("x", places("_ox", "_w", "_fw")).select(*PLACE, "v")
+
+
 def resize(pixels: DataFrame, shape: tuple[int, int], height: int, width: int, order: int = 1, mode: str = "reflect") -> DataFrame:
     """Images of ``shape`` to height x width, pixel centres on pixel centres."""
     fy, fx = shape[0] / height, shape[1] / width

@@ -1,4 +1,4 @@
-"""Registered queries in frequency space, and their SQL: plain Fourier sums, one axis after the other."""
+"""Registered queries in frequency space, of splines and of zooms, and their SQL: plain Fourier sums, one axis after the other."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import raster
-from ..operators import fourier
+from ..operators import fourier, overlay, transform
 from .catalog import BYTES, FULL, _r, register
 
 _UNIT = f"SELECT image_id, y, x, v / 255 AS v FROM ({BYTES})"
@@ -95,3 +95,52 @@ c AS ({_dft_sql('SELECT * FROM p', 1)}),
 m AS (SELECT arg_max(struct_pack(y, x, re, im), re * re + im * im) AS m FROM c), t AS (SELECT sum(v * v) AS t FROM i)"""
 register("phase_cross_correlation", lambda s, d: fourier.phase_cross_correlation(_unit(s, d), _moved(s, d), normalization=None).select("shift_y", "shift_x", F.round("error", 3).alias("error"), F.round("phasediff", 4).alias("phasediff")), f"""{_CC}
 SELECT (CASE WHEN m.y > h // 2 THEN m.y - h ELSE m.y END)::DOUBLE AS shift_y, (CASE WHEN m.x > w // 2 THEN m.x - w ELSE m.x END)::DOUBLE AS shift_x, round(sqrt(abs(1 - (m.re * m.re + m.im * m.im) * h * w / (t * t))), 3) + 0.0 AS error, round(atan2(m.im, m.re), 4) + 0.0 AS phasediff FROM m, n, t""")
+
+
+# -- zooms: images of 25 embeddings each --------------------------------------------------------
+
+
+def _sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _unit(spark, sf_dir).select(F.floor(F.col("y") / 25).alias("image_id"), (F.col("y") % 25).alias("y"), "x", "v")
+
+
+_SHEETS = f"SELECT (y // 25)::BIGINT AS image_id, (y % 25)::INT AS y, x, v FROM ({_UNIT})"
+
+
+def _zoom_sql(factor: str) -> str:
+    at = "CASE WHEN f{n} > {n} THEN t.{c} + (f{n} - {n}) // 2 ELSE greatest(0, least(f{n} - 1, t.{c} - ({n} - f{n}) // 2)) END"
+    return f"""WITH i AS MATERIALIZED ({_SHEETS}), s AS (SELECT *, floor(h * f)::BIGINT AS fh, floor(w * f)::BIGINT AS fw FROM (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w, {factor} AS f FROM i GROUP BY image_id)),
+t AS (SELECT image_id, y, x, {at.format(n='h', c='y')} AS ty, {at.format(n='w', c='x')} AS tx, h, w, fh, fw FROM i t JOIN s USING (image_id))
+SELECT image_id, t.y, t.x, {_r('avg(i.v)', 'v')} FROM t JOIN i USING (image_id) WHERE i.y >= floor(ty * h / fh) AND i.y < ceil((ty + 1) * h / fh) AND i.x >= floor(tx * w / fw) AND i.x < ceil((tx + 1) * w / fw) GROUP BY image_id, t.y, t.x"""
+
+
+_DRAWN = "(('0x' || substr(md5(image_id || ':{seed}:{turn}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+register("zoom_in", lambda s, d: transform.zoom(_sheets(s, d), 1.3, 1.3), _zoom_sql("1.3::DOUBLE"))
+register("zoom_out", lambda s, d: transform.zoom(_sheets(s, d), 0.7, 0.7), _zoom_sql("0.7::DOUBLE"))
+register("get_zoom_factor", lambda s, d: _sheets(s, d).select("image_id").distinct().select("image_id", overlay.get_zoom_factor(0.8, 1.25, 3)[0].alias("factor")), f"SELECT DISTINCT image_id, {_r(_DRAWN.format(seed=3, turn=1) + ' * 0.45 + 0.8', 'factor')} FROM ({_SHEETS})")
+register("rand_zoom", lambda s, d: overlay.rand_zoom(_sheets(s, d), 0.8, 1.25, 0.6, 3), _zoom_sql(f"CASE WHEN {_DRAWN.format(seed=3, turn=0)} < 0.6 THEN {_DRAWN.format(seed=3, turn=1)} * (1.25::DOUBLE - 0.8::DOUBLE) + 0.8::DOUBLE ELSE 1 END"))
+
+# -- cubic splines: coefficients by a sum over the line, mirrored at its ends -----------------------
+
+_FOLD = "CASE WHEN pmod_ < {n} THEN pmod_ ELSE 2 * ({n} - 1) - pmod_ END"
+
+
+def _mirror(k: str, n: str) -> str:
+    period = f"(2 * {n} - 2)"
+    return _FOLD.replace("pmod_", f"((({k}) % {period} + {period}) % {period})").format(n=n)
+
+
+def _cubic_sql(image: str, height: int, width: int, sy: str, sx: str) -> str:
+    """Values of the cubic spline of a 64 x 64 ``image`` (y, x, v) at (sy, sx), expressions of y and x."""
+    z = "(sqrt(3) - 2)"
+    weight = f"(-6 * {z} / (1 - {z} * {z}) * pow({z}, abs(k)))"
+    basis = lambda u: f"CASE WHEN abs({u}) < 1 THEN 2 / 3.0::DOUBLE - pow({u}, 2) + pow(abs({u}), 3) / 2 WHEN abs({u}) < 2 THEN pow(2 - abs({u}), 3) / 6 ELSE 0 END"
+    return f"""WITH i AS MATERIALIZED ({image}), a AS MATERIALIZED (SELECT i.y, q.q AS x, sum(v * {weight}) AS v FROM (SELECT a.q, b.k, {_mirror('a.q + b.k', '64')} AS j FROM range(64) a(q), range(-30, 31) b(k)) q JOIN i ON i.x = q.j GROUP BY ALL),
+c AS MATERIALIZED (SELECT q.q AS y, a.x, sum(v * {weight}) AS v FROM (SELECT a.q, b.k, {_mirror('a.q + b.k', '64')} AS j FROM range(64) a(q), range(-30, 31) b(k)) q JOIN a ON a.y = q.j GROUP BY ALL),
+o AS (SELECT y, x, {sy} AS sy, {sx} AS sx FROM range({height}) a(y), range({width}) b(x)),
+t AS (SELECT y, x, sy, sx, floor(sy)::BIGINT + m.m AS ky, floor(sx)::BIGINT + n.n AS kx FROM o, range(-1, 3) m(m), range(-1, 3) n(n))
+SELECT t.y::INT AS y, t.x::INT AS x, {_r(f'sum(c.v * ({basis("(sy - ky)")}) * ({basis("(sx - kx)")}))', 'v')} FROM t JOIN c ON c.y = {_mirror('ky', '64')} AND c.x = {_mirror('kx', '64')} GROUP BY t.y, t.x"""
+
+
+_TAX = f"SELECT y, x, w::DOUBLE AS v FROM ({FULL})"
+register("resize_cubic", lambda s, d: transform.resize(_parts(s, d, "w"), (64, 64), 40, 90, 3, "mirror").select("y", "x", "v"), _cubic_sql(_TAX, 40, 90, "(y + 0.5::DOUBLE) * (64 / 40.0::DOUBLE) - 0.5", "(x + 0.5::DOUBLE) * (64 / 90.0::DOUBLE) - 0.5"))
