@@ -64,7 +64,7 @@ def fingerprints(documents: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def compute(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            fps = [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]
+            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]  # one text at a time: a batch may hold many long ones
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(compute, "doc_id long, fp long")
