@@ -23,13 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drop, materialize
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 CLOSE = END + "\n"
 #: Control strings of this and of other templates; the first character stays in front of the backslash.
 CONTROL = r"(<)(?=\||/?s>|</?SYS>>)|(\[)(?=/?INST\])"
-MAX_DOUBLINGS = 40
 
 
 def escape(text: Column) -> Column:
@@ -49,40 +48,52 @@ def ranked_branches(messages: DataFrame) -> DataFrame:
     """
     ids = messages.select("tree_id", F.col("id").alias("parent"), F.lit(True).alias("_known"))
     base = messages.select("tree_id", "id", "parent", F.coalesce("score", F.lit(0.0)).alias("score")).join(ids, ["tree_id", "parent"], "left")
+    replied = messages.where("parent IS NOT NULL").select("tree_id", F.col("parent").alias("id"), F.lit(True).alias("_replied")).distinct()
+    base = base.join(replied, ["tree_id", "id"], "left")
     # up: the ancestor reached; depth and total count what lies between, this message included.
-    now = base.select("tree_id", "id", F.when(F.col("_known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"))
+    now = base.select(
+        "tree_id", "id", F.when(F.col("_known"), F.col("parent")).alias("up"), F.lit(1).cast("long").alias("depth"), F.col("score").alias("total"), F.col("_replied").isNull().alias("is_leaf")
+    )
     now = materialize(now, "paths")
-    # Only what hasn't come to its root yet goes on; a round passes the rest over.
-    for _ in range(MAX_DOUBLINGS):
-        going = now.where("up IS NOT NULL")
-        if going.limit(1).count() == 0:
+    # Only what hasn't come to its root yet goes on; nothing else is written again.
+    going = now.where("up IS NOT NULL")
+    # No path is longer than the table: what still goes on after so many doublings is a ring.
+    for _ in range(messages.count().bit_length()):
+        if going.isEmpty():
             break
         far = now.select("tree_id", F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("total").alias("_total"))
         step = going.join(far, ["tree_id", "up"])
-        step = step.select("tree_id", "id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total"))
-        now = materialize(now.where("up IS NULL").unionByName(step), "paths", instead_of=now)
-    parents = base.where("_known").select("tree_id", F.col("parent").alias("id")).distinct()
-    leaves = now.where("up IS NULL").join(parents, ["tree_id", "id"], "left_anti")
+        step = step.select("tree_id", "id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), (F.col("total") + F.col("_total")).alias("total"), "is_leaf")
+        step = materialize(step, "paths")
+        now, going = now.where("up IS NULL").unionByName(step), step.where("up IS NOT NULL")
+    leaves = now.where("up IS NULL AND is_leaf")
     mean = F.col("total") / F.col("depth")
     order = Window.partitionBy("tree_id").orderBy(mean.desc(), F.desc("depth"), "id")
     return leaves.select("tree_id", F.col("id").alias("leaf"), "depth", mean.alias("score"), F.row_number().over(order).alias("rank"))
 
 
 def paths(messages: DataFrame, leaves: DataFrame) -> DataFrame:
-    """``(tree_id, leaf, id, height)`` for every message on the way from each leaf (height 0) up to its root."""
-    hop = messages.select("tree_id", "id", F.col("parent").alias("up")).join(messages.select("tree_id", F.col("id").alias("up"), F.lit(True).alias("_k")), ["tree_id", "up"])
-    hop = materialize(hop.select("tree_id", "id", "up"), "hops")  # messages whose parent is there
-    rows = materialize(leaves.select("tree_id", "leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("height")), "paths")
+    """``(tree_id, leaf, id, height)`` for every message on the way from each leaf (height 0) up to its root.
+
+    ``leaves``: tree_id, leaf and depth, the number of messages on its way. The
+    longest way says how many rounds there are. A round writes what it adds and
+    nothing again.
+    """
+    longest = leaves.agg(F.max("depth")).first()[0] or 1
+    rows = leaves.select("tree_id", "leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("height"))
+    if longest == 1:
+        return rows
+    known = messages.select("tree_id", F.col("id").alias("up"), F.lit(True).alias("_k"))
+    hop = materialize(messages.select("tree_id", "id", F.col("parent").alias("up")).join(known, ["tree_id", "up"]).select("tree_id", "id", "up"), "hops")
     step = 1
-    for _ in range(MAX_DOUBLINGS):
+    while step < longest:
         further = rows.join(hop, ["tree_id", "id"]).select("tree_id", "leaf", F.col("up").alias("id"), (F.col("height") + step).alias("height"))
-        further = materialize(further, "paths")
-        if further.limit(1).count() == 0:
-            break
-        rows = materialize(rows.unionByName(further), "paths", instead_of=rows)
-        twice = hop.join(hop.select("tree_id", F.col("id").alias("up"), F.col("up").alias("_up")), ["tree_id", "up"])
-        hop = materialize(twice.select("tree_id", "id", F.col("_up").alias("up")), "hops", instead_of=hop)
+        rows = rows.unionByName(materialize(further, "paths"))
+        if 2 * step < longest:
+            twice = hop.join(hop.select("tree_id", F.col("id").alias("up"), F.col("up").alias("_up")), ["tree_id", "up"])
+            hop = materialize(twice.select("tree_id", "id", F.col("_up").alias("up")), "hops", instead_of=hop)
         step *= 2
+    drop(hop)  # every round is written by now
     return rows
 
 
