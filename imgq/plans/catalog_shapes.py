@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import raster
-from ..operators import edges, filters, histogram, morphology, overlay, registration, stencil, transform
+from ..operators import edges, filters, histogram, morphology, overlay, peaks, registration, stencil, transform
 from .catalog import SQL, _BINARY, _CC, _D1, _G1, BYTES, COLOURS, EMBEDDING, FULL, LABELS, _binary, _outer, _r, _shift_sql, _sums, register
 
 _MASK = f"SELECT image_id, y, x, (label > 1)::INT::DOUBLE AS v FROM ({FULL})"
@@ -191,3 +191,23 @@ _SMOOTH = _outer(_G2, _G2)
 register("pyramid_laplacian", lambda s, d: transform.pyramid_laplacian(raster.full_part_grid(s, d).select("image_id", "y", "x", "v"), (64, 64), 2).select("level", "y", "x", "v"), f"""WITH a AS MATERIALIZED (SELECT y, x, v FROM ({FULL})), b AS MATERIALIZED ({_sums('SELECT * FROM a', _SMOOTH, 'reflect')}),
 c AS MATERIALIZED (SELECT (y // 2)::INT AS y, (x // 2)::INT AS x, avg(v) AS v FROM b GROUP BY ALL)
 SELECT 0 AS level, y, x, {_r('a.v - b.v', 'v')} FROM a JOIN b USING (y, x) UNION ALL SELECT 1, y, x, {_r('c.v - e.v', 'v')} FROM c JOIN ({_sums('SELECT * FROM c', _SMOOTH, 'reflect')}) e USING (y, x)""")
+
+# Peaks that keep their distance: the best first, one after the other.
+_BYTE_PEAKS = f"""SELECT p.y, p.x, p.v FROM i p JOIN ({_shift_sql('SELECT * FROM i', stencil.rectangle(7, 7), 'max(n)', 'ignore')}) m USING (y, x), (SELECT max(y) AS h, max(x) AS w FROM i) z
+WHERE p.v = m.v AND p.v > 128 AND p.y BETWEEN 3 AND h - 3 AND p.x BETWEEN 3 AND w - 3"""
+
+
+def _spaced_sql(near: str) -> str:
+    """The peaks in falling order; one stays if none that stays is ``near`` (dy, dx)."""
+    return f"""WITH RECURSIVE i AS MATERIALIZED ({BYTES}), p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY v DESC, y, x) AS k FROM ({_BYTE_PEAKS})),
+g AS (SELECT 0::BIGINT AS k, []::STRUCT(y INT, x INT)[] AS kept UNION ALL
+  SELECT p.k, CASE WHEN len(list_filter(kept, q -> {near.format(dy='abs(q.y - p.y)', dx='abs(q.x - p.x)')})) = 0 THEN list_append(kept, struct_pack(y := p.y::INT, x := p.x::INT)) ELSE kept END FROM g JOIN p ON p.k = g.k + 1),
+s AS (SELECT unnest(arg_max(kept, k)) AS q FROM g) SELECT p.y, p.x, p.v FROM p JOIN s ON s.q.y = p.y AND s.q.x = p.x"""
+
+
+def _byte_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stencil.peak_local_max(raster.embedding_bytes(spark, sf_dir), 3, 128)
+
+
+register("ensure_spacing", lambda s, d: peaks.ensure_spacing(_byte_peaks(s, d), 8, 2).select("y", "x", "v"), _spaced_sql("{dy} * {dy} + {dx} * {dx} < 64"))
+register("corner_peaks", lambda s, d: peaks.corner_peaks(raster.embedding_bytes(s, d), 3, 128).select("y", "x", "v"), _spaced_sql("greatest({dy}, {dx}) <= 3"))
