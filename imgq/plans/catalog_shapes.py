@@ -201,7 +201,7 @@ def _spaced_sql(near: str) -> str:
     """The peaks in falling order; one stays if none that stays is ``near`` (dy, dx)."""
     return f"""WITH RECURSIVE i AS MATERIALIZED ({BYTES}), p AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY v DESC, y, x) AS k FROM ({_BYTE_PEAKS})),
 g AS (SELECT 0::BIGINT AS k, []::STRUCT(y INT, x INT)[] AS kept UNION ALL
-  SELECT p.k, CASE WHEN len(list_filter(kept, q -> {near.format(dy='abs(q.y - p.y)', dx='abs(q.x - p.x)')})) = 0 THEN list_append(kept, struct_pack(y := p.y::INT, x := p.x::INT)) ELSE kept END FROM g JOIN p ON p.k = g.k + 1),
+  SELECT p.k, CASE WHEN len(list_filter(kept, lambda q: {near.format(dy='abs(q.y - p.y)', dx='abs(q.x - p.x)')})) = 0 THEN list_append(kept, struct_pack(y := p.y::INT, x := p.x::INT)) ELSE kept END FROM g JOIN p ON p.k = g.k + 1),
 s AS (SELECT unnest(arg_max(kept, k)) AS q FROM g) SELECT p.y, p.x, p.v FROM p JOIN s ON s.q.y = p.y AND s.q.x = p.x"""
 
 
