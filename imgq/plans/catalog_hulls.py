@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import raster
-from ..operators import adaptive, filters, hulls, levelsets, overlay, stencil, thinning
+from ..operators import adaptive, filters, hulls, levelsets, overlay, stencil, thinning, walker
 from . import catalog_regions, catalog_shapes  # noqa: F401  (they register what gets its SQL here)
 from .catalog import BYTES, COLOURS, EMBEDDING, FULL, QUERIES, SQL, _r, _shift_sql, register
 
@@ -264,3 +264,13 @@ def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 register("rand_image_flip", lambda s, d: overlay.rand_image_flip(_tiles(s, d), seed=5))
 register("rand_image_rotate_90", lambda s, d: overlay.rand_image_rotate_90(_tiles(s, d), seed=5))
 register("rand_color_jitter", lambda s, d: overlay.rand_colour_jitter(raster.embedding_colours(s, d), 0.2, 0.3, 0.4, seed=5).select("y", "x", "r", "g", "b"))
+
+# -- random walks: seeds are the places of large and of small values -------------------------------
+
+
+def _walk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    image = raster.embedding_image(spark, sf_dir)
+    return image, image.select("image_id", "y", "x", F.when(F.col("v") > 0.16, 1).when(F.col("v") < -0.16, 2).otherwise(0).alias("label"))
+
+
+register("random_walker", lambda s, d: walker.random_walker(*_walk(s, d)).select("y", "x", "label"))
