@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import raster
-from ..operators import adaptive, filters, hulls, levelsets, overlay, stencil, thinning, walker
+from ..operators import adaptive, filters, hulls, levelsets, overlay, polygons, stencil, thinning, walker
 from . import catalog_regions, catalog_shapes  # noqa: F401  (they register what gets its SQL here)
 from .catalog import BYTES, COLOURS, EMBEDDING, FULL, QUERIES, SQL, _r, _shift_sql, register
 
@@ -274,3 +274,19 @@ def _walk(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 register("random_walker", lambda s, d: walker.random_walker(*_walk(s, d)).select("y", "x", "label"))
+
+# -- polygons: the values of each vector are a chain of points -------------------------------------
+
+_CHAINS = f"SELECT y AS chain_id, x AS i, v::DOUBLE AS y, x::DOUBLE AS x FROM ({BYTES})"
+_OFF = """round(CASE WHEN (p.y - a.y) * (b.y - a.y) + (p.x - a.x) * (b.x - a.x) > 0 AND (b.y - p.y) * (b.y - a.y) + (b.x - p.x) * (b.x - a.x) > 0
+  THEN abs((p.y - a.y) * (b.x - a.x) - (p.x - a.x) * (b.y - a.y)) / sqrt(pow(b.y - a.y, 2) + pow(b.x - a.x, 2))
+  ELSE least(sqrt(pow(p.y - a.y, 2) + pow(p.x - a.x, 2)), sqrt(pow(p.y - b.y, 2) + pow(p.x - b.x, 2))) END, 9)"""
+register(
+    "approximate_polygon",
+    lambda s, d: polygons.approximate_polygon(raster.embedding_bytes(s, d).select(F.col("y").alias("chain_id"), F.col("x").alias("i"), F.col("v").alias("y"), F.col("x").alias("x")), 40.0),
+    f"""WITH RECURSIVE p AS MATERIALIZED ({_CHAINS}), s AS (SELECT chain_id, min(i) AS a, max(i) AS b FROM p GROUP BY chain_id UNION ALL
+  SELECT chain_id, unnest([a, m]), unnest([m, b]) FROM (SELECT chain_id, a, b, max(d) AS d, -max({{'d': d, 'i': -i}}).i AS m FROM (
+    SELECT s.chain_id, s.a, s.b, p.i, {_OFF} AS d FROM s JOIN p ON p.chain_id = s.chain_id AND p.i > s.a AND p.i < s.b
+      JOIN p a ON a.chain_id = s.chain_id AND a.i = s.a JOIN p b ON b.chain_id = s.chain_id AND b.i = s.b) GROUP BY chain_id, a, b) WHERE d > 40)
+SELECT chain_id, i, y, x FROM p WHERE EXISTS (SELECT 1 FROM s WHERE s.chain_id = p.chain_id AND p.i IN (s.a, s.b))""",
+)
