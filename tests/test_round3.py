@@ -43,3 +43,14 @@ def test_zoom_that_leaves_nothing_has_no_rows(spark):
     p = spark.createDataFrame([(k, 0, x, float(x)) for k in (1, 2) for x in range(4)], "image_id long, y int, x int, v double")
     half = F.when(F.col("image_id") == 1, 0.5).otherwise(1.0)
     assert {(r["image_id"], r["x"]) for r in transform.zoom(p, half, half).collect()} == {(2, x) for x in range(4)}
+
+
+def test_ciede2000_of_opposite_and_mirrored_hues(spark):
+    # In the last bit the hues differ by more than 180 degrees, or add up to less than 360.
+    e = 4e-15
+    rows = [(10.0, 3.0, -10.0, -3.0 - e), (10.0, 3.0, -10.0, -3.0), (10.0, 3.0, -10.0, -3.0 + e), (10.0, 3.0, 10.0, -3.0 - e), (10.0, 3.0, 10.0, -3.0), (10.0, 3.0, 10.0, -3.0 + e)]
+    rows += [(-b, a, -d, c) for a, b, c, d in rows[:3]]
+    f = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = [r["e"] for r in f.select(color.delta_e_2000((F.lit(50.0), F.col("a"), F.col("b")), (F.lit(50.0), F.col("c"), F.col("d"))).alias("e")).collect()]
+    for k in range(0, 9, 3):
+        assert np.ptp(got[k : k + 3]) < 1e-9
