@@ -54,3 +54,9 @@ def test_ciede2000_of_opposite_and_mirrored_hues(spark):
     got = [r["e"] for r in f.select(color.delta_e_2000((F.lit(50.0), F.col("a"), F.col("b")), (F.lit(50.0), F.col("c"), F.col("d"))).alias("e")).collect()]
     for k in range(0, 9, 3):
         assert np.ptp(got[k : k + 3]) < 1e-9
+
+
+@pytest.mark.parametrize("name", ["chan_vese"])
+@pytest.mark.parametrize("label", ["1", "i % 4"])
+def test_masks_without_a_place_inside_or_outside(spark, tmp_path, name, label):
+    against_sql(spark, tmp_path, name, lineitem=lines(label))
