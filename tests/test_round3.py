@@ -56,7 +56,7 @@ def test_ciede2000_of_opposite_and_mirrored_hues(spark):
         assert np.ptp(got[k : k + 3]) < 1e-9
 
 
-@pytest.mark.parametrize("name", ["chan_vese"])
+@pytest.mark.parametrize("name", ["chan_vese", "isotropic_dilation"])
 @pytest.mark.parametrize("label", ["1", "i % 4"])
 def test_masks_without_a_place_inside_or_outside(spark, tmp_path, name, label):
     against_sql(spark, tmp_path, name, lineitem=lines(label))
