@@ -68,3 +68,21 @@ def test_quantiles(spark):
     assert "percentile" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = {r["image_id"]: (r["a"], r["b"]) for r in found.collect()}
     assert got.keys() == {1, 2} and got[2] == (7.0, 7.0) and np.allclose(got[1], np.quantile(TALL[:, 0], [0.02, 0.98]))
+
+
+def test_denoising_writes_one_table_for_eight_rounds(tall, monkeypatch):
+    from imgq.operators import edges
+
+    names, write = [], edges.materialize
+    monkeypatch.setattr(edges, "materialize", lambda df, name: names.append(name) or write(df, name))
+    assert edges.denoise_tv(tall, 0.1, rounds=8, eps=0.0).count() == TALL.size and names == ["denoised", "energy"]
+
+
+def test_components_broadcast_nothing(tall, monkeypatch):
+    from imgq.operators import edges, regions
+
+    plans, write = [], regions.materialize
+    monkeypatch.setattr(regions, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or write(df, name))
+    edges.canny(tall, 1.0, 0.08, 0.2).count()
+    joins = [line for name, plan in plans if name == "parents" for line in plan.splitlines() if "Join " in line]
+    assert joins and all("strategy=merge" in line for line in joins)
