@@ -86,3 +86,13 @@ def test_components_broadcast_nothing(tall, monkeypatch):
     edges.canny(tall, 1.0, 0.08, 0.2).count()
     joins = [line for name, plan in plans if name == "parents" for line in plan.splitlines() if "Join " in line]
     assert joins and all("strategy=merge" in line for line in joins)
+
+
+def test_a_round_of_walks_is_one_step_in_tiles(spark):
+    from imgq.operators import walker
+
+    row = [(1, 1, y, 0, 2.0, float(y > 0), float(y < 2), 0.0, 0.0, 0.5, float(y + 1), 0.0, 0.0) for y in range(3)]
+    state = spark.createDataFrame(row, "image_id long, label long, y int, x int, d double, f_n double, f_s double, f_w double, f_e double, z double, r double, q double, s double")
+    out = walker._times_matrix(state)
+    assert "FlatMapGroupsInArrow" in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["y"]: (r["a"], r["z"]) for r in out.collect()} == {0: (1 - 1.0, 0.5), 1: (2 - 0.5 - 1.5, 0.5), 2: (3 - 1.0, 0.5)}
