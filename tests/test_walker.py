@@ -129,3 +129,29 @@ def test_query_against_a_plain_solver(spark):
             clear += 1
             assert r.label == (1 if p[r.y, r.x] > 0.5 else 2)
     assert clear > 0.8 * (seeds == 0).sum()
+
+
+def test_rounds_are_about_the_borders_of_tiles_only(spark, monkeypatch):
+    """Many tiles against a dense solve; rounds keep one small table, whatever lies inside of the tiles."""
+    shape = (9, 10)
+    monkeypatch.setattr(walker, "SIDE", 4)
+    sizes, dropped, write, drop = [], [], walker.materialize, walker.drop
+
+    def written(df, name):
+        out = write(df, name)
+        sizes.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(walker, "materialize", written)
+    monkeypatch.setattr(walker, "drop", lambda table: dropped.append(table) or drop(table))
+    rng = np.random.default_rng(8)
+    seeds = np.zeros(shape, int)
+    seeds[0, 1], seeds[-1, -1], seeds[shape[0] // 2, shape[1] // 2] = 5, 2, 9
+    gaps = seeds.copy()
+    gaps[1, :2] = -1
+    gaps[:, shape[1] - 2] = np.where(np.arange(shape[0]) % 4 == 3, -1, gaps[:, shape[1] - 2])
+    check(spark, {1: (rng.random((*shape, 1)), seeds), 2: (rng.random((*shape, 1)), gaps), 3: (rng.random((2, 2, 1)), seeds[:2, :2])}, 20.0)
+    y, x = np.indices(shape)
+    border = ((y % 4 == 3) | (x % 4 == 3)).sum()
+    rounds = [n for name, n in sizes if name == "walk"]
+    assert rounds and max(rounds) <= 2 * 3 * border and len(dropped) >= 2 * len(rounds) - 3
