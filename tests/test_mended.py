@@ -1,6 +1,8 @@
 """Thresholds without an answer and distances beyond the first radius."""
 
-from imgq.operators import histogram, metrics
+import numpy as np
+
+from imgq.operators import filters, histogram, metrics
 
 
 def test_minimum_threshold_is_null_without_two_maxima(spark):
@@ -17,3 +19,26 @@ def test_hausdorff_distance_beyond_the_radius(spark):
     for radius in (1, 5):
         got = {r["image_id"]: r["hausdorff"] for r in metrics.hausdorff_distance(a, b, radius).collect()}
         assert got.keys() == want.keys() and all((got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9) for k, v in want.items())
+
+
+def test_blobs_that_overlap_lose_the_smaller_one(spark):
+    rows = [(1, 10, 10, 2.56, 1.0), (1, 11, 10, 1.0, 9.0), (1, 10, 17, 2.56, 1.0), (1, 30, 30, 1.6, 2.0), (1, 30, 31, 1.6, 1.0), (1, 50, 50, 1.0, 1.0), (1, 50, 53, 1.6, 1.0), (2, 11, 10, 1.0, 9.0)]
+    rows += [(3, 0, 0, 1.0, 1.0), (3, 0, 1, 1.6, 1.0), (3, 0, 3, 2.56, 1.0)]  # a row: each overlaps the next
+    blobs = spark.createDataFrame(rows, "image_id long, y int, x int, sigma double, v double")
+    kept = {(r["image_id"], r["y"], r["x"]) for r in filters.prune_blobs(blobs, 0.5, 2.56).collect()}
+    # Same size: the darker stays, as in the reference. 50, 50 shares too little of its area.
+
+    def shared(p, q):  # by counting, of p, the smaller one
+        g = np.stack(np.meshgrid(np.linspace(-9, 9, 1801), np.linspace(-9, 9, 1801), indexing="ij"))
+        inside = [((g - np.array([b[1] - p[1], b[2] - p[2]])[:, None, None]) ** 2).sum(0) <= 2 * b[3] ** 2 for b in (p, q)]
+        return (inside[0] & inside[1]).sum() / inside[0].sum()
+
+    gone = {p[:3] for p in rows for q in rows if p[0] == q[0] and (p[3], -p[4], p[1:3]) < (q[3], -q[4], q[1:3]) and shared(p, q) > 0.5}
+    assert gone == {(1, 11, 10), (1, 30, 30), (3, 0, 0), (3, 0, 1)} and kept == {r[:3] for r in rows} - gone
+
+
+def test_differences_of_gaussians_are_pruned(spark):
+    a = np.random.default_rng(2).random((20, 20))
+    pixels = spark.createDataFrame([(1, y, x, float(v)) for (y, x), v in np.ndenumerate(a)], "image_id long, y int, x int, v double")
+    every, kept = (set(map(tuple, filters.blob_dog(pixels, threshold=0.01, overlap=o).select("y", "x", "sigma").collect())) for o in (1.0, 0.3))
+    assert kept < every
