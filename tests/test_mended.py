@@ -3,6 +3,7 @@
 import numpy as np
 
 from imgq.operators import filters, histogram, metrics
+from imgq.plans import catalog, catalog_hulls
 
 
 def test_minimum_threshold_is_null_without_two_maxima(spark):
@@ -42,3 +43,21 @@ def test_differences_of_gaussians_are_pruned(spark):
     pixels = spark.createDataFrame([(1, y, x, float(v)) for (y, x), v in np.ndenumerate(a)], "image_id long, y int, x int, v double")
     every, kept = (set(map(tuple, filters.blob_dog(pixels, threshold=0.01, overlap=o).select("y", "x", "sigma").collect())) for o in (1.0, 0.3))
     assert kept < every
+
+
+def test_chan_vese_runs_until_it_stands_still(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    v, odd = rng.random((6, 7)), rng.integers(0, 2, (6, 7))
+    rows = [(0, y, x, float(v[y, x]), int(odd[y, x])) for y, x in np.ndindex(v.shape)]
+    monkeypatch.setattr(catalog_hulls, "_grid", lambda s, d: s.createDataFrame(rows, "image_id long, y int, x int, v double, label long"))
+    i, f, changes = (v - v.min()) / (v.max() - v.min()), odd - 0.5, [1.0]
+    while changes[-1] > 1e-3:
+        p = np.pad(f, 1, mode="edge")
+        u, d, l, r = p[:-2, 1:-1], p[2:, 1:-1], p[1:-1, :-2], p[1:-1, 2:]
+        w = [1 / np.sqrt(1e-16 + (k - f) ** 2 + ((a - b) / 2) ** 2) for k, a, b in ((r, d, u), (l, d, u), (d, r, l), (u, r, l))]
+        pace, pull = 0.5 / (1 + f * f), (i - i[f <= 0].mean()) ** 2 - (i - i[f > 0].mean()) ** 2
+        new = (f + pace * (0.25 * sum(k * x for k, x in zip((r, l, d, u), w, strict=True)) + pull)) / (1 + 0.25 * pace * sum(w))
+        changes, f = [*changes, np.sqrt(((new - f) ** 2).mean())], new
+    assert 4 < len(changes) - 1 < 500
+    got = {(r["y"], r["x"]): (r["phi"], r["mask"]) for r in catalog.QUERIES["chan_vese"](spark, "").collect()}
+    assert len(got) == f.size and all(abs(got[k][0] - p) < 1e-5 and got[k][1] == (p > 0) for k, p in np.ndenumerate(f))
