@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from imgq.operators import filters, histogram, metrics
+from imgq.operators import features, filters, histogram, metrics
 from imgq.plans import catalog, catalog_hulls
 
 
@@ -61,3 +61,24 @@ def test_chan_vese_runs_until_it_stands_still(spark, monkeypatch):
     assert 4 < len(changes) - 1 < 500
     got = {(r["y"], r["x"]): (r["phi"], r["mask"]) for r in catalog.QUERIES["chan_vese"](spark, "").collect()}
     assert len(got) == f.size and all(abs(got[k][0] - p) < 1e-5 and got[k][1] == (p > 0) for k, p in np.ndenumerate(f))
+
+
+def test_every_vector_looks_for_its_nearest(spark):
+    sf = "/root/testdata/sf0.001"
+    vectors = {r["vec_id"]: np.array(r["embedding"]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    got = {r["q"]: (r["id"], r["distance"]) for r in catalog.QUERIES["match_descriptors"](spark, sf).collect()}
+    assert got.keys() == vectors.keys()
+    for q, (found, distance) in got.items():
+        d = {k: np.sqrt(((v - vectors[q]) ** 2).sum()) for k, v in vectors.items() if k != q}
+        assert abs(distance - min(d.values())) < 1e-6 and abs(d[found] - distance) < 1e-6
+
+
+def test_rows_that_cannot_be_measured_hide_no_others(spark):
+    x = {1: [0.0, 0.0], 2: [3.0, 4.0], 3: [float("nan"), 0.0], 4: [30.0, 40.0]}
+    rows = spark.createDataFrame(list(x.items()), "id long, descriptor array<double>")
+    asked = rows.selectExpr("id AS q", "descriptor AS wanted")
+    for p, near in ((1, 7.0), (2, 5.0)):
+        got = {r["q"]: (r["id"], r["distance"]) for r in features.match_descriptors(asked, rows, p, one_table=True).collect()}
+        assert got == {1: (2, near), 2: (1, near), 4: (2, 9 * near)}
+    alone = features.match_descriptors(asked.where("q = 1"), rows.where("id = 2")).collect()
+    assert [(r["id"], r["distance"]) for r in alone] == [(2, 5.0)]
